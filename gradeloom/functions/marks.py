@@ -36,10 +36,11 @@ def read_float(token: Column) -> Column:
 
 
 def parse_mark(value: Column, kind: Column, max_marks: Column) -> Column:
-    """A cell as STRUCT(status, obtained, error); all NULL for a blank cell.
+    """A cell as STRUCT(status, obtained, problem); all NULL for a blank cell.
 
     ``kind`` tells how the sheet stored the value: blank, text, int, float,
-    bool or date.
+    bool or date. With a ``problem`` (unreadable, negative or over),
+    ``obtained`` is the number that was read.
     """
     token = F.lower(strip(value))
     is_text = kind == "text"
@@ -49,20 +50,23 @@ def parse_mark(value: Column, kind: Column, max_marks: Column) -> Column:
         .when(kind == "date", F.lit(None).cast("double"))
         .otherwise(read_float(token))
     )
-    absent = is_text & token.isin(*ABSENT_WORDS)
-    exempt = is_text & token.isin(*EXEMPT_WORDS)
+    word = F.when(is_text & token.isin(*ABSENT_WORDS), "absent").when(is_text & token.isin(*EXEMPT_WORDS), "exempt")
     over = ~F.isnan(number) & (number > max_marks) & ~F.isnan(max_marks)
-    error = (
-        F.when(is_blank | absent | exempt, F.lit(None))
-        .when(number.isNull(), F.concat(F.lit("unrecognised mark value '"), value, F.lit("'")))
-        .when(number < 0, F.lit("marks cannot be negative"))
-        .when(over, F.concat(F.lit("mark "), fmt_g(number), F.lit(" exceeds maximum "), fmt_g(max_marks)))
+    problem = (
+        F.when(is_blank | word.isNotNull(), F.lit(None))
+        .when(number.isNull(), F.lit("unreadable"))
+        .when(number < 0, F.lit("negative"))
+        .when(over, F.lit("over"))
     )
-    status = (
-        F.when(is_blank | error.isNotNull(), F.lit(None))
-        .when(absent, F.lit("absent"))
-        .when(exempt, F.lit("exempt"))
-        .otherwise(F.lit("entered"))
+    status = F.when(is_blank | problem.isNotNull(), F.lit(None)).otherwise(F.coalesce(word, F.lit("entered")))
+    obtained = F.when(is_blank, F.lit(None)).when(word.isNotNull(), F.lit(0.0)).otherwise(number)
+    return F.struct(status.alias("status"), obtained.alias("obtained"), problem.alias("problem"))
+
+
+def problem_text(problem: Column, value: Column, number: Column, max_marks: Column) -> Column:
+    """The message for a problem found by ``parse_mark``."""
+    return (
+        F.when(problem == "unreadable", F.concat(F.lit("unrecognised mark value '"), value, F.lit("'")))
+        .when(problem == "negative", F.lit("marks cannot be negative"))
+        .when(problem == "over", F.concat(F.lit("mark "), fmt_g(number), F.lit(" exceeds maximum "), fmt_g(max_marks)))
     )
-    obtained = F.when(status == "entered", number).when(status.isNotNull(), F.lit(0.0))
-    return F.struct(status.alias("status"), obtained.alias("obtained"), error.alias("error"))

@@ -24,25 +24,18 @@ def py_round(x: Column, digits) -> Column:
 
     ``x * 10**digits`` may land on a tie only because the product was rounded;
     the rounding error of the product then tells on which side of the tie the
-    exact value lies.
+    exact value lies. Written without branches, so that generated code holds
+    every shared part once.
     """
     scale = _power_of_ten(digits)
     product = x * scale
     nearest = F.rint(product)
-    distance = product - nearest
     carry = F.lit(_SPLITTER) * x
     high = carry - (carry - x)
     error = (high * scale - product) + (x - high) * scale
-    adjusted = (
-        F.when((distance == 0.5) & (error > 0), nearest + 1.0)
-        .when((distance == -0.5) & (error < 0), nearest - 1.0)
-        .otherwise(nearest)
-    )
-    return adjusted / scale
-
-
-def is_finite(x: Column) -> Column:
-    return ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    # -1 or +1 exactly when a tie was rounded away from the side of the error
+    excess = (nearest - product) - F.signum(error) * 0.5
+    return (nearest - F.coalesce(excess.try_cast("int"), F.lit(0))) / scale
 
 
 def exact_sum(x: Column) -> Column:
@@ -70,32 +63,38 @@ def exact_sum(x: Column) -> Column:
 
 
 def _join_limbs(units: Column, middle: Column, low: Column) -> Column:
-    step = F.lit(1 << 32).cast("bigint")
-    low_rest = F.pmod(low, step)
-    middle = middle + F.floor(low / step.cast("decimal(20,0)")).cast("bigint")
-    middle_rest = F.pmod(middle, step)
-    units = units + F.floor(middle / step.cast("decimal(20,0)")).cast("bigint")
-    a = units.cast("double")
-    b = middle_rest.cast("double") / _STEP
-    total = a + b
-    shadow = total - a
-    error = (a - (total - shadow)) + (b - shadow)
-    return total + (error + low_rest.cast("double") / (_STEP * _STEP))
+    mask = F.lit((1 << 32) - 1).cast("bigint")
+    middle = middle + F.shiftright(low, 32)
+    whole = (units + F.shiftright(middle, 32)).cast("double")
+    fraction = middle.bitwiseAND(mask).cast("double") / _STEP
+    total = whole + fraction
+    lost = fraction - (total - whole)
+    return total + (lost + low.bitwiseAND(mask).cast("double") / (_STEP * _STEP))
 
 
 def fmt_f(x: Column, digits: int) -> Column:
     """Fixed-point text with ``digits`` decimals (``-``/``nan``/``inf`` included)."""
-    text = F.format_string(f"%.{digits}f", py_round(x, digits))
+    rounded = py_round(x, digits)
+    text = F.format_string(f"%.{digits}f", rounded)
     return (
-        F.when(F.isnan(x), F.lit("nan"))
+        F.when(F.isnan(rounded), F.lit("nan"))
         .when(x == F.lit(float("inf")), F.lit("inf"))
         .when(x == F.lit(float("-inf")), F.lit("-inf"))
         .otherwise(text)
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` where the value is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def fmt_g(x: Column) -> Column:
     """Six significant digits without trailing zeros, as C's ``%g``."""
+    return _let(x, lambda v: _let(_six_digits(v), lambda rounded: _general(v, rounded)))
+
+
+def _six_digits(x: Column) -> Column:
     size = F.abs(x)
     digits = (
         F.when(size >= 1e5, 0)
@@ -108,7 +107,12 @@ def fmt_g(x: Column) -> Column:
         .when(size >= 1e-2, 7)
         .otherwise(8)
     )
-    rounded = py_round(F.when(size < 1e6, x).otherwise(F.lit(0.0)), digits)
+    in_range = F.when(size < 1e6, x).otherwise(F.lit(0.0))
+    return _let(digits, lambda d: py_round(in_range, d))
+
+
+def _general(x: Column, rounded: Column) -> Column:
+    size = F.abs(x)
     plain = F.regexp_replace(rounded.cast("decimal(18,8)").cast("string"), r"\.?0+$", "")
     scientific = F.regexp_replace(F.format_string("%.5e", x), r"\.?0+e", "e")
     tiny = F.regexp_replace(

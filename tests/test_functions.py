@@ -133,7 +133,10 @@ def test_parse_mark(spark):
         ("2024-01-01", "date"), (".5", "text"), ("5.", "text"), ("+7", "text"), (".", "text"), ("150.5", "text"),
     ]
     df = spark.createDataFrame([(i, v, k) for i, (v, k) in enumerate(cases)], "i int, v string, k string")
-    got = [tuple(r[0]) for r in df.orderBy("i").select(marks.parse_mark(F.col("v"), F.col("k"), F.lit(100.0))).collect()]
+    parsed = df.withColumn("m", marks.parse_mark(F.col("v"), F.col("k"), F.lit(100.0)))
+    text_of = marks.problem_text(F.col("m.problem"), F.col("v"), F.col("m.obtained"), F.lit(100.0))
+    value = F.when(F.col("m.status").isNotNull(), F.col("m.obtained"))
+    got = [tuple(r) for r in parsed.orderBy("i").select("m.status", value, text_of).collect()]
     blank = (None, None, None)
 
     def entered(x):
