@@ -114,7 +114,10 @@ def _six_digits(x: Column) -> Column:
 def _general(x: Column, rounded: Column) -> Column:
     size = F.abs(x)
     plain = F.regexp_replace(rounded.cast("decimal(18,8)").cast("string"), r"\.?0+$", "")
-    scientific = F.regexp_replace(F.format_string("%.5e", x), r"\.?0+e", "e")
+    # integers keep ties exact, so these are settled before the text is made
+    last = F.pow(F.lit(10.0), F.floor(F.log10(size)) - 5)
+    settled = F.when((size >= 1e6) & (size < 1e15), F.rint(x / last) * last).otherwise(x)
+    scientific = F.regexp_replace(F.format_string("%.5e", settled), r"\.?0+e", "e")
     tiny = F.regexp_replace(
         F.format_string("%.5e", x).try_cast("decimal(18,10)").cast("string"), r"\.?0+$", ""
     )

@@ -34,8 +34,9 @@ def compare(spark, duck, sf_dir: str, name: str) -> str | None:
     want = rows_of(relation.columns, relation.fetchall())
     if got == want:
         return None if got else "no rows"
-    extra = [r for r in got if r not in set(want)][:3]
-    lacking = [r for r in want if r not in set(got)][:3]
+    here, there = set(got), set(want)
+    extra = [r for r in got if r not in there][:3]
+    lacking = [r for r in want if r not in here][:3]
     return f"{len(got)} rows vs {len(want)}; columns {sorted(df.columns)}; only here {extra}; only in SQL {lacking}"
 
 
