@@ -6,28 +6,34 @@ from pyspark.sql import functions as F
 BLOCK = 65536
 
 
-def number_rows(df: DataFrame, keys: list[str], order: str, out: str, ties: list[str] = (), block: int = BLOCK) -> DataFrame:
-    """Add ``out``: the 1-based position of each row in its group by ``order``.
+def block_of(order: Column, block: int = BLOCK) -> Column:
+    """Which run of ``block`` consecutive positions an integer falls into."""
+    return F.floor(order / F.lit(block)).cast("bigint")
+
+
+def running_total(
+    df: DataFrame, keys: list[str], order: str, out: str, weight: Column | None = None, ties: tuple = (), block: int = BLOCK
+) -> DataFrame:
+    """Add ``out``: the sum of ``weight`` (default 1) over the group up to the row.
 
     The integer column ``order`` cuts a group into blocks of at most ``block``
-    distinct values. Rows are numbered inside their block and the blocks of a
-    group, one row each, carry the running offset; no task sees a whole hot
-    group. ``ties`` breaks equal values of ``order``.
+    distinct values. Sums run inside each block, and the blocks of a group,
+    one row each, carry the running offset; no task sees a whole hot group.
+    ``ties`` breaks equal values of ``order``.
     """
-    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(order, *ties)
-    numbered = cut.withColumn("_n", F.row_number().over(inside))
-    sizes = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
+    weight = F.lit(1) if weight is None else weight
+    cut = df.withColumn("_block", block_of(F.col(order), block)).withColumn("_w", weight.cast("bigint"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    summed = cut.withColumn("_n", F.sum("_w").over(inside))
+    sizes = cut.groupBy(*keys, "_block").agg(F.sum("_w").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
-    )
-    joined = numbered.join(offsets, [*keys, "_block"])
+    offsets = sizes.select(*keys, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    joined = summed.join(offsets, [*keys, "_block"])
     return joined.withColumn(out, (F.col("_n") + F.col("_offset")).cast("bigint")).drop(
-        "_block", "_n", "_offset"
+        "_block", "_n", "_offset", "_w"
     )
 
 
-def coalesce_left(column: Column | str, default) -> Column:
-    """The value found by a left join, or ``default``."""
-    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(default))
+def number_rows(df: DataFrame, keys: list[str], order: str, out: str, ties: tuple = (), block: int = BLOCK) -> DataFrame:
+    """Add ``out``: the 1-based position of each row in its group by ``order``."""
+    return running_total(df, keys, order, out, ties=ties, block=block)
