@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.functions.marks import parse_mark, problem_text
+from gradeloom.functions.marks import parse_mark, problem_text, read_float
 from gradeloom.functions.text import clean_text, safe_name, strip
 from gradeloom.operators.identity import BOOK, resolve_students
 from gradeloom.operators.labels import only_assessments, resolve_org_units, resolve_subjects
@@ -115,27 +115,23 @@ def _with_subjects(asked: DataFrame, domain: Domain, settings: DataFrame) -> Dat
     (institution_id, class_label, subject)."""
     pairs = asked.select("institution_id", "class_label", "subject").distinct()
     units = resolve_org_units(pairs.where("class_label <> ''"), domain.org_unit)
-    placed = pairs.join(
-        units.withColumnRenamed("error", "unit_error"), ["institution_id", "class_label"], "left"
-    ).withColumn("org_unit_id", F.coalesce("org_unit_id", F.lit("")))
-    subjects = resolve_subjects(placed.where("unit_error IS NULL"), domain.offering, domain.course, settings)
+    placed = settle(
+        pairs.join(units.withColumnRenamed("error", "unit_error"), ["institution_id", "class_label"], "left").withColumn(
+            "org_unit_id", F.coalesce("org_unit_id", F.lit(""))
+        )
+    )
+    subjects = settle(resolve_subjects(placed.where("unit_error IS NULL"), domain.offering, domain.course, settings))
     found = placed.join(subjects.withColumnRenamed("error", "subject_error"), ["institution_id", "subject", "org_unit_id"], "left")
     only = only_assessments(subjects.where("offering_id IS NOT NULL"), domain.assessment)
     found = found.join(only.withColumnRenamed("error", "only_error"), ["institution_id", "offering_id"], "left")
-    answers = found.select(
+    answers = settle(found.select(
         "institution_id", "class_label", "subject", "offering_id", "assessment_id", "max_marks",
         F.coalesce("unit_error", "subject_error", "only_error").alias("label_error"),
-    )
+    ))
     return asked.join(answers, ["institution_id", "class_label", "subject"], "left")
 
 
-def _read(entries: DataFrame) -> DataFrame:
-    """Add status, obtained and message to entries with value, kind, max_marks."""
-    parsed = entries.withColumn("m", parse_mark(F.col("value"), F.col("value_kind"), F.col("max_marks")))
-    return parsed.withColumn("label_error", F.coalesce("label_error", F.lit(None).cast("string")))
-
-
-_ENTRY = [*ROW, "sheet", "ord", "student_id", "col_no", "column_name", "value", "value_kind", "offering_id", "assessment_id", "max_marks", "label_error"]
+_ENTRY = [*ROW, "sheet", "ord", "student_id", "col_no", "column_name", "value", "value_kind", "offering_id", "assessment_id", "max_marks", "label_error", "single"]
 
 
 def validate(cells: DataFrame, workbooks: DataFrame, settings: DataFrame, domain: Domain) -> ImportPlan:
@@ -165,7 +161,6 @@ def validate(cells: DataFrame, workbooks: DataFrame, settings: DataFrame, domain
         .join(rows.where("layout = 'native'").select(*ROW, "sheet", "ord", "student_id"), ROW)
         .withColumn("column_name", F.col("assessment_name"))
         .withColumn("label_error", F.lit(None).cast("string"))
-        .select(*_ENTRY)
     )
     # legacy wide: cells of subject columns
     wide_cells = (
@@ -173,25 +168,25 @@ def validate(cells: DataFrame, workbooks: DataFrame, settings: DataFrame, domain
         .join(blocks.join(subject_columns(readable, headers), SHEET), [*SHEET, "block", "col_no"])
         .join(rows.where("layout = 'legacy_wide'").select(*ROW, "sheet", "ord", "student_id", "class_label"), ROW)
     )
-    wide_cells = _with_subjects(wide_cells, domain, settings).withColumn("column_name", F.col("subject")).select(*_ENTRY)
+    wide_cells = wide_cells.withColumn("column_name", F.col("subject")).withColumn("single", F.lit(False))
     # legacy long: one mark per row
     long_rows = rows.where("layout = 'legacy_long'").select(
         *ROW, "sheet", "ord", "student_id", "class_label", "subject", F.lit(0).alias("col_no"),
         F.col("subject").alias("column_name"), F.col("mark_value").alias("value"), F.col("mark_kind").alias("value_kind"),
+        F.lit(True).alias("single"),
     )
-    long_rows = _with_subjects(long_rows, domain, settings).select(*_ENTRY)
-
-    many = settle(_read(native_cells.unionByName(wide_cells)))
-    single = _read(long_rows)
-    entries = many.unionByName(single)
+    legacy = settle(long_rows.unionByName(wide_cells.select(*long_rows.columns)))
+    legacy = _with_subjects(legacy, domain, settings).select(*_ENTRY)
+    parsed = native_cells.withColumn("single", F.lit(False)).select(*_ENTRY).unionByName(legacy)
+    entries = settle(parsed.withColumn("m", parse_mark(F.col("value"), F.col("value_kind"), F.col("max_marks"))))
     message = F.coalesce(
         "label_error", problem_text(F.col("m.problem"), F.col("value"), F.col("m.obtained"), F.col("max_marks"))
     )
     wrong = F.col("label_error").isNotNull() | F.col("m.problem").isNotNull()
     cell_errors = _error(entries.where(wrong), F.col("column_name"), message, F.col("col_no"))
-    missing = single.where(~wrong & F.col("m.status").isNull())
+    missing = entries.where(F.col("single") & ~wrong & F.col("m.status").isNull())
     cell_errors = cell_errors.unionByName(_error(missing, F.col("column_name"), F.lit("missing mark")))
-    used = many.where(wrong | F.col("m.status").isNotNull()).select(*ROW).distinct()
+    used = entries.where(wrong | F.col("m.status").isNotNull()).select(*ROW).distinct()
     idle = rows.where("layout <> 'legacy_long'").join(used, ROW, "left_anti")
     errors = (
         _error(sheet_errors.withColumnRenamed("header_row", "row_no"), F.lit(""), F.col("error"))
@@ -396,3 +391,30 @@ def _upsert_marks(stored: DataFrame, writes: DataFrame) -> DataFrame:
         F.when(F.col("w").isNotNull(), F.col("w.obtained")).otherwise(F.col("obtained")).alias("obtained"),
         F.when(F.col("w").isNotNull(), F.col("w.status")).otherwise(F.col("status")).alias("status"),
     )
+
+
+def answer_writes(answers: DataFrame, stored: DataFrame) -> DataFrame:
+    """Mark writes of typed answers, in the order of ``seq``.
+
+    ``answers``: institution_id, session, seq, student_id, assessment_id, raw.
+    ``q`` or ``quit`` ends a session; a blank answer writes the stored mark
+    again if there is one; anything that is neither ``a``, ``absent`` nor a
+    number from zero up is passed over. No maximum is checked here.
+    """
+    answer = F.lower(strip(F.col("raw")))
+    typed = answers.withColumn("answer", answer)
+    stops = typed.where(F.col("answer").isin("q", "quit")).groupBy("institution_id", "session").agg(F.min("seq").alias("stop"))
+    heard = typed.join(stops, ["institution_id", "session"], "left").where("stop IS NULL OR seq < stop")
+    number = read_float(F.col("answer"))
+    old = stored.select(
+        "institution_id", "student_id", "assessment_id",
+        F.col("obtained").alias("old_obtained"), F.col("status").alias("old_status"),
+    )
+    known = heard.withColumn("number", number).join(old, ["institution_id", "student_id", "assessment_id"], "left")
+    away, silent = F.col("answer").isin("a", "absent"), F.col("answer") == ""
+    counts = F.col("number").isNotNull() & ((F.col("number") >= 0) | F.isnan("number"))
+    status = F.when(away, "absent").when(silent, F.col("old_status")).when(counts, "entered")
+    obtained = F.when(away, 0.0).when(silent, F.col("old_obtained")).otherwise(F.col("number"))
+    return known.select(
+        "institution_id", "student_id", "assessment_id", "seq", obtained.alias("obtained"), status.alias("status")
+    ).where("status IS NOT NULL")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import normal_header, strip
 from gradeloom.operators.labels import resolve_assessments, resolve_hints, resolve_offerings
 from gradeloom.operators.skew import block_of
+from gradeloom.session import settle
 
 SHEET = ["institution_id", "workbook", "sheet_no"]
 
@@ -133,7 +134,7 @@ def native_columns(
     )
     prefixed = F.col("by_name") & F.col("value").rlike("[:|]")
     prefix, suffix = split_prefix(F.col("value"))
-    free = (
+    free = settle(
         free.where(~identity)
         .withColumn("prefixed", prefixed)
         .withColumn("prefix", F.when(F.col("prefixed"), prefix))
@@ -142,11 +143,10 @@ def native_columns(
     # step 1: offerings of prefixed columns
     some = free.where("prefixed").select(*SHEET).distinct().withColumn("has_prefix", F.lit(True))
     asked_prefixes = free.where("prefixed AND name <> ''").select("institution_id", F.col("prefix").alias("label"))
-    plain = native.join(some, SHEET, "left").withColumn("has_prefix", F.coalesce("has_prefix", F.lit(False)))
+    plain = settle(native.join(some, SHEET, "left").withColumn("has_prefix", F.coalesce("has_prefix", F.lit(False))))
     named = plain.where("by_name AND NOT has_prefix")
-    offerings = resolve_offerings(
-        asked_prefixes.unionByName(named.select("institution_id", F.col("sheet").alias("label"))), offering, course
-    )
+    asked = settle(asked_prefixes.unionByName(named.select("institution_id", F.col("sheet").alias("label"))).distinct())
+    offerings = settle(resolve_offerings(asked, offering, course))
     hints = resolve_hints(plain.where("NOT by_name AND hint IS NOT NULL"), offering)
     # one offering per sheet without prefixes
     of_sheet = (
@@ -164,9 +164,9 @@ def native_columns(
     ).otherwise(
         F.when(F.col("hint").isNull(), F.lit("--offering is required when excel.expect_course_prefix is false")).otherwise(F.col("hint_error"))
     )
-    of_sheet = of_sheet.select(
+    of_sheet = settle(of_sheet.select(
         *SHEET, F.coalesce("hinted_id", "named_id").alias("sheet_offering"), sheet_error.alias("sheet_error")
-    )
+    ))
     columns = (
         free.join(some, SHEET, "left")
         .where("prefixed OR has_prefix IS NULL")
@@ -175,16 +175,16 @@ def native_columns(
     )
     no_name = F.concat(F.lit("prefixed column '"), F.col("value"), F.lit("' has no assessment name"))
     first_error = F.when(F.col("prefixed"), F.when(F.col("name") == "", no_name).otherwise(F.col("prefix_error")))
-    columns = columns.select(
+    columns = settle(columns.select(
         *SHEET, "col_no", "name",
         F.when(F.col("prefixed"), F.col("offering_id")).otherwise(F.col("sheet_offering")).alias("offering_id"),
         first_error.alias("error_1"),
-    )
+    ))
     # step 2: the assessment of every column
     assessments = resolve_assessments(columns.where("offering_id IS NOT NULL AND name <> ''"), assessment)
-    columns = columns.join(
+    columns = settle(columns.join(
         assessments.withColumnRenamed("error", "error_2"), ["institution_id", "offering_id", "name"], "left"
-    )
+    ))
     steps = F.when(F.col("error_1").isNotNull(), F.struct(F.lit(1).alias("step"), "col_no", F.col("error_1").alias("error"))).when(
         F.col("error_2").isNotNull(), F.struct(F.lit(2).alias("step"), "col_no", F.col("error_2").alias("error"))
     )

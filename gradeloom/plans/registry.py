@@ -40,7 +40,8 @@ def runnable(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def oracle_text(name: str) -> str:
-    return _write_sums(as_sql(ORACLES[name], ORACLE_TABLES))
+    # \x01 and \x02 stand for braces that are no table names
+    return _write_sums(as_sql(ORACLES[name], ORACLE_TABLES)).replace("\x01", "{").replace("\x02", "}")
 
 
 def _write_sums(text: str) -> str:
