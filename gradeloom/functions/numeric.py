@@ -77,7 +77,8 @@ def fmt_f(x: Column, digits: int) -> Column:
     rounded = py_round(x, digits)
     text = F.format_string(f"%.{digits}f", rounded)
     return (
-        F.when(F.isnan(rounded), F.lit("nan"))
+        F.when(x.isNull(), F.lit(None))
+        .when(F.isnan(rounded), F.lit("nan"))
         .when(x == F.lit(float("inf")), F.lit("inf"))
         .when(x == F.lit(float("-inf")), F.lit("-inf"))
         .otherwise(text)
