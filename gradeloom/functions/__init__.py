@@ -1 +1 @@
-
+"""Native Column expressions."""

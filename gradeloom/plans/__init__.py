@@ -1 +1 @@
-
+"""Named queries over the driver's tables, and the SQL they must agree with."""

@@ -1 +1 @@
-
+"""Configuration documents and stored tables."""
