@@ -144,6 +144,34 @@ ORACLE_TABLES.update(
     }
 )
 
+ORACLE_TABLES["label_answer"] = """
+    SELECT r.institution_id, r.label, x.id AS offering_id,
+              CASE WHEN x.id IS NULL THEN CASE WHEN y.ids IS NULL THEN concat('no course offering matches ''', r.label, '''')
+                   ELSE concat('''', r.label, ''' is ambiguous across offerings (', y.ids, ')') END END AS error
+       FROM (SELECT DISTINCT institution_id, sheet AS label FROM {sheet}
+             UNION SELECT institution_id, subject FROM {sheet}) r
+       LEFT JOIN (SELECT institution_id, label, first(id ORDER BY level) AS id FROM {label_level} WHERE n = 1 GROUP BY 1, 2) x
+            ON x.institution_id = r.institution_id AND x.label = r.label
+       LEFT JOIN (SELECT institution_id, label, first(ids ORDER BY level) AS ids FROM {label_level} GROUP BY 1, 2) y
+            ON y.institution_id = r.institution_id AND y.label = r.label"""
+ORACLE_TABLES["failed_sheet"] = """
+    SELECT * FROM (
+        SELECT l.institution_id, l.workbook, l.sheet_no, l.sheet, CAST(1 AS BIGINT) AS header_row,
+               CASE WHEN l.institution_id <> '4' THEN CASE WHEN s.sort <> 3 THEN a.error END
+                    WHEN b.offering_hint IS NULL THEN '--offering is required when excel.expect_course_prefix is false'
+                    WHEN o.id IS NULL THEN concat('no course offering with id ''', b.offering_hint, '''')
+                    ELSE (SELECT concat('no assessment named ''', trim(h.value), ''' for offering ''', o.id, '''') FROM {header} h
+                          WHERE h.institution_id = l.institution_id AND h.sheet_no = l.sheet_no
+                            AND h.norm NOT IN ('roll no', 'student name')
+                            AND NOT EXISTS (SELECT 1 FROM {imp_assessment} x WHERE x.institution_id = o.institution_id
+                                            AND x.offering_id = o.id AND lower(x.name) = lower(trim(h.value)))
+                          ORDER BY h.col_no LIMIT 1) END AS error
+        FROM {layout} l JOIN {sheet} s ON s.k = l.sheet_no
+        JOIN {book} b ON b.institution_id = l.institution_id AND b.workbook = l.workbook
+        LEFT JOIN {label_answer} a ON a.institution_id = l.institution_id AND a.label = l.sheet
+        LEFT JOIN {imp_offering} o ON o.institution_id = l.institution_id AND o.id = b.offering_hint
+        WHERE l.layout = 'native') WHERE error IS NOT NULL"""
+
 _settled: dict = {}  # (application, folder, name) -> tables written once per session
 
 
@@ -361,18 +389,7 @@ def h14_composed_ids(c: Campus):
     )
 
 
-@query(
-    "c11_offering_labels",
-    """SELECT r.institution_id, r.label, x.id AS offering_id,
-              CASE WHEN x.id IS NULL THEN CASE WHEN y.ids IS NULL THEN concat('no course offering matches ''', r.label, '''')
-                   ELSE concat('''', r.label, ''' is ambiguous across offerings (', y.ids, ')') END END AS error
-       FROM (SELECT DISTINCT institution_id, sheet AS label FROM {sheet}
-             UNION SELECT institution_id, subject FROM {sheet}) r
-       LEFT JOIN (SELECT institution_id, label, first(id ORDER BY level) AS id FROM {label_level} WHERE n = 1 GROUP BY 1, 2) x
-            ON x.institution_id = r.institution_id AND x.label = r.label
-       LEFT JOIN (SELECT institution_id, label, first(ids ORDER BY level) AS ids FROM {label_level} GROUP BY 1, 2) y
-            ON y.institution_id = r.institution_id AND y.label = r.label""",
-)
+@query("c11_offering_labels", "SELECT * FROM {label_answer}")
 def c11_offering_labels(c: Campus):
     domain = _domain(c)
     listed = _campus(c)["sheet"]
@@ -516,7 +533,7 @@ def i01_native_columns(c: Campus):
     )[0]
 
 
-@query("i02_sheet_errors")
+@query("i02_sheet_errors", "SELECT * FROM {failed_sheet}")
 def i02_sheet_errors(c: Campus):
     cells, domain = _cells(c), _domain(c)
     headers = sheets.header_cells(cells, sheets.sheet_list(cells))
@@ -525,6 +542,50 @@ def i02_sheet_errors(c: Campus):
     )[1]
 
 
+def _of_layout(c: Campus, layout: str):
+    """Marks of the sheets with one layout."""
+    marks = _plan(c).marks.withColumn("sheet_no", F.shiftright("ord", 36))
+    wanted = _classified(c).where(F.col("layout") == layout).select("institution_id", "workbook", "sheet_no")
+    return marks.join(wanted, ["institution_id", "workbook", "sheet_no"], "left_semi")
+
+
+@query("i03_native_marks")
+def i03_native_marks(c: Campus):
+    return _of_layout(c, "native")
+
+
+@query("i04_legacy_long_marks")
+def i04_legacy_long_marks(c: Campus):
+    return _of_layout(c, "legacy_long")
+
+
+@query("i05_legacy_wide_marks")
+def i05_legacy_wide_marks(c: Campus):
+    return _of_layout(c, "legacy_wide")
+
+
+@query("g01_plan_in_order")
+def g01_plan_in_order(c: Campus):
+    return _plan(c).marks.orderBy("institution_id", "workbook", "ord", "col_no")
+
+
+@query(
+    "g02_failed_sheets",
+    """SELECT institution_id, workbook, sheet_no, header_row AS row_no, error AS message FROM {failed_sheet}
+       UNION ALL SELECT institution_id, workbook, sheet_no, 1, error FROM {layout} WHERE error IS NOT NULL""",
+)
+def g02_failed_sheets(c: Campus):
+    header = sheets.sheet_list(_cells(c)).select("institution_id", "workbook", "sheet_no", F.col("header_row").alias("row_no"))
+    return _plan(c).errors.join(header, ["institution_id", "workbook", "sheet_no", "row_no"], "left_semi").select(
+        "institution_id", "workbook", "sheet_no", "row_no", "message"
+    )
+
+
+@query("g04_new_students")
+def g04_new_students(c: Campus):
+    return _plan(c).new_students
+
+
 @query("i06_import_marks")
 def i06_import_marks(c: Campus):
     return _plan(c).marks
