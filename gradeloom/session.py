@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, **options) -> DataFrame:
     """Write ``df`` once under the shared folder and read it back.
 
     Used between the rounds of an iterative operator and where a result is
@@ -54,5 +54,5 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
