@@ -29,3 +29,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n_hit USING (rid) LEFT JOIN items USING (rid)
 """
+
+
+MIXING = """
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+weights AS (SELECT source, n, pow(CAST(n AS DOUBLE), 0.5) AS weight FROM counts),
+rates AS (
+  SELECT source, weight / (SELECT sum(weight) FROM weights) * (SELECT sum(n) FROM counts) / n AS rate FROM weights
+),
+plans AS (SELECT source, rate, CAST(ceil(rate / 8.0) AS INTEGER) AS parts, rate / CAST(ceil(rate / 8.0) AS INTEGER) AS mean FROM rates),
+terms AS (
+  SELECT source, k, exp(-mean) * pow(mean, k) / gamma(k + 1.0) AS p FROM plans, (SELECT unnest(range(0, 64)) AS k)
+),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+draws AS (
+  SELECT row_number() OVER () AS rid, d.*, plans.source AS s, coalesce(CAST(doc_id AS VARCHAR), 'none') AS key, unnest(range(1, parts + 1)) AS part
+  FROM documents d JOIN plans ON d.source IS NOT DISTINCT FROM plans.source
+),
+uniform AS (
+  SELECT *, CAST('0x' || substr(md5('0:n:' || part || ':' || key), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM draws
+),
+copies AS (
+  SELECT ANY_VALUE(uniform.doc_id) AS doc_id, ANY_VALUE(text) AS text, ANY_VALUE(lang) AS lang, ANY_VALUE(uniform.source) AS source,
+    ANY_VALUE(n_chars) AS n_chars, ANY_VALUE(key) AS key, count(cdf.k) AS n
+  FROM uniform LEFT JOIN cdf ON cdf.source IS NOT DISTINCT FROM s AND cdf.c <= u GROUP BY rid
+),
+each AS (SELECT doc_id, text, lang, source, n_chars, key, unnest(range(1, n + 1)) AS copy FROM copies)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, md5('0:place:' || copy || ':' || key) AS place FROM each
+"""

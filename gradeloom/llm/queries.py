@@ -1,11 +1,38 @@
 """One query for each operator, over its whole table with production parameters."""
 
-from gradeloom.llm import decontaminate, oracles
+import public_tokenizers
+
+from gradeloom.llm import decontaminate, mixing, oracles, prob_minhash, token_store, toxicity
 from gradeloom.llm.common import table
 from gradeloom.llm.registry import query
 
+END_ID = 2
+
 
 @query("op6_positional_decontamination", oracles.DECONTAMINATION)
 def op6(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op9_prob_minhash")
+def op9(spark, sf_dir):
+    return prob_minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+@query("op7_classifier_chain")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judged(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op1_token_store")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    folder, manifest = token_store.write(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return token_store.lookup(folder, manifest, docs).drop("shard")
+
+
+@query("op3_poisson_mixing", oracles.MIXING)
+def op3(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("_row.*", "copy", "place")
