@@ -1,7 +1,8 @@
 """Near-duplicates by ProbMinHash over weighted word shingles, banding and verification.
 
-A document is the bag of its shingles of five words; a shingle's weight is how often
-it occurs. Each shingle sends arrivals of a Poisson process with its weight as rate;
+A document is the bag of its shingles of five words; a shingle that occurs once weighs
+1, one that occurs n times 1 + ln(n) / 4, so that a line repeated a thousand times does
+not outweigh the rest of a text. Each shingle sends arrivals of a Poisson process with its weight as rate;
 every arrival picks one of the registers, and a register keeps the shingle that
 arrived first. Two documents agree in a register with the probability Jaccard of
 their bags. A shingle stops as soon as its next arrival is later than every register.
@@ -27,11 +28,16 @@ from gradeloom.session import settle
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
+DAMPING = 0.25
 BATCH_WORDS = 1 << 18
 
 
+def weight(counts: np.ndarray) -> np.ndarray:
+    return 1 + DAMPING * np.log(counts)
+
+
 def weighted_shingles(hashes: np.ndarray, pointers: np.ndarray, size: int):
-    """(text, shingle, weight) of the distinct shingles, by text and shingle."""
+    """(text, shingle, count) of the distinct shingles, by text and shingle."""
     shingles, begin = shingle_hashes(hashes, pointers, size)
     text = np.repeat(np.arange(len(pointers) - 1), np.diff(begin))
     order = np.lexsort((shingles, text))
@@ -40,11 +46,11 @@ def weighted_shingles(hashes: np.ndarray, pointers: np.ndarray, size: int):
     return text[first], shingles[first], np.diff(np.r_[first, len(text)])
 
 
-def signatures(text: np.ndarray, shingles: np.ndarray, weights: np.ndarray, texts: int, registers: int) -> np.ndarray:
+def signatures(text: np.ndarray, shingles: np.ndarray, counts: np.ndarray, texts: int, registers: int) -> np.ndarray:
     """The shingle that arrived first in each register of each text."""
     best = np.full(texts * registers, np.inf)
     winner = np.zeros(texts * registers, np.uint64)
-    clock = np.zeros(len(text))
+    clock, weights = np.zeros(len(text)), weight(counts)
     arrival = 0
     while len(text):
         arrival += 1
@@ -64,8 +70,8 @@ def signatures(text: np.ndarray, shingles: np.ndarray, weights: np.ndarray, text
 
 def probability_jaccard(a: dict, b: dict) -> float:
     """Sum over common shingles of 1 / sum over all of max(a'/a, b'/b), in exact classes of weights."""
-    ha, wa = np.frombuffer(a["shingles"], np.uint64), np.frombuffer(a["weights"], np.uint32)
-    hb, wb = np.frombuffer(b["shingles"], np.uint64), np.frombuffer(b["weights"], np.uint32)
+    ha, wa = np.frombuffer(a["shingles"], np.uint64), np.frombuffer(a["counts"], np.uint32)
+    hb, wb = np.frombuffer(b["shingles"], np.uint64), np.frombuffer(b["counts"], np.uint32)
     _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     if not len(ia):
         return 0.0
@@ -75,10 +81,10 @@ def probability_jaccard(a: dict, b: dict) -> float:
     x = np.concatenate([wa[ia], only_a, np.zeros(len(only_b), np.uint32)])
     y = np.concatenate([wb[ib], np.zeros(len(only_a), np.uint32), only_b])
     kinds, n = np.unique(np.c_[x, y], axis=0, return_counts=True)
+    p, q = (np.where(kinds[:, k] > 0, weight(np.maximum(kinds[:, k], 1)), 0.0) for k in (0, 1))
     total = 0.0
-    for (p, q), m in zip(kinds.astype(float), n):
-        if p and q:
-            total += m / (n * np.maximum(kinds[:, 0] / p, kinds[:, 1] / q)).sum()
+    for i in np.flatnonzero((p > 0) & (q > 0)):
+        total += n[i] / (n * np.maximum(p / p[i], q / q[i])).sum()
     return float(total)
 
 
@@ -92,8 +98,8 @@ def sketches(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int
             for lo, hi in slices(pointers, BATCH_WORDS):
                 at = pointers[lo : hi + 1]
                 words, at = hashes[at[0] : at[-1]], at - at[0]
-                text, shingles, weights = weighted_shingles(words, at, size)
-                winners = signatures(text, shingles, weights, hi - lo, bands * rows).reshape(hi - lo, bands, rows)
+                text, shingles, counts = weighted_shingles(words, at, size)
+                winners = signatures(text, shingles, counts, hi - lo, bands * rows).reshape(hi - lo, bands, rows)
                 band = np.zeros((hi - lo, bands), np.uint64)
                 for r in range(rows):
                     band = mix(band * np.uint64(31) + winners[:, :, r])
@@ -108,7 +114,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int
 
 
 def bags(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(content, shingles, weights) of ``docs``; shingles ascend."""
+    """(content, shingles, counts) of ``docs``; shingles ascend."""
 
     def bag(batches):
         for batch in batches:
@@ -116,26 +122,26 @@ def bags(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             for lo, hi in slices(pointers, BATCH_WORDS):
                 at = pointers[lo : hi + 1]
                 words, at = hashes[at[0] : at[-1]], at - at[0]
-                text, shingles, weights = weighted_shingles(words, at, size)
+                text, shingles, counts = weighted_shingles(words, at, size)
                 begin = np.searchsorted(text, np.arange(hi - lo + 1))
-                weights = weights.astype(np.uint32)
+                counts = counts.astype(np.uint32)
                 rows = [i for i in range(hi - lo) if at[i] < at[i + 1]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([hashlib.blake2b(words[at[i] : at[i + 1]], digest_size=16).digest() for i in rows], pa.binary()),
                         pa.array([shingles[begin[i] : begin[i + 1]].tobytes() for i in rows], pa.binary()),
-                        pa.array([weights[begin[i] : begin[i + 1]].tobytes() for i in rows], pa.binary()),
+                        pa.array([counts[begin[i] : begin[i + 1]].tobytes() for i in rows], pa.binary()),
                     ],
-                    names=["content", "shingles", "weights"],
+                    names=["content", "shingles", "counts"],
                 )
 
-    return texts_of(docs).mapInArrow(bag, "content binary, shingles binary, weights binary")
+    return texts_of(docs).mapInArrow(bag, "content binary, shingles binary, counts binary")
 
 
 def _verified(pairs: DataFrame, bagged: DataFrame) -> DataFrame:
     """``pairs``(a, b) with their probability Jaccard, written."""
-    left = bagged.select(F.col("content").alias("a"), F.struct("shingles", "weights").alias("bag_a"))
-    right = bagged.select(F.col("content").alias("b"), F.struct("shingles", "weights").alias("bag_b"))
+    left = bagged.select(F.col("content").alias("a"), F.struct("shingles", "counts").alias("bag_a"))
+    right = bagged.select(F.col("content").alias("b"), F.struct("shingles", "counts").alias("bag_b"))
 
     def verify(batches):
         for batch in batches:

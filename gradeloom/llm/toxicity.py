@@ -1,7 +1,8 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted one after another. The model of a category sees the words
-of the text and the log odds of all earlier categories. It is trained with log odds
+of the text, the beginnings of its longer words (which inflected forms share) and the
+log odds of all earlier categories. It is trained with log odds
 predicted out of fold, as it would see them on new texts; the models that are kept
 are fitted on the whole sample. The last category decides rejection, at the
 threshold that serves its out-of-fold predictions best.
@@ -15,45 +16,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.linear import Sparse, fit, margin, sigmoid
-from gradeloom.llm.words import mix, slices, word_hashes
+from gradeloom.llm.words import located_words, mix, prefix_hashes, slices
 
-SAMPLE = 8000  # labelled documents used for fitting
+SAMPLE = 10000  # labelled documents used for fitting
 FOLDS = 4
-PENALTY = 0.05
-SCREEN = 3.0  # a word is a feature if it differs from independence by so many standard errors
-BATCH_WORDS = 1 << 19
+PENALTY = 1.0
+SCREEN = 4.0  # a word is a feature if it differs from independence by so many standard errors
+LEAST = 5  # and stands in so many documents of the sample
+PREFIXES = (4, 5)  # bytes
+BATCH_WORDS = 1 << 18
+
+
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts and of their beginnings, and where each text's begin."""
+    hashes, pointers, raw, starts, ends = located_words(texts)
+    table = np.repeat(hashes[:, None], 1 + len(PREFIXES), axis=1)  # a short word stands for its own beginning
+    for k, size in enumerate(PREFIXES):
+        prefix, longer = prefix_hashes(raw, starts, ends, size)
+        table[longer, k + 1] = prefix
+    return table.ravel(), pointers * table.shape[1]
 
 
 @dataclass
 class Chain:
     categories: list[str]
-    vocabulary: np.ndarray  # sorted word hashes
+    vocabulary: np.ndarray  # sorted hashes
     weights: list[np.ndarray]
     threshold: float
 
 
-def category_columns() -> dict[str, Column]:
-    """Category -> condition on a row of labels. The table names two faults; the chain goes from
-    the fault that is no toxicity over the graver kind of toxicity to toxicity as such."""
-    toxic, poor = F.col("toxic") == 1, F.col("quality") == 0
-    return {"poor": poor, "toxic_poor": toxic & poor, "toxic": toxic}
+# Category -> condition on a row of labels. The table names two faults; the chain goes from the
+# fault that is no toxicity over the graver kind of toxicity to toxicity as such.
+CATEGORIES = {"poor": "quality = 0", "toxic_poor": "toxic = 1 AND quality = 0", "toxic": "toxic = 1"}
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int) -> list[tuple[list[int], np.ndarray]]:
-    """At most ``size`` labelled documents, chosen by hash: their categories and distinct words.
+    """At most ``size`` labelled documents, chosen by hash: their categories and distinct features.
 
     A document labelled several times has a category if any label says so; labels
-    that are null say nothing. Only word hashes come to the driver.
+    that are null say nothing. Only hashes come to the driver.
     """
-    marks = [F.max(F.coalesce(rule, F.lit(False)).cast("int")).alias(f"y_{name}") for name, rule in category_columns().items()]
-    names = list(category_columns())
+    marks = [F.max(F.coalesce(F.expr(rule), F.lit(False)).cast("int")).alias(f"y_{name}") for name, rule in CATEGORIES.items()]
+    names = list(CATEGORIES)
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(*marks)
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(size)
     texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id")  # at most ``size`` rows
 
     def words(batches):
         for batch in batches:
-            hashes, pointers = word_hashes(batch.column(1))
+            hashes, pointers = features(batch.column(1))
             sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(pointers[:-1], pointers[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(batch.column(f"y_{n}") for n in names), pa.array(sets, pa.binary())],
@@ -67,43 +78,54 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> list[tuple[list[int
 
 
 def screened(words: Sparse, targets: np.ndarray) -> np.ndarray:
-    """Features that occur at least three times and with some category clearly more or less often than by chance."""
+    """Features that occur LEAST times or more and go with some category clearly more or less often than by chance."""
     n = np.bincount(words.feature, minlength=words.features)
     keep = np.zeros(words.features, bool)
     for y in targets.T:
         share = y.mean()
-        both = words.transposed(y.astype(float))
-        error = np.sqrt(np.maximum(n * share * (1 - share), 0.25))
+        both = words.transposed(y)
+        error = np.sqrt(np.maximum(n * share * (1 - share), 1))
         keep |= np.abs(both - n * share) >= SCREEN * error
-    return keep & (n >= 3)
+    return keep & (n >= LEAST)
+
+
+def fitted(words: Sparse, dense: np.ndarray, targets: np.ndarray, k: int, rows: np.ndarray) -> np.ndarray:
+    """The model of category ``k`` from some rows; words that those rows do not recommend weigh nothing."""
+    words, targets = words.take(rows), targets[rows]
+    keep = screened(words, targets)
+    inside = keep[words.feature]
+    chosen = Sparse(words.row[inside], (np.cumsum(keep) - 1)[words.feature[inside]], words.rows, int(keep.sum()))
+    found = fit(chosen, dense[rows], targets[:, k], PENALTY)
+    weights = np.zeros(words.features)
+    weights[keep] = found[: chosen.features]
+    return np.r_[weights, found[chosen.features :]]
 
 
 def train(rows: list[tuple[list[int], np.ndarray]], folds: int = FOLDS) -> Chain:
     """The chain fitted on ``rows``; without rows, or toxic ones, it rejects nothing."""
-    categories = list(category_columns())
+    categories = list(CATEGORIES)
     targets = np.array([y for y, _ in rows], float).reshape(-1, len(categories))
     if not len(rows) or not targets[:, -1].any():
         return Chain(categories, np.zeros(0, np.uint64), [np.r_[np.zeros(k), -40.0] for k in range(len(categories))], 1.0)
     sizes = [len(w) for _, w in rows]
     vocabulary, feature = np.unique(np.concatenate([w for _, w in rows]), return_inverse=True)
     words = Sparse(np.repeat(np.arange(len(rows)), sizes), feature, len(rows), len(vocabulary))
-    keep = screened(words, targets)
-    inside = keep[words.feature]
-    words = Sparse(words.row[inside], (np.cumsum(keep) - 1)[words.feature[inside]], len(rows), int(keep.sum()))
-    vocabulary = vocabulary[keep]
     # Copies of a text are in one fold: the fold is a hash of the words.
     fold = np.array([int(mix(np.add.reduce(w, keepdims=True))[0] % np.uint64(folds)) for _, w in rows])
     dense, weights = np.zeros((len(rows), 0)), []
+    everything = np.ones(len(rows), bool)
     for k in range(len(categories)):
-        y = targets[:, k]
         unseen = np.zeros(len(rows))
         for f in range(folds):
             rest = fold != f
             if rest.any() and not rest.all():
-                unseen[~rest] = margin(words.take(~rest), dense[~rest], fit(words.take(rest), dense[rest], y[rest], PENALTY))
-        weights.append(fit(words, dense, y, PENALTY))
+                unseen[~rest] = margin(words.take(~rest), dense[~rest], fitted(words, dense, targets, k, rest))
+        weights.append(fitted(words, dense, targets, k, everything))
         dense = np.c_[dense, np.clip(unseen, -40, 40)]
-    return Chain(categories, vocabulary, weights, _best_threshold(sigmoid(dense[:, -1]), targets[:, -1]))
+    # Only words that some model weighs need to be looked up in texts.
+    used = np.any([w[: len(vocabulary)] != 0 for w in weights], axis=0)
+    weights = [np.r_[w[: len(vocabulary)][used], w[len(vocabulary) :]] for w in weights]
+    return Chain(categories, vocabulary[used], weights, _best_threshold(sigmoid(dense[:, -1]), targets[:, -1]))
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -140,7 +162,7 @@ def scored(text: Column, chain: Chain) -> Column:
 
     @F.arrow_udf("array<double>")
     def score(texts: pa.Array) -> pa.Array:
-        hashes, pointers = word_hashes(texts)
+        hashes, pointers = features(texts)
         out = []
         for lo, hi in slices(pointers, BATCH_WORDS):
             at = pointers[lo : hi + 1]

@@ -30,6 +30,7 @@ def _tables():
 
 
 _CODE, _IS_WORD = _tables()
+_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(4095, _BASE, np.uint64)])
 _STEP = int(_POWERS[-1]) * _BASE % (1 << 64)
@@ -77,6 +78,11 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and where each text's words begin."""
+    return located_words(texts)[:2]
+
+
+def located_words(texts: pa.Array):
+    """As ``word_hashes``, and the bytes of all texts, and first byte and end of each word."""
     raw, at = buffers(texts)
     starts, ends = word_spans(raw, at)
     hashes = np.empty(len(starts), np.uint64)
@@ -85,7 +91,16 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + _SEGMENT)))
         hashes[lo:hi] = _hash_spans(raw, starts[lo:hi], ends[lo:hi])
         lo = hi
-    return hashes, np.searchsorted(starts, at)
+    return hashes, np.searchsorted(starts, at), raw, starts, ends
+
+
+def prefix_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first ``size`` (up to 7) bytes of the words, and which words are longer than that."""
+    longer = np.flatnonzero(ends - starts > size)
+    code = np.full(len(longer), size, np.uint64)
+    for k in range(size):
+        code = code << np.uint64(8) | _LOWER[raw[starts[longer] + k]]
+    return mix(code), longer
 
 
 def slices(pointers: np.ndarray, words: int):
