@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from gradeloom.llm import decontaminate, mixing, oracles, prob_minhash, token_store, toxicity
+from gradeloom.llm import decontaminate, license_index, link_graph, mixing, oracles, prob_minhash, token_store, toxicity
 from gradeloom.llm.common import table
 from gradeloom.llm.registry import query
 
@@ -36,3 +36,14 @@ def op1(spark, sf_dir):
 @query("op3_poisson_mixing", oracles.MIXING)
 def op3(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents")).select("_row.*", "copy", "place")
+
+
+@query("op2_link_graph_filter", oracles.LINK_GRAPH)
+def op2(spark, sf_dir):
+    found = link_graph.judged(table(spark, sf_dir, "pages"), oracles.URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_license_index", oracles.LICENSES)
+def op8(spark, sf_dir):
+    return license_index.scanned(table(spark, sf_dir, "documents"))
