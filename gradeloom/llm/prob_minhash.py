@@ -8,9 +8,12 @@ arrived first. Two documents agree in a register with the probability Jaccard of
 their bags. A shingle stops as soon as its next arrival is later than every register.
 
 Documents with the same words are one content. Contents that agree in all registers
-of a band are in one bucket. Buckets are searched so that all links that matter for
-the classes are verified, but a group of k copies of one another needs only about k
-comparisons: pairs that are already in one class are never compared.
+of a band are in one bucket. A class is a component of the graph of verified links, so
+pairs of one bucket need no comparison once they are known to be in one class. First
+every member is compared with one or two leaders of its bucket, which joins most groups
+at a cost in proportion to their size. What is then still apart within a bucket is
+compared in full: pair by pair in small buckets; in large ones in packed blocks of
+members, from which only links come out.
 """
 
 import hashlib
@@ -29,6 +32,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 DAMPING = 0.25
+SMALL_BUCKET = 24  # members; larger buckets are compared in blocks
+BLOCK_MEMBERS, BLOCK_BYTES = 128, 4 << 20
 BATCH_WORDS = 1 << 18
 
 
@@ -153,11 +158,92 @@ def _verified(pairs: DataFrame, bagged: DataFrame) -> DataFrame:
     return settle(joined.mapInArrow(verify, "a binary, b binary, similarity double"))
 
 
-def _leaders(members: DataFrame, crowd: DataFrame, count: int, turn: int) -> DataFrame:
+def _leaders(placed: DataFrame, count: int) -> DataFrame:
     """About ``count`` members of each bucket, chosen by hash; all of a smaller bucket."""
-    draw = F.pmod(F.xxhash64("content", "bucket", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = members.join(crowd, "bucket").filter(draw * F.col("n") <= count)
-    return chosen.select("bucket", F.col("content").alias("leader"), F.col("root").alias("leader_root"))
+    draw = F.pmod(F.xxhash64("content", "bucket"), F.lit(1 << 30)) / float(1 << 30)
+    return placed.filter(draw * F.col("n") <= count).select("bucket", F.col("content").alias("leader"), F.col("root").alias("leader_root"))
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The written (bucket, content, root, n) of buckets whose members are in several classes so far."""
+    known = roots.select(F.col("node").alias("content"), "root")
+    placed = members.join(known, "content", "left").select("bucket", "content", F.coalesce("root", "content").alias("root"))
+    crowd = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return settle(placed.join(crowd.filter("low <> high").select("bucket", "n"), "bucket"))
+
+
+def _links_of_blocks(block: list[dict], other: list[dict], same: bool, similarity: float):
+    """Links between members of two blocks that share a band and are in different classes,
+    one for each member and class."""
+    bands = [np.array([m["bands"] for m in part], np.int64) for part in (block, other)]
+    roots = [np.array([hash(m["root"]) for m in part]) for part in (block, other)]
+    bags = [np.frombuffer(m["shingles"], np.uint64) for m in other]
+    plain = [np.frombuffer(m["counts"], np.uint32).max() == 1 for m in other]
+    sizes = np.array([len(bag) for bag in bags])
+    for i, member in enumerate(block):
+        may = (bands[0][i] == bands[1]).any(1) & (roots[0][i] != roots[1])
+        if same:
+            may[: i + 1] = False
+        which = np.flatnonzero(may)
+        if not len(which):
+            continue
+        own = np.frombuffer(member["shingles"], np.uint64)
+        theirs = np.concatenate([bags[j] for j in which])
+        at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+        n = np.add.reduceat((own[at] == theirs).astype(np.int64), np.cumsum(sizes[which]) - sizes[which])
+        once = np.frombuffer(member["counts"], np.uint32).max() == 1
+        done = set()
+        for j, common in zip(which, n):
+            if other[j]["root"] in done or not common:
+                continue
+            if once and plain[j]:
+                alike = common / (len(own) + sizes[j] - common)
+            else:
+                alike = probability_jaccard(member, other[j])
+            if alike >= similarity - 1e-12:
+                done.add(other[j]["root"])
+                yield member["content"], other[j]["content"]
+
+
+def _links_in_crowds(apart: DataFrame, bagged: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) that matter between members of large buckets, written.
+
+    Members of overlapping buckets form a group, so that each pair is looked at once.
+    A group is cut into blocks: those of its largest class, which need not be compared
+    with each other, and those of all other members.
+    """
+    least = apart.groupBy("bucket").agg(F.min("content").alias("least"))
+    near = apart.join(least, "bucket").select(F.col("content").alias("a"), F.col("least").alias("b")).distinct()
+    groups = components(near).select(F.col("node").alias("content"), F.col("root").alias("crowd"))
+    placed = settle(apart.select("content", "root").distinct().join(groups, "content"))
+    largest = placed.groupBy("crowd", "root").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max(F.struct("n", "root")).alias("top"))
+    sided = placed.join(largest, "crowd").withColumn("side", (F.col("root") != F.col("top.root")).cast("int"))
+    bulk = sided.join(bagged, "content").join(contents.select("content", "bands"), "content")
+    weighed = sided.join(bagged.select("content", F.length("shingles").alias("size")), "content")
+    parts = weighed.groupBy("crowd", "side").agg(
+        F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_MEMBERS), F.sum("size") / F.lit(BLOCK_BYTES))).cast("int").alias("parts")
+    )
+    keyed = bulk.join(parts, ["crowd", "side"]).withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts")).cast("int"))
+    member = F.struct("content", "root", "bands", "shingles", "counts")
+    blocks = settle(keyed.groupBy("crowd", "side", "part").agg(F.collect_list(member).alias("members")))
+    names = blocks.select("crowd", "side", "part")
+    other = names.select("crowd", F.col("side").alias("side_b"), F.col("part").alias("part_b"))
+    meet = names.filter("side = 1").join(other, "crowd").filter("side_b = 0 OR part_b >= part")
+    left = blocks.withColumnRenamed("members", "block")
+    right = blocks.select("crowd", F.col("side").alias("side_b"), F.col("part").alias("part_b"), F.col("members").alias("other"))
+    both = meet.join(left, ["crowd", "side", "part"]).join(right, ["crowd", "side_b", "part_b"])
+    both = both.select(((F.col("side_b") == 1) & (F.col("part") == F.col("part_b"))).alias("same"), "block", "other")
+
+    def compare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same, block, other = (batch.column(k)[i].as_py() for k in range(3))
+                if same:
+                    other = block
+                links = list(_links_of_blocks(block, other, same, similarity))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return settle(both.mapInArrow(compare, "a binary, b binary"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
@@ -181,37 +267,28 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
     )
     crowds = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("content").alias("leader")).filter("n > 1")
     members = settle(banded.join(crowds.select("bucket", "leader"), "bucket"))
-    involved = members.select("content").distinct().join(contents.select("content", "doc_id"), "content")
+    involved = settle(members.select("content").distinct().join(contents, "content"))
     bagged = settle(bags(_rows_of(docs, involved), size).join(involved.select("content"), "content", "left_semi").dropDuplicates(["content"]))
 
-    # Every member against the least content of its bucket. A group of copies of one
+    # Every member against the least content of its bucket: a group of copies of one
     # another has the same least content in most of its buckets.
     pairs = members.filter("content <> leader").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
     judged = _verified(pairs, bagged)
-    rooted = components(_linked(judged, similarity))
-    spent = members.select("bucket", F.col("leader").alias("content")).distinct()
-    members = members.select("bucket", "content")
-    count, turn = 8, 0
-    while True:
-        # Members of different classes that have not all been compared yet. Members that
-        # were leaders have met everyone in their bucket.
-        members = members.join(spent, ["bucket", "content"], "left_anti")
-        roots = rooted.select(F.col("node").alias("content"), "root")
-        placed = members.join(roots, "content", "left").select("bucket", "content", F.coalesce("root", "content").alias("root"))
-        crowd = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-        placed = settle(placed.join(crowd.filter("low <> high").select("bucket"), "bucket", "left_semi"))
-        if placed.isEmpty():
-            break
-        crowd = placed.groupBy("bucket").agg(F.count("*").alias("n"))
-        leaders = settle(_leaders(placed, crowd, count, turn))
-        met = placed.join(leaders, "bucket").filter("root <> leader_root")
-        pairs = met.select(F.least("content", "leader").alias("a"), F.greatest("content", "leader").alias("b")).distinct()
-        pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        judged = settle(judged.unionByName(_verified(pairs, bagged)))
-        rooted = components(_linked(judged, similarity))
-        spent = leaders.select("bucket", F.col("leader").alias("content"))
-        members = placed.select("bucket", "content")
-        count, turn = count * 4, turn + 1
+    links = _linked(judged, similarity)
+    # Then against two more leaders, where a bucket is still apart.
+    apart = _apart(members.select("bucket", "content"), components(links))
+    met = apart.join(_leaders(apart, 2), "bucket").filter("root <> leader_root")
+    judged = _judge_more(met.select("content", "leader"), judged, bagged)
+    links = _linked(judged, similarity)
+    # Then in full.
+    apart = _apart(apart.select("bucket", "content"), components(links))
+    few = apart.filter(F.col("n") <= SMALL_BUCKET)
+    others = few.select("bucket", F.col("content").alias("leader"), F.col("root").alias("leader_root"))
+    met = few.join(others, "bucket").filter("root <> leader_root AND content < leader")
+    judged = _judge_more(met.select("content", "leader"), judged, bagged)
+    crowded = apart.filter(F.col("n") > SMALL_BUCKET)
+    links = settle(_linked(judged, similarity).unionByName(_links_in_crowds(crowded, bagged, involved, similarity)).distinct())
+    rooted = components(links)
 
     roots = rooted.select(F.col("node").alias("content"), "root")
     placed = contents.select("content", "doc_id", "copies").join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
@@ -231,6 +308,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
     )
 
 
+def _judge_more(met: DataFrame, judged: DataFrame, bagged: DataFrame) -> DataFrame:
+    """``judged`` and the pairs of ``met`` that it lacks, written."""
+    pairs = met.select(F.least("content", "leader").alias("a"), F.greatest("content", "leader").alias("b")).distinct()
+    return judged.unionByName(_verified(pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti"), bagged))
+
+
 def _linked(judged: DataFrame, similarity: float) -> DataFrame:
     return judged.filter(F.col("similarity") >= similarity - 1e-12).select("a", "b")
 

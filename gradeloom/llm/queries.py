@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from gradeloom.llm import decontaminate, license_index, link_graph, mixing, oracles, prob_minhash, token_store, toxicity
+from gradeloom.llm import decontaminate, hilbert, license_index, link_graph, mixing, oracles, prob_minhash, token_store, toxicity
 from gradeloom.llm.common import table
 from gradeloom.llm.registry import query
 
@@ -47,3 +47,8 @@ def op2(spark, sf_dir):
 @query("op8_license_index", oracles.LICENSES)
 def op8(spark, sf_dir):
     return license_index.scanned(table(spark, sf_dir, "documents"))
+
+
+@query("op4_hilbert_neighbours", oracles.NEIGHBOURS)
+def op4(spark, sf_dir):
+    return hilbert.search(table(spark, sf_dir, "embeddings"))
