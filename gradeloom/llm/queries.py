@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from gradeloom.llm import decontaminate, hilbert, license_index, link_graph, mixing, oracles, prob_minhash, token_store, toxicity
+from gradeloom.llm import decontaminate, hilbert, license_index, link_graph, mixing, oracles, prob_minhash, token_store, toxicity, unigram_count
 from gradeloom.llm.common import table
 from gradeloom.llm.registry import query
 
@@ -52,3 +52,9 @@ def op8(spark, sf_dir):
 @query("op4_hilbert_neighbours", oracles.NEIGHBOURS)
 def op4(spark, sf_dir):
     return hilbert.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_unigram_count")
+def op10(spark, sf_dir):
+    vocabulary = unigram_count.from_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return unigram_count.counted(table(spark, sf_dir, "documents"), vocabulary)
