@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from gradeloom.llm import decontaminate, hilbert, license_index, link_graph, mixing, oracles, prob_minhash, token_store, toxicity, unigram_count
+from gradeloom.llm import decontaminate, hilbert, language_crf, license_index, link_graph, mixing, oracles, prob_minhash, token_store, toxicity, unigram_count
 from gradeloom.llm.common import table
 from gradeloom.llm.registry import query
 
@@ -58,3 +58,9 @@ def op4(spark, sf_dir):
 def op10(spark, sf_dir):
     vocabulary = unigram_count.from_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return unigram_count.counted(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query("op5_language_crf")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_crf.judged(docs, language_crf.learned(docs))
