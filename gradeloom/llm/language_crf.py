@@ -256,7 +256,9 @@ def tagged(texts: pa.Array, model: Model):
 def predicted(text: Column, model: Model) -> Column:
     """A struct (lang_pred, score): ``und`` and 0 for a null text or one without letters, else the
     language with the largest share of the words' probabilities, and that share; ties go to the
-    first language in the order of their names."""
+    first language in the order of their names. A model of no language knows ``und`` alone."""
+    if not model.languages:
+        return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     @F.arrow_udf("struct<lang_pred string, score double>")
     def predict(texts: pa.Array) -> pa.Array:
@@ -265,9 +267,9 @@ def predicted(text: Column, model: Model) -> Column:
         for lo, hi in slices(np.r_[0, ends], BATCH_WORDS):
             lettered, pointers, marginals = tagged(texts[lo:hi], model)
             sums = np.diff(np.r_[np.zeros((1, len(model.languages))), np.cumsum(marginals, axis=0)][pointers], axis=0)
-            best = sums.argmax(1) if sums.shape[1] else np.zeros(hi - lo, int)
+            best = sums.argmax(1)
             for i in range(hi - lo):
-                known = lettered[i] and len(model.languages) > 0 and pointers[i + 1] > pointers[i]
+                known = lettered[i] and pointers[i + 1] > pointers[i]
                 names.append(model.languages[best[i]] if known else "und")
                 shares.append(min(1.0, max(0.0, float(sums[i, best[i]] / (pointers[i + 1] - pointers[i])))) if known else 0.0)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=["lang_pred", "score"])
@@ -290,7 +292,7 @@ def learned(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
         own = known.filter(F.col("lang") == language).select("doc_id", "text")
         rows = own.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(texts).collect()
         sample += [(number, r["text"]) for r in rows]
-    return fit(sample, languages)
+    return fit(sample, languages) if sample else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
 
 
 def judged(docs: DataFrame, model: Model) -> DataFrame:

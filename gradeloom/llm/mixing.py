@@ -64,7 +64,7 @@ def replicated(docs: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
     with the same doc_id, or none, are drawn alike. Sources that are not in ``wanted``
     have no copies.
     """
-    parts = F.ceil(F.col("rate") / STEP).cast("int")
+    parts = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
     plans = wanted.select(
         F.col("source").alias("_source"), parts.alias("_parts"), _distribution(F.col("rate") / parts).alias("_cdf")
     )
