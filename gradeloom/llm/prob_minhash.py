@@ -10,8 +10,8 @@ their bags. A shingle stops as soon as its next arrival is later than every regi
 Documents with the same words are one content. Contents that agree in all registers
 of a band are in one bucket. A class is a component of the graph of verified links, so
 pairs of one bucket need no comparison once they are known to be in one class. First
-every member is compared with one or two leaders of its bucket, which joins most groups
-at a cost in proportion to their size. What is then still apart within a bucket is
+every member is compared with one leader of its bucket, which joins most groups at a cost
+in proportion to their size. What is then still apart within a bucket is
 compared in full: pair by pair in small buckets; in large ones in packed blocks of
 members, from which only links come out.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import row_tie, texts_of, without
-from gradeloom.llm.components import components
+from gradeloom.llm.components import components, leaders
 from gradeloom.llm.words import mix, shingle_hashes, slices, word_hashes
 from gradeloom.session import settle
 
@@ -34,6 +34,7 @@ BANDS, ROWS = 24, 4
 DAMPING = 0.25
 SMALL_BUCKET = 24  # members; larger buckets are compared in blocks
 BLOCK_MEMBERS, BLOCK_BYTES = 128, 4 << 20
+COLUMNS = 1 << 15  # shingles looked at together when two blocks are compared
 BATCH_WORDS = 1 << 18
 
 
@@ -158,12 +159,6 @@ def _verified(pairs: DataFrame, bagged: DataFrame) -> DataFrame:
     return settle(joined.mapInArrow(verify, "a binary, b binary, similarity double"))
 
 
-def _leaders(placed: DataFrame, count: int) -> DataFrame:
-    """About ``count`` members of each bucket, chosen by hash; all of a smaller bucket."""
-    draw = F.pmod(F.xxhash64("content", "bucket"), F.lit(1 << 30)) / float(1 << 30)
-    return placed.filter(draw * F.col("n") <= count).select("bucket", F.col("content").alias("leader"), F.col("root").alias("leader_root"))
-
-
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The written (bucket, content, root, n) of buckets whose members are in several classes so far."""
     known = roots.select(F.col("node").alias("content"), "root")
@@ -172,35 +167,39 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return settle(placed.join(crowd.filter("low <> high").select("bucket", "n"), "bucket"))
 
 
+def _common(block: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each bag of one block shares with each of another."""
+    out = np.zeros((len(block), len(other)))
+    both = np.intersect1d(np.concatenate(block), np.concatenate(other))
+    for lo in range(0, len(both), COLUMNS):
+        some, held = both[lo : lo + COLUMNS], []
+        for bags in (block, other):
+            matrix = np.zeros((len(bags), len(some)), np.float32)
+            for i, bag in enumerate(bags):
+                at = np.minimum(np.searchsorted(some, bag), len(some) - 1)
+                matrix[i, at[some[at] == bag]] = 1
+            held.append(matrix)
+        out += held[0] @ held[1].T
+    return out
+
+
 def _links_of_blocks(block: list[dict], other: list[dict], same: bool, similarity: float):
     """Links between members of two blocks that share a band and are in different classes,
     one for each member and class."""
     bands = [np.array([m["bands"] for m in part], np.int64) for part in (block, other)]
     roots = [np.array([hash(m["root"]) for m in part]) for part in (block, other)]
-    bags = [np.frombuffer(m["shingles"], np.uint64) for m in other]
-    plain = [np.frombuffer(m["counts"], np.uint32).max() == 1 for m in other]
-    sizes = np.array([len(bag) for bag in bags])
+    bags = [[np.frombuffer(m["shingles"], np.uint64) for m in part] for part in (block, other)]
+    once = [np.array([np.frombuffer(m["counts"], np.uint32).max() == 1 for m in part]) for part in (block, other)]
+    sizes = [np.array([len(bag) for bag in part]) for part in bags]
+    common = _common(*bags)
     for i, member in enumerate(block):
-        may = (bands[0][i] == bands[1]).any(1) & (roots[0][i] != roots[1])
+        may = (bands[0][i] == bands[1]).any(1) & (roots[0][i] != roots[1]) & (common[i] > 0)
         if same:
             may[: i + 1] = False
-        which = np.flatnonzero(may)
-        if not len(which):
-            continue
-        own = np.frombuffer(member["shingles"], np.uint64)
-        theirs = np.concatenate([bags[j] for j in which])
-        at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
-        n = np.add.reduceat((own[at] == theirs).astype(np.int64), np.cumsum(sizes[which]) - sizes[which])
-        once = np.frombuffer(member["counts"], np.uint32).max() == 1
+        alike = common[i] / (sizes[0][i] + sizes[1] - common[i])
         done = set()
-        for j, common in zip(which, n):
-            if other[j]["root"] in done or not common:
-                continue
-            if once and plain[j]:
-                alike = common / (len(own) + sizes[j] - common)
-            else:
-                alike = probability_jaccard(member, other[j])
-            if alike >= similarity - 1e-12:
+        for j in np.flatnonzero(may & ((alike >= similarity - 1e-12) | ~(once[0][i] & once[1]))):
+            if other[j]["root"] not in done and probability_jaccard(member, other[j]) >= similarity - 1e-12:
                 done.add(other[j]["root"])
                 yield member["content"], other[j]["content"]
 
@@ -275,13 +274,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
     pairs = members.filter("content <> leader").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
     judged = _verified(pairs, bagged)
     links = _linked(judged, similarity)
-    # Then against two more leaders, where a bucket is still apart.
-    apart = _apart(members.select("bucket", "content"), components(links))
-    met = apart.join(_leaders(apart, 2), "bucket").filter("root <> leader_root")
-    judged = _judge_more(met.select("content", "leader"), judged, bagged)
-    links = _linked(judged, similarity)
-    # Then in full.
-    apart = _apart(apart.select("bucket", "content"), components(links))
+    # Then in full, where a bucket is still apart.
+    apart = _apart(members.select("bucket", "content"), leaders(links))
     few = apart.filter(F.col("n") <= SMALL_BUCKET)
     others = few.select("bucket", F.col("content").alias("leader"), F.col("root").alias("leader_root"))
     met = few.join(others, "bucket").filter("root <> leader_root AND content < leader")
@@ -321,7 +315,8 @@ def _linked(judged: DataFrame, similarity: float) -> DataFrame:
 def _rows_of(docs: DataFrame, involved: DataFrame) -> DataFrame:
     """Rows of ``docs`` with the doc_id of an involved content."""
     ids = involved.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    # Sorted and merged at any size: the ids grow with the documents and are not broadcast.
+    return docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def survivors(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
