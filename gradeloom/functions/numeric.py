@@ -1,12 +1,31 @@
 """Rounding, summing and number formats that agree with IEEE doubles exactly."""
 
-from pyspark.sql import Column
+import math
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DECIMALS = 8
 _SPLITTER = 134217729.0  # 2**27 + 1, splits a double into two 26-bit halves
-_STEP = 4294967296.0  # 2**32, distance between the limbs of an exact sum
-_LIMB_RANGE = 2147483648.0  # 2**31, largest magnitude summed limb by limb
+_STEP = 4294967296.0  # 2**32, distance between the pieces of an exact sum
+_EXACT = 9007199254740992.0  # 2**53, up to here every integer is a double
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` where the value is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _product_error(a: Column, b: Column, product: Column) -> Column:
+    """What the rounded ``product`` of two doubles lacks to the exact one."""
+    carry_a, carry_b = F.lit(_SPLITTER) * a, F.lit(_SPLITTER) * b
+    high_a, high_b = carry_a - (carry_a - a), carry_b - (carry_b - b)
+    low_a, low_b = a - high_a, b - high_b
+    return low_a * low_b - (((product - high_a * high_b) - low_a * high_b) - high_a * low_b)
+
+
+# --- rounding ------------------------------------------------------------------
 
 
 def _power_of_ten(digits) -> Column:
@@ -24,52 +43,115 @@ def py_round(x: Column, digits) -> Column:
 
     ``x * 10**digits`` may land on a tie only because the product was rounded;
     the rounding error of the product then tells on which side of the tie the
-    exact value lies. Written without branches, so that generated code holds
-    every shared part once.
+    exact value lies. Where the product is too large to be exact as an integer,
+    the fraction of ``x`` is rounded by itself: it has few bits there. Written
+    without branches, so that generated code holds every shared part once.
     """
     scale = _power_of_ten(digits)
-    product = x * scale
+    large = F.abs(x) * scale >= _EXACT
+    whole = F.when(large & (F.abs(x) < _EXACT), F.signum(x) * F.floor(F.abs(x)).cast("double")).otherwise(F.lit(0.0))
+    part = F.when(large, x - whole).otherwise(x)
+    product = part * scale
     nearest = F.rint(product)
-    carry = F.lit(_SPLITTER) * x
-    high = carry - (carry - x)
-    error = (high * scale - product) + (x - high) * scale
+    carry = F.lit(_SPLITTER) * part
+    high = carry - (carry - part)
+    error = (high * scale - product) + (part - high) * scale
     # -1 or +1 exactly when a tie was rounded away from the side of the error
     excess = (nearest - product) - F.signum(error) * 0.5
-    return (nearest - F.coalesce(excess.try_cast("int"), F.lit(0))) / scale
+    rounded = (nearest - F.coalesce(excess.try_cast("int"), F.lit(0))) / scale
+    return F.when(F.abs(x) >= _EXACT, x).when(large, whole + rounded).otherwise(rounded)
+
+
+# --- sums ----------------------------------------------------------------------
 
 
-def exact_sum(x: Column) -> Column:
-    """Aggregate: the sum of doubles, correctly rounded, in any row order.
+def exact_sums(df: DataFrame, keys: list[str], sums: dict[str, Column], more: dict[str, tuple] | None = None) -> DataFrame:
+    """Group ``df`` by ``keys`` and sum doubles, correctly rounded, in any row order.
 
-    Each value is cut into three integer limbs (units, 2**-32, 2**-64) which
-    are summed as BIGINT. Integer sums do not depend on the order of rows, so
-    the aggregate combines map-side and a hot group needs no collected array,
-    yet it returns what a compensated sum over the ordered list returns.
-    Values of 2**31 and above, infinities and NaN are added as plain doubles.
-    NULL is ignored; an empty group sums to 0.
+    Each value is cut into three integer pieces of 32 bits within a window of
+    exponents; windows of all exponents of a double exist. Pieces are summed as
+    BIGINT by (keys, windows), which combines map-side and does not depend on the
+    order of rows, and the few windows of a group are joined with one rounding. A
+    group may hold any magnitudes and 2**30 values for each window. NULL is ignored;
+    no value sums to 0; infinities and NaN add as doubles do.
+
+    ``more`` names further aggregates as (column for the first grouping, function of
+    its name for the second), such as (F.count("*"), F.sum).
     """
-    small = F.abs(x) < F.lit(_LIMB_RANGE)
-    value = F.when(small, x).otherwise(F.lit(0.0))
-    units = F.rint(value)
-    rest = (value - units) * _STEP
-    middle = F.rint(rest)
-    low = F.rint((rest - middle) * _STEP)
-    wide = F.sum(F.when(~small, x))
+    more = more or {}
+    cut = df
+    first, final = [], []
+    for n, (name, value) in enumerate(sums.items()):
+        x = F.col(f"_x{n}")
+        usual = F.coalesce((F.abs(x) < F.lit(float("inf"))) & (x != 0.0), F.lit(False))
+        size = F.when(usual, F.abs(x)).otherwise(F.lit(1.0))
+        cut = cut.withColumn(f"_x{n}", value.cast("double")).withColumn(f"_w{n}", F.floor(F.log2(size) / 32).cast("int"))
+        half = F.pow(F.lit(2.0), F.col(f"_w{n}") * -16)
+        cut = cut.withColumn(f"_m{n}", F.when(usual, x * half * half).otherwise(F.lit(0.0)))
+        top = _toward_zero(F.col(f"_m{n}"))
+        cut = cut.withColumn(f"_t{n}", top).withColumn(f"_r{n}", (F.col(f"_m{n}") - top.cast("double")) * _STEP)
+        middle = _toward_zero(F.col(f"_r{n}"))
+        low = _toward_zero((F.col(f"_r{n}") - middle.cast("double")) * _STEP)
+        first += [
+            F.sum(f"_t{n}").alias(f"_p{n}"),
+            F.sum(middle).alias(f"_q{n}"),
+            F.sum(low).alias(f"_l{n}"),
+            F.sum(F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x)).alias(f"_s{n}"),
+        ]
+        window = F.collect_list(F.struct(F.col(f"_w{n}").alias("w"), F.col(f"_p{n}").alias("p"), F.col(f"_q{n}").alias("q"), F.col(f"_l{n}").alias("l")))
+        final += [window.alias(f"_a{n}"), F.sum(f"_s{n}").alias(f"_s{n}")]
+    windows = [f"_w{n}" for n in range(len(sums))]
+    once = cut.groupBy(*keys, *windows).agg(*first, *[agg.alias(name) for name, (agg, _) in more.items()])
+    twice = once.groupBy(*keys).agg(*final, *[again(name).alias(name) for name, (_, again) in more.items()])
+    totals = [F.coalesce(F.col(f"_s{n}"), _joined(F.col(f"_a{n}"))).alias(name) for n, name in enumerate(sums)]
+    return twice.select(*keys, *totals, *more)
+
+
+def _toward_zero(x: Column) -> Column:
+    return x.cast("bigint")
 
-    def limb(part: Column) -> Column:
-        return F.coalesce(F.sum(part.cast("bigint")), F.lit(0).cast("bigint"))
 
-    return _join_limbs(limb(units), limb(middle), limb(low)) + F.coalesce(wide, F.lit(0.0))
+def _joined(windows: Column) -> Column:
+    """The double nearest to the sum of the pieces of all windows."""
 
+    def digits(sign: int) -> Column:
+        """Digits to base 2**32 from the lowest to the highest, the last one signed."""
+        low, high = F.array_min(F.transform(windows, lambda a: a["w"])) - 2, F.array_max(F.transform(windows, lambda a: a["w"]))
 
-def _join_limbs(units: Column, middle: Column, low: Column) -> Column:
-    mask = F.lit((1 << 32) - 1).cast("bigint")
-    middle = middle + F.shiftright(low, 32)
-    whole = (units + F.shiftright(middle, 32)).cast("double")
-    fraction = middle.bitwiseAND(mask).cast("double") / _STEP
-    total = whole + fraction
-    lost = fraction - (total - whole)
-    return total + (lost + low.bitwiseAND(mask).cast("double") / (_STEP * _STEP))
+        def piece(place, a):
+            here = F.when(a["w"] == place, a["p"]).when(a["w"] == place + 1, a["q"]).when(a["w"] == place + 2, a["l"])
+            return F.coalesce(here, F.lit(0).cast("bigint")) * sign
+
+        def step(state, place):
+            total = F.aggregate(windows, state["carry"], lambda t, a: t + piece(place, a))
+            digit = total.bitwiseAND(F.lit((1 << 32) - 1).cast("bigint"))
+            return F.struct(F.concat(state["done"], F.array(digit)).alias("done"), F.shiftright(total, 32).alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("carry"))
+        done = F.aggregate(F.sequence(low, high), start, step, lambda s: F.concat(s["done"], F.array(s["carry"])))
+        return F.struct(done.alias("digits"), low.alias("low"))
+
+    def nearest(number: Column) -> Column:
+        """The double of non-negative digits: three from the first that is not 0, and whether any follow."""
+        values = number["digits"]
+        after = F.array_position(F.reverse(F.transform(values, lambda d: d != 0)), True)
+        last = F.size(values) - after.cast("int")  # position of the first digit that counts, from 0
+        a, b, c = (F.coalesce(F.get(values, last - k), F.lit(0).cast("bigint")).cast("double") for k in range(3))
+        rest = F.exists(F.slice(values, 1, F.greatest(last - 2, F.lit(0))), lambda d: d != 0)
+        c = F.when(rest & (c % 2.0 == 0.0), c + 1.0).otherwise(c)  # far below the last bit, but off the tie
+        a, b = a * (_STEP * _STEP), b * _STEP
+        total = _let(a + b, lambda s: s + ((b - (s - a)) + c))
+        half = F.pow(F.lit(2.0), (number["low"] + last - 2) * 16)
+        return F.when(after == 0, F.lit(0.0)).otherwise(total * half * half)
+
+    def signed(number: Column) -> Column:
+        negative = F.element_at(number["digits"], -1) < 0
+        return F.when(negative, -nearest(digits(-1))).otherwise(nearest(number))
+
+    return _let(digits(1), signed)
+
+
+# --- text ----------------------------------------------------------------------
 
 
 def fmt_f(x: Column, digits: int) -> Column:
@@ -85,49 +167,122 @@ def fmt_f(x: Column, digits: int) -> Column:
     )
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` where the value is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), 0)
+_DIGITS = 6
+_DEEPEST, _HIGHEST = -324, 308  # decimal exponents of doubles
 
 
-def fmt_g(x: Column) -> Column:
-    """Six significant digits without trailing zeros, as C's ``%g``."""
-    return _let(x, lambda v: _let(_six_digits(v), lambda rounded: _general(v, rounded)))
+def _scaled_power(exponent: int) -> tuple[float, float]:
+    """10**exponent as the sum of two doubles, scaled to keep clear of the ends of the range:
+    times 2**-600 for positive exponents, which meet small numbers, 2**-200 for the others' inverse."""
+    exact = Fraction(10) ** abs(exponent) / Fraction(2) ** (600 if exponent > 0 else 200)
+    return float(exact), float(exact - Fraction(float(exact)))
 
 
-def _six_digits(x: Column) -> Column:
-    size = F.abs(x)
-    digits = (
-        F.when(size >= 1e5, 0)
-        .when(size >= 1e4, 1)
-        .when(size >= 1e3, 2)
-        .when(size >= 1e2, 3)
-        .when(size >= 1e1, 4)
-        .when(size >= 1.0, 5)
-        .when(size >= 1e-1, 6)
-        .when(size >= 1e-2, 7)
-        .otherwise(8)
-    )
-    in_range = F.when(size < 1e6, x).otherwise(F.lit(0.0))
-    return _let(digits, lambda d: py_round(in_range, d))
-
+def fmt_g(x: Column) -> Column:
+    """Six significant digits without trailing zeros, as C's ``%g``.
 
-def _general(x: Column, rounded: Column) -> Column:
+    The digits are the integer nearest to x * 10**k, half to even; the product or,
+    for large numbers, the remainder is carried in two doubles, so that they
+    are those of the exact binary value at every magnitude.
+    """
     size = F.abs(x)
-    plain = F.regexp_replace(rounded.cast("decimal(18,8)").cast("string"), r"\.?0+$", "")
-    # integers keep ties exact, so these are settled before the text is made
-    last = F.pow(F.lit(10.0), F.floor(F.log10(size)) - 5)
-    settled = F.when((size >= 1e6) & (size < 1e15), F.rint(x / last) * last).otherwise(x)
-    scientific = F.regexp_replace(F.format_string("%.5e", settled), r"\.?0+e", "e")
-    tiny = F.regexp_replace(
-        F.format_string("%.5e", x).try_cast("decimal(18,10)").cast("string"), r"\.?0+$", ""
-    )
+    usual = F.coalesce((size > 0) & (size < F.lit(float("inf"))), F.lit(False))
+    text = _let(F.when(usual, size).otherwise(F.lit(1.0)), lambda v: _let(_exponent(v), lambda e: _general(v, e)))
     return (
-        F.when(F.isnan(x), F.lit("nan"))
+        F.when(x.isNull(), F.lit(None))
+        .when(F.isnan(x), F.lit("nan"))
         .when(x == F.lit(float("inf")), F.lit("inf"))
         .when(x == F.lit(float("-inf")), F.lit("-inf"))
-        .when(x == 0.0, F.lit("0"))
-        .when((size >= 1e6) | (F.abs(rounded) >= 1e6) | (size < 1e-4), scientific)
-        .when(size < 1e-3, tiny)
-        .otherwise(plain)
+        .when(x == 0.0, F.when(x.cast("string").startswith("-"), F.lit("-0")).otherwise(F.lit("0")))
+        .when(x < 0, F.concat(F.lit("-"), text))
+        .otherwise(text)
+    )
+
+
+def _at_least(exponent: int) -> float:
+    """The least double that is not below 10**exponent."""
+    near = float(f"1e{exponent}")
+    return near if Fraction(near) >= Fraction(10) ** exponent else math.nextafter(near, math.inf)
+
+
+def _exponent(size: Column) -> Column:
+    """The decimal exponent of the first digit."""
+    powers = F.array(*[F.lit(_at_least(k)) for k in range(_DEEPEST, _HIGHEST + 1)])
+    guess = F.greatest(F.lit(_DEEPEST), F.least(F.lit(_HIGHEST), F.floor(F.log10(size)).cast("int")))
+    above = F.coalesce(F.get(powers, guess + (1 - _DEEPEST)), F.lit(float("inf")))
+    return F.when(size >= above, guess + 1).when(size < F.get(powers, guess - _DEEPEST), guess - 1).otherwise(guess)
+
+
+def _general(size: Column, exponent: Column) -> Column:
+    shifts = range(_DIGITS - 1 - _HIGHEST, _DIGITS - 1 - _DEEPEST + 2)
+    highs, lows = zip(*(_scaled_power(k) for k in shifts))
+    shift = F.lit(_DIGITS - 1) - exponent
+    power = F.struct(
+        F.get(F.array(*map(F.lit, highs)), shift - shifts[0]).alias("high"), F.get(F.array(*map(F.lit, lows)), shift - shifts[0]).alias("low")
     )
+
+    def rounded(p: Column) -> Column:
+        return F.when(shift > 0, _small(size, p)).otherwise(_large(size, p))
+
+    def written(n: Column) -> Column:
+        full = n == 10**_DIGITS
+        digits = F.when(full, F.lit("1")).otherwise(F.regexp_replace(n.cast("string"), "0+$", ""))
+        return _let(F.struct(digits.alias("d"), (exponent + full.cast("int")).alias("e")), lambda s: _placed(s["d"], s["e"]))
+
+    return _let(_let(power, rounded).cast("bigint"), written)
+
+
+def _half_even(nearest: Column, rest: Column) -> Column:
+    """``nearest`` moved by one if the rest beyond it, in units, is over a half, or a half and it is odd."""
+    odd = F.abs(nearest) % 2.0 == 1.0
+    up = (rest > 0.5) | ((rest == 0.5) & odd)
+    down = (rest < -0.5) | ((rest == -0.5) & odd)
+    return nearest + F.when(up, F.lit(1.0)).when(down, F.lit(-1.0)).otherwise(F.lit(0.0))
+
+
+def _small(size: Column, power: Column) -> Column:
+    """size * 10**shift to an integer."""
+    scaled = size * F.lit(2.0**600)
+    high, low = power["high"], power["low"]
+
+    def settle(product: Column) -> Column:
+        nearest = F.rint(product)
+        return _half_even(nearest, (product - nearest) + (_product_error(scaled, high, product) + scaled * low))
+
+    return _let(scaled * high, settle)
+
+
+def _large(size: Column, power: Column) -> Column:
+    """size / 10**-shift to an integer, by its remainder."""
+    scaled = size * F.lit(2.0**-200)
+    high, low = power["high"], power["low"]
+
+    def settle(nearest: Column) -> Column:
+        def by(product: Column) -> Column:
+            left = ((scaled - product) - _product_error(nearest, high, product)) - nearest * low
+            # A half is compared without division: left against half the power.
+            odd = nearest % 2.0 == 1.0
+            over, under = (left - high * 0.5) - low * 0.5, (left + high * 0.5) + low * 0.5
+            up = (over > 0) | ((over == 0) & odd)
+            down = (under < 0) | ((under == 0) & odd)
+            return nearest + F.when(up, F.lit(1.0)).when(down, F.lit(-1.0)).otherwise(F.lit(0.0))
+
+        return _let(nearest * high, by)
+
+    return _let(F.rint(scaled / high), settle)
+
+
+def _placed(digits: Column, exponent: Column) -> Column:
+    """Digits with a point, or in scientific notation."""
+    length = F.length(digits)
+    tail = F.substring(digits, F.lit(2), length)
+    point = F.when(length > 1, F.concat(F.lit("."), tail)).otherwise(F.lit(""))
+    sign = F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+"))
+    power = F.abs(exponent)
+    science = F.concat(F.substring(digits, 1, 1), point, F.lit("e"), sign, F.when(power < 10, F.lit("0")).otherwise(F.lit("")), power.cast("string"))
+    whole = F.rpad(digits, F.greatest(exponent + 1, length), "0")
+    above = F.substring(whole, F.lit(1), exponent + 1)
+    below = F.substring(whole, exponent + 2, length)
+    plain = F.concat(above, F.when(below == "", F.lit("")).otherwise(F.concat(F.lit("."), below)))
+    fraction = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-exponent - 1, F.lit(0))), digits)
+    return F.when((exponent < -4) | (exponent >= _DIGITS), science).when(exponent < 0, fraction).otherwise(plain)

@@ -1,23 +1,29 @@
 """Whose row is it? Students found by roll number and name, or newly made.
 
-Rows of a workbook are judged in order, and a student made for one row is
-known to every later row. A row makes a student exactly when nobody holds its
+Rows of an institution are judged in order, workbook after workbook by their
+names, and a student made for one row is known to every later row. A row makes a student exactly when nobody holds its
 roll and nobody holds its name, so which rows do is the greedy choice in row
 order: a row wins when it is the first undecided one for its roll and for its
-name. Each round settles all such rows of all workbooks at once and drops the
+name. Each round settles all such rows of all institutions at once and drops the
 rows they block; only chains of rows that alternate between shared rolls and
 shared names need further rounds. The verdict on every row is then a lookup of
 the holders that were there before it.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import safe_name
-from gradeloom.operators.skew import running_total
+from gradeloom.operators.skew import number_rows, running_total
 from gradeloom.session import settle
 
 BOOK = ["institution_id", "workbook"]
+INST = ["institution_id"]
+
+
+def _place() -> Column:
+    """The place of a row in its institution; places compare workbook first."""
+    return F.struct("workbook", "ord")
 
 
 def _holders(student: DataFrame, key: str) -> DataFrame:
@@ -30,12 +36,12 @@ def _holders(student: DataFrame, key: str) -> DataFrame:
 
 
 def new_student_rows(rows: DataFrame, student: DataFrame) -> DataFrame:
-    """The rows that make a student: (institution_id, workbook, ord, roll, name)."""
-    pairs = rows.groupBy(*BOOK, "roll", "name").agg(F.min("ord").alias("ord"))
+    """The rows that make a student: (institution_id, place, roll, name)."""
+    pairs = rows.groupBy(*INST, "roll", "name").agg(F.min(_place()).alias("place"))
     for key, column in (("roll", "roll_no"), ("name", "name")):
         held = _holders(student, column).select("institution_id", F.col("key").alias(key))
         pairs = pairs.join(held, ["institution_id", key], "left_anti")
-    waiting = settle(pairs.select(*BOOK, "ord", "roll", "name"))
+    waiting = settle(pairs.select(*INST, "place", "roll", "name"))
     won = None
     while not waiting.isEmpty():
         winners = settle(_winners(waiting))
@@ -47,30 +53,30 @@ def new_student_rows(rows: DataFrame, student: DataFrame) -> DataFrame:
 def _claims(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First claim on every roll and on every name. A row without a name names
     its student after the roll number."""
-    rolls = rows.where("roll <> ''").groupBy(*BOOK, "roll").agg(F.min("ord").alias("roll_ord"))
+    rolls = rows.where("roll <> ''").groupBy(*INST, "roll").agg(F.min("place").alias("roll_place"))
     named = rows.withColumn("name", F.when(F.col("name") == "", F.col("roll")).otherwise(F.col("name")))
-    names = named.groupBy(*BOOK, "name").agg(F.min("ord").alias("name_ord"))
+    names = named.groupBy(*INST, "name").agg(F.min("place").alias("name_place"))
     return rolls, names
 
 
 def _against(rows: DataFrame, claims: tuple[DataFrame, DataFrame]) -> DataFrame:
     rolls, names = claims
     # a row without a name is not stopped by a holder of that name
-    return rows.join(rolls, [*BOOK, "roll"], "left").join(names, [*BOOK, "name"], "left")
+    return rows.join(rolls, [*INST, "roll"], "left").join(names, [*INST, "name"], "left")
 
 
 def _winners(waiting: DataFrame) -> DataFrame:
-    first_roll = F.coalesce(F.col("roll_ord") >= F.col("ord"), F.lit(True))
-    first_name = F.coalesce(F.col("name_ord") >= F.col("ord"), F.lit(True))
-    return _against(waiting, _claims(waiting)).where(first_roll & first_name).select(*BOOK, "ord", "roll", "name")
+    first_roll = F.coalesce(F.col("roll_place") >= F.col("place"), F.lit(True))
+    first_name = F.coalesce(F.col("name_place") >= F.col("place"), F.lit(True))
+    return _against(waiting, _claims(waiting)).where(first_roll & first_name).select(*INST, "place", "roll", "name")
 
 
 def _unblocked(waiting: DataFrame, winners: DataFrame) -> DataFrame:
-    blocked = F.coalesce(F.col("roll_ord") <= F.col("ord"), F.lit(False)) | F.coalesce(
-        F.col("name_ord") <= F.col("ord"), F.lit(False)
+    blocked = F.coalesce(F.col("roll_place") <= F.col("place"), F.lit(False)) | F.coalesce(
+        F.col("name_place") <= F.col("place"), F.lit(False)
     )
-    rest = waiting.join(winners.select(*BOOK, "ord"), [*BOOK, "ord"], "left_anti")
-    return _against(rest, _claims(winners)).where(~blocked).select(*BOOK, "ord", "roll", "name")
+    rest = waiting.join(winners.select(*INST, "place"), [*INST, "place"], "left_anti")
+    return _against(rest, _claims(winners)).where(~blocked).select(*INST, "place", "roll", "name")
 
 
 def make_ids(made: DataFrame, student: DataFrame) -> DataFrame:
@@ -78,50 +84,70 @@ def make_ids(made: DataFrame, student: DataFrame) -> DataFrame:
 
     The id is ``imp_`` and the roll number or name. Where that id is taken,
     a number follows that counts the collisions of the workbook in row order;
-    a numbered id that is taken too uses up its number.
+    a numbered id that is taken too uses up its number, and so do all stored ones
+    that follow it without a gap.
     """
     base = F.concat(F.lit("imp_"), safe_name(F.when(F.col("roll") != "", F.col("roll")).otherwise(F.col("name"))))
     stored = student.select("institution_id", F.col("id").alias("student_id"), F.lit(True).alias("stored"))
+    runs = settle(_stored_runs(student))
     taken = stored.withColumnRenamed("student_id", "base")
     state = settle(
         made.withColumn("base", base)
         .join(taken, ["institution_id", "base"], "left")
-        .select(*BOOK, "ord", "roll", "name", "base", F.coalesce("stored", F.lit(False)).alias("numbered"), F.lit(0).cast("bigint").alias("extra"))
-    )
+        .select(
+            *INST, "place", "roll", "name", "base", "place.workbook", "place.ord",
+            F.coalesce("stored", F.lit(False)).alias("numbered"), F.lit(0).cast("bigint").alias("extra"),
+        )
+    )
     while True:
         named = settle(_named(state))
-        wrong = _first_wrong(named, stored)
+        wrong = _first_wrong(named, stored, runs)
         if wrong.isEmpty():
             return named.select(*BOOK, "ord", "roll", "name", "student_id")
-        fixed = state.join(wrong, [*BOOK, "ord"], "left")
+        fixed = state.join(wrong, [*INST, "place"], "left")
         state = settle(
             fixed.select(
-                *BOOK, "ord", "roll", "name", "base",
-                (F.col("numbered") | F.col("wrong").isNotNull()).alias("numbered"),
-                (F.col("extra") + F.when(F.col("wrong") == "number", 1).otherwise(0)).alias("extra"),
+                *INST, "place", "roll", "name", "base", "workbook", "ord",
+                (F.col("numbered") | F.col("skip").isNotNull()).alias("numbered"),
+                (F.col("extra") + F.coalesce("skip", F.lit(0))).alias("extra"),
             )
         )
 
 
+def _stored_runs(student: DataFrame) -> DataFrame:
+    """(institution_id, base, number, last): stored ids that end in a number, and the last
+    number that follows without a gap."""
+    parts = student.select(
+        "institution_id",
+        F.regexp_extract("id", r"^(.*)_([1-9][0-9]{0,17})$", 1).alias("base"),
+        F.regexp_extract("id", r"^(.*)_([1-9][0-9]{0,17})$", 2).try_cast("bigint").alias("number"),
+    )
+    known = parts.where("number IS NOT NULL").distinct()
+    placed = number_rows(known, ["institution_id", "base"], "number", "n")
+    island = placed.withColumn("island", F.col("number") - F.col("n"))
+    ends = island.groupBy("institution_id", "base", "island").agg(F.max("number").alias("last"))
+    return island.join(ends, ["institution_id", "base", "island"]).select("institution_id", "base", "number", "last")
+
+
 def _named(state: DataFrame) -> DataFrame:
-    first = state.where(~F.col("numbered")).groupBy(*BOOK, "base").agg(F.min("ord").alias("first_ord"))
-    split = state.join(first, [*BOOK, "base"], "left").withColumn(
-        "plain", ~F.col("numbered") & (F.col("ord") == F.col("first_ord"))
+    first = state.where(~F.col("numbered")).groupBy(*INST, "base").agg(F.min("place").alias("first_place"))
+    split = state.join(first, [*INST, "base"], "left").withColumn(
+        "plain", ~F.col("numbered") & F.coalesce(F.col("place") == F.col("first_place"), F.lit(False))
     )
-    plain = split.where("plain").withColumn("student_id", F.col("base"))
-    collisions = running_total(split.where("NOT plain"), BOOK, "ord", "number", weight=F.col("extra") + 1)
-    numbered = collisions.withColumn("student_id", F.concat_ws("_", "base", "number")).drop("number")
-    return plain.unionByName(numbered)
-
-
-def _first_wrong(named: DataFrame, stored: DataFrame) -> DataFrame:
-    """Per workbook the earliest row whose id is taken; rows before it are final."""
-    owner = named.groupBy(*BOOK, "student_id").agg(F.min("ord").alias("owner_ord"))
-    checked = named.join(stored, ["institution_id", "student_id"], "left").join(owner, [*BOOK, "student_id"])
-    bad = F.col("stored").isNotNull() | (F.col("owner_ord") < F.col("ord"))
-    reason = F.when(F.col("plain"), "plain").otherwise("number")
-    return checked.where(bad).groupBy(*BOOK).agg(F.min(F.struct("ord", reason.alias("wrong"))).alias("w")).select(
-        *BOOK, "w.ord", "w.wrong"
+    plain = split.where("plain").withColumn("student_id", F.col("base")).withColumn("number", F.lit(None).cast("bigint"))
+    numbered = running_total(split.where("NOT plain"), BOOK, "ord", "number", weight=F.col("extra") + 1)
+    return plain.unionByName(numbered.withColumn("student_id", F.concat_ws("_", "base", "number")))
+
+
+def _first_wrong(named: DataFrame, stored: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per institution the earliest row whose id is taken, and how many numbers it uses up; rows before it are final."""
+    owner = named.groupBy(*INST, "student_id").agg(F.min("place").alias("owner_place"))
+    checked = named.join(stored, ["institution_id", "student_id"], "left").join(owner, [*INST, "student_id"])
+    checked = checked.join(runs, ["institution_id", "base", "number"], "left")
+    bad = F.col("stored").isNotNull() | (F.col("owner_place") < F.col("place"))
+    skip = F.when(F.col("plain"), F.lit(0)).otherwise(F.coalesce(F.col("last") - F.col("number"), F.lit(0)) + 1)
+    return checked.where(bad).groupBy(*INST).agg(F.min(F.struct("place", skip.cast("bigint").alias("skip"))).alias("w")).select(
+        *INST, "w.place", "w.skip"
     )
 
 
@@ -129,18 +155,19 @@ def resolve_students(rows: DataFrame, student: DataFrame) -> tuple[DataFrame, Da
     """Verdict on every row, and the students made.
 
     ``rows``: (institution_id, workbook, ord, roll, name), unique by ``ord``
-    in a workbook, roll and name '' when missing. The first result adds
+    in a workbook, roll and name '' when missing. Workbooks of one institution
+    follow each other in the order of their names. The first result adds
     ``student_id``, ``is_new`` and ``error``; the second is
     (institution_id, workbook, ord, student_id, name, roll_no).
     """
     rows = settle(rows)
     made = settle(make_ids(new_student_rows(rows, student), student))
     made_name = F.when(F.col("name") == "", F.col("roll")).otherwise(F.col("name"))
-    one = F.struct("ord", F.col("student_id").alias("id"), made_name.alias("name"), F.col("roll").alias("roll_no"))
-    made_roll = made.where("roll <> ''").select(*BOOK, "roll", one.alias("roll_made"))
+    one = F.struct(_place().alias("place"), F.col("student_id").alias("id"), made_name.alias("name"), F.col("roll").alias("roll_no"))
+    made_roll = made.where("roll <> ''").select(*INST, "roll", one.alias("roll_made"))
     # a name has at most one student made under it and one named after a roll
-    made_names = made.select(*BOOK, made_name.alias("name"), (F.col("name") == "").alias("after_roll"), one.alias("m"))
-    made_by_name = made_names.groupBy(*BOOK, "name").agg(
+    made_names = made.select(*INST, made_name.alias("name"), (F.col("name") == "").alias("after_roll"), one.alias("m"))
+    made_by_name = made_names.groupBy(*INST, "name").agg(
         F.min(F.when(~F.col("after_roll"), F.col("m"))).alias("name_made"),
         F.min(F.when(F.col("after_roll"), F.col("m"))).alias("name_made_too"),
     )
@@ -153,13 +180,14 @@ def resolve_students(rows: DataFrame, student: DataFrame) -> tuple[DataFrame, Da
     known = (
         rows.join(rolls, ["institution_id", "roll"], "left")
         .join(names, ["institution_id", "name"], "left")
-        .join(made_roll, [*BOOK, "roll"], "left")
-        .join(made_by_name, [*BOOK, "name"], "left")
+        .join(made_roll, [*INST, "roll"], "left")
+        .join(made_by_name, [*INST, "name"], "left")
+        .withColumn("place", _place())
     )
 
     def before(made_column: str):
         # a made student is there for the rows after its own
-        return F.when(F.col(made_column)["ord"] < F.col("ord"), F.col(made_column).dropFields("ord"))
+        return F.when(F.col(made_column)["place"] < F.col("place"), F.col(made_column).dropFields("place"))
 
     def count(stored: str, *students):
         parts = [F.coalesce(F.col(stored), F.lit(0))] + [F.when(s.isNotNull(), 1).otherwise(0) for s in students]
@@ -170,13 +198,13 @@ def resolve_students(rows: DataFrame, student: DataFrame) -> tuple[DataFrame, Da
 
     made_r, made_n, made_n2 = before("roll_made"), before("name_made"), before("name_made_too")
     seen = known.select(
-        *BOOK, "ord", "roll", "name",
+        *BOOK, "ord", "place", "roll", "name",
         count("roll_n", made_r).alias("roll_count"),
         count("name_n", made_n, made_n2).alias("name_count"),
         F.coalesce("roll_held", made_r).alias("by_roll"),
         F.coalesce("name_held", made_n, made_n2).alias("by_name"),
-        F.when(F.col("roll") != "", F.col("roll_made")["ord"]).alias("roll_made_ord"),
-        F.col("name_made")["ord"].alias("name_made_ord"),
+        F.when(F.col("roll") != "", F.col("roll_made")["place"]).alias("roll_made_place"),
+        F.col("name_made")["place"].alias("name_made_place"),
         F.coalesce(F.col("roll_made")["id"], F.col("name_made")["id"]).alias("made_id"),
     )
     by_roll, by_name, roll, name = (F.col(c) for c in ("by_roll", "by_name", "roll", "name"))
@@ -201,8 +229,8 @@ def resolve_students(rows: DataFrame, student: DataFrame) -> tuple[DataFrame, Da
             say("name '", name, "' has roll '", by_name["roll_no"], "', not '", roll, quote),
         )
     )
-    own = F.coalesce(F.col("roll_made_ord") == F.col("ord"), F.lit(False)) | F.coalesce(
-        F.col("name_made_ord") == F.col("ord"), F.lit(False)
+    own = F.coalesce(F.col("roll_made_place") == F.col("place"), F.lit(False)) | F.coalesce(
+        F.col("name_made_place") == F.col("place"), F.lit(False)
     )
     judged = seen.select(
         *BOOK, "ord", error.alias("error"), own.alias("is_new"),

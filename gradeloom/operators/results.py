@@ -21,7 +21,7 @@ from gradeloom.functions.grading import (
     grade_for,
     student_passed,
 )
-from gradeloom.functions.numeric import exact_sum, py_round
+from gradeloom.functions.numeric import exact_sums, py_round
 from gradeloom.operators.orgtree import org_paths
 from gradeloom.operators.rules import RAW_TOTAL, institution_rules, offering_rules
 
@@ -90,10 +90,11 @@ def taken_courses(domain: Domain) -> DataFrame:
 
 def graded_offerings(domain: Domain) -> DataFrame:
     """Per offering: rules, course labels, and the totals over its assessments."""
-    totals = domain.assessment.groupBy("institution_id", "offering_id").agg(
-        F.count(F.lit(1)).alias("n_assessments"),
-        exact_sum(F.col("weight")).alias("total_weight"),
-        exact_sum(F.col("max_marks")).alias("total_max"),
+    totals = exact_sums(
+        domain.assessment,
+        ["institution_id", "offering_id"],
+        {"total_weight": F.col("weight"), "total_max": F.col("max_marks")},
+        {"n_assessments": (F.count(F.lit(1)), F.sum)},
     )
     courses = domain.course.select(
         "institution_id",
@@ -130,13 +131,12 @@ def mark_contributions(domain: Domain, offerings: DataFrame) -> DataFrame:
         .otherwise(percentage)
     )
     marks = domain.mark.select("institution_id", "student_id", "assessment_id", obtained.alias("_obtained"))
-    return (
+    earned_marks = (
         marks.where(F.col("_obtained") != 0)
         .join(assessments, ["institution_id", "assessment_id"])
         .select("institution_id", "student_id", "offering_id", earned.alias("_earned"))
-        .groupBy("institution_id", "student_id", "offering_id")
-        .agg(exact_sum(F.col("_earned")).alias("earned"))
     )
+    return exact_sums(earned_marks, ["institution_id", "student_id", "offering_id"], {"earned": F.col("_earned")})
 
 
 def course_percentage() -> Column:
@@ -237,11 +237,11 @@ def component_results(domain: Domain) -> DataFrame:
 
 def student_totals(courses: DataFrame) -> DataFrame:
     """Unrounded totals per student over the rows of ``course_results``."""
-    return courses.groupBy("institution_id", "student_id").agg(
-        exact_sum(F.col("obtained")).alias("sum_obtained"),
-        exact_sum(F.col("maximum")).alias("sum_maximum"),
-        F.count(F.lit(1)).alias("number_of_courses"),
-        F.bool_and("passed").alias("all_passed"),
+    return exact_sums(
+        courses,
+        ["institution_id", "student_id"],
+        {"sum_obtained": F.col("obtained"), "sum_maximum": F.col("maximum")},
+        {"number_of_courses": (F.count(F.lit(1)), F.sum), "all_passed": (F.bool_and("passed"), F.bool_and)},
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.grading import DEFAULT_BANDS, grade_by_bands
 from gradeloom.functions.marks import read_float
-from gradeloom.functions.numeric import exact_sum, fmt_f
+from gradeloom.functions.numeric import exact_sums, fmt_f
 from gradeloom.functions.text import safe_name, strip
 from gradeloom.operators.skew import number_rows
 
@@ -45,8 +45,8 @@ def graded_subjects(subject_mark: DataFrame, bands=DEFAULT_BANDS) -> DataFrame:
 
 def semester_totals(subject_mark: DataFrame) -> DataFrame:
     """Total, maximum and unrounded overall percentage per student and semester."""
-    totals = subject_mark.groupBy(*KEYS).agg(
-        exact_sum(F.col("mark")).alias("total_marks"), F.count(F.lit(1)).alias("number_of_subjects")
+    totals = exact_sums(
+        subject_mark, KEYS, {"total_marks": F.col("mark")}, {"number_of_subjects": (F.count(F.lit(1)), F.sum)}
     )
     maximum = F.col("number_of_subjects") * 100
     return totals.select(
@@ -128,7 +128,7 @@ def summary_text(subject_mark: DataFrame, bands=DEFAULT_BANDS) -> DataFrame:
 
 def pie_shares(subject_mark: DataFrame) -> DataFrame:
     """Share of each subject in the marks of its student; NULL when all are 0."""
-    sums = subject_mark.groupBy(*KEYS).agg(exact_sum(F.col("mark")).alias("_sum"))
+    sums = exact_sums(subject_mark, KEYS, {"_sum": F.col("mark")})
     share = F.try_divide(F.col("mark"), F.col("_sum"))
     label = F.concat(fmt_f(share * 100.0, 1), F.lit("%"))
     return subject_mark.join(sums, KEYS).select(*KEYS, "seq", "subject", share.alias("share"), label.alias("label"))

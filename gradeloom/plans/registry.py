@@ -45,8 +45,8 @@ def oracle_text(name: str) -> str:
 
 
 def _write_sums(text: str) -> str:
-    """``{sum:x}`` becomes a sum over exact 128-bit multiples of 2**-64."""
-    unit = "18446744073709551616e0"
+    """``{sum:x}`` becomes a sum over 128-bit multiples of 2**-75, which values of the tables are exactly."""
+    unit = "37778931862957161709568e0"
     return re.sub(r"\{sum:([^{}]*)\}", rf"(CAST(sum(CAST((\1) * {unit} AS HUGEINT)) AS DOUBLE) / {unit})", text)
 
 

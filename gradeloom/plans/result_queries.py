@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gradeloom.functions.grading import effective_mark, grade_for
-from gradeloom.functions.numeric import exact_sum, fmt_f, fmt_g, py_round
+from gradeloom.functions.numeric import exact_sums, fmt_f, fmt_g, py_round
 from gradeloom.operators import reports, results
 from gradeloom.operators.orgtree import org_paths
 from gradeloom.operators.rules import institution_rules, offering_rules
@@ -497,24 +497,43 @@ def h01_round(c: Campus):
 @query(
     "h01_exact_sum",
     """SELECT l_suppkey, count(*) AS n, {sum:l_quantity * l_discount} AS total,
-              {sum:l_extendedprice * (1 - l_discount)} AS revenue FROM {lineitem} GROUP BY 1""",
+              {sum:l_extendedprice * (1 - l_discount)} AS revenue,
+              CAST(sum(CAST(l_quantity * l_discount * pow(2e0, 75) AS HUGEINT)) AS DOUBLE) / pow(2e0, 975) AS tiny,
+              CAST(sum(CAST(l_extendedprice * (l_discount - 0.04e0) * pow(2e0, 75) AS HUGEINT)) AS DOUBLE) * pow(2e0, 725) AS huge,
+              CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_tax * pow(2e0, 75) AS HUGEINT)
+                            ELSE CAST(l_extendedprice * pow(2e0, 75) AS HUGEINT) - CAST(l_extendedprice * pow(2e0, 75) AS HUGEINT) END)
+                   AS DOUBLE) / pow(2e0, 75) AS cancelled
+              FROM {lineitem} GROUP BY 1""",
 )
 def h01_exact_sum(c: Campus):
     q, p, d = (F.col(x) for x in ("l_quantity", "l_extendedprice", "l_discount"))
-    return c["lineitem"].groupBy("l_suppkey").agg(
-        F.count(F.lit(1)).alias("n"), exact_sum(q * d).alias("total"), exact_sum(p * (F.lit(1.0) - d)).alias("revenue")
-    )
+    # Scaling by powers of two is exact: far below and far above the usual range.
+    down, up = F.lit(2.0**-450), F.lit(2.0**400)
+    even = F.col("l_linenumber") % 2 == 0
+    both = c["lineitem"].withColumn("_x", F.explode(F.when(even, F.array("l_tax")).otherwise(F.array(p, -p))))
+    sums = {"total": q * d, "revenue": p * (F.lit(1.0) - d), "tiny": q * d * down * down, "huge": p * (d - F.lit(0.04)) * up * up}
+    found = exact_sums(c["lineitem"], ["l_suppkey"], sums, {"n": (F.count(F.lit(1)), F.sum)})
+    return found.join(exact_sums(both, ["l_suppkey"], {"cancelled": F.col("_x")}), "l_suppkey")
 
 
 @query(
     "h02_general_format",
     f"SELECT {_KEY}, printf('%g', l_extendedprice) AS price, printf('%g', l_quantity * l_discount) AS part, "
-    f"printf('%g', l_extendedprice * l_quantity) AS product FROM {{lineitem}}",
+    f"printf('%g', l_extendedprice * l_quantity) AS product, printf('%g', l_quantity * l_discount / 1e7) AS small, "
+    f"printf('%g', (l_orderkey + 0.5) / 1048576 / 1024) AS tie, printf('%g', l_extendedprice * 1e200) AS huge, "
+    f"printf('%g', l_extendedprice / 1e200) AS tiny FROM {{lineitem}}",
 )
 def h02_general_format(c: Campus):
     q, p, d = (F.col(x) for x in ("l_quantity", "l_extendedprice", "l_discount"))
     return c["lineitem"].select(
-        *_KEYS, fmt_g(p).alias("price"), fmt_g(q * d).alias("part"), fmt_g(p * q).alias("product")
+        *_KEYS,
+        fmt_g(p).alias("price"),
+        fmt_g(q * d).alias("part"),
+        fmt_g(p * q).alias("product"),
+        fmt_g(q * d / 1e7).alias("small"),
+        fmt_g((F.col("l_orderkey") + 0.5) / 1048576 / 1024).alias("tie"),
+        fmt_g(p * 1e200).alias("huge"),
+        fmt_g(p / 1e200).alias("tiny"),
     )
 
 

@@ -39,37 +39,59 @@ def test_py_round_by_column_and_specials(spark):
         numeric.py_round(F.col("x"), 9)
 
 
-def test_exact_sum_equals_ordered_compensated_sum(spark):
+def summed(spark, rows):
+    df = spark.createDataFrame(rows, "g int, x double").repartition(7)
+    sums = {"s": F.col("x"), "twice": F.col("x") * 2.0}
+    found = numeric.exact_sums(df, ["g"], sums, {"n": (F.count(F.lit(1)), F.sum)}).collect()
+    assert all(r.twice == 2 * r.s or math.isnan(r.s) for r in found)
+    return {r.g: r.s for r in found}
+
+
+def test_exact_sums_of_all_magnitudes(spark):
     rng = random.Random(3)
-    rows = []
-    expected = {}
-    for group in range(2000):
-        n = rng.randint(1, 12)
-        shape = group % 4
-        if shape == 0:
-            values = [round(rng.uniform(0, 100), 2) for _ in range(n)]
-        elif shape == 1:
-            values = [round(rng.uniform(0, 100), 2) * round(rng.uniform(0, 1), 2) for _ in range(n)]
-        elif shape == 2:
-            values = [rng.uniform(-1000, 1000) for _ in range(n)]
-        else:
-            values = [rng.choice([0.1, 0.2, 0.3, -0.1, 1e6 + 0.1]) for _ in range(n)]
+    rows, expected = [], {}
+    odd = [1e16, 1.0, -1e16, 2.0**-53, 1e-21, 0.0001, 2.0**53, -(2.0**53), 5e-324, 3 * 2.0**-1074, 0.1, -0.1]
+    shapes = [
+        lambda: rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300),
+        lambda: rng.uniform(-1, 1) * 10.0 ** rng.randint(-20, 20),
+        lambda: round(rng.uniform(0, 100), 2),
+        lambda: rng.choice(odd),
+        lambda: rng.uniform(-1e-3, 1e-3) * 2.0 ** -rng.randint(0, 40),
+        lambda: round(rng.uniform(0, 100), 2) * round(rng.uniform(0, 1), 2),
+    ]
+    for group in range(3000):
+        values = [shapes[group % 6]() for _ in range(rng.randint(1, 12))]
         expected[group] = math.fsum(values)
-        assert abs(sum(values) - expected[group]) < 1e-9
         rows += [(group, v) for v in values]
     rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "g int, x double").repartition(7)
-    got = {r.g: r.s for r in df.groupBy("g").agg(numeric.exact_sum(F.col("x")).alias("s")).collect()}
-    assert {g for g in expected if got[g] != expected[g]} == set()
+    got = summed(spark, rows)
+    assert {g: (got[g], e) for g, e in expected.items() if got[g] != e} == {}
 
 
-def test_exact_sum_of_nothing_and_specials(spark):
-    df = spark.createDataFrame(
-        [(0, None), (1, float("inf")), (1, 1.0), (2, float("nan")), (2, 1.0), (3, 2.0**40), (3, 0.5)],
-        "g int, x double",
-    )
-    got = {r.g: r.s for r in df.groupBy("g").agg(numeric.exact_sum(F.col("x")).alias("s")).collect()}
-    assert got[0] == 0.0 and got[1] == float("inf") and math.isnan(got[2]) and got[3] == 2.0**40 + 0.5
+def test_exact_sums_of_nothing_and_specials(spark):
+    inf, nan = float("inf"), float("nan")
+    got = summed(spark, [(0, None), (1, inf), (1, 1.0), (2, nan), (2, 1.0), (3, 2.0**40), (3, 0.5), (4, inf), (4, -inf), (5, 0.0)])
+    assert got[0] == got[5] == 0.0 and got[1] == inf and math.isnan(got[2]) and math.isnan(got[4]) and got[3] == 2.0**40 + 0.5
+
+
+def test_general_format_at_every_magnitude(spark):
+    rng = random.Random(11)
+    cases = [rng.choice([-1, 1]) * rng.uniform(1, 10) * 10.0 ** rng.randint(-320, 300) for _ in range(3000)]
+    cases += [float(f"{rng.randint(100000, 999999)}5e{rng.randint(-320, 295)}") for _ in range(6000)]  # as near to a tie as doubles go
+    cases += [k / 64 for k in range(-800, 800)] + [rng.randint(100000, 999999) * 10 + 5.0 for _ in range(800)]
+    cases += [10.0**k for k in range(-320, 309)] + [9.999995 * 10.0**k for k in range(-300, 300)]
+    cases += [5e-324, 1.7976931348623157e308, -0.0, 1.234565e-05, 0.0008789745]
+    got = evaluate(column(spark, cases), numeric.fmt_g(F.col("x")))
+    assert [(c, g) for c, g in zip(cases, got) if f"{c:g}" != g] == []
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 8])
+def test_round_of_large_numbers(spark, digits):
+    rng = random.Random(13)
+    cases = [rng.uniform(-1, 1) * 10.0 ** rng.randint(5, 20) for _ in range(2000)] + [2.0 ** rng.randint(40, 54) + rng.randint(0, 10**6) / 64 for _ in range(2000)]
+    cases += [4498598583533459.5, 1e300, -1e22]
+    got = evaluate(column(spark, cases), numeric.py_round(F.col("x"), digits))
+    assert [(c, g) for c, g in zip(cases, got) if g != round(c, digits)] == []
 
 
 def test_formats(spark):
