@@ -1,9 +1,10 @@
 """Blank import workbooks as a table of header cells."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators.skew import number_rows
+from gradeloom.session import settle
 
 TITLE_LENGTH = 31
 
@@ -13,14 +14,31 @@ def _title(column):
     return F.coalesce(F.nullif(kept, F.lit("")), F.lit("offering"))
 
 
+def _numbered(column, number):
+    """A title with a number at its end, cut in front of it to what a sheet name may hold."""
+    digits = number.cast("string")
+    return F.concat(F.substring(column, F.lit(1), F.lit(TITLE_LENGTH) - F.length(digits)), digits)
+
+
 def sheet_titles(offering: DataFrame) -> DataFrame:
-    """(institution_id, id, title): an id without characters a sheet name
-    cannot hold; where a title is taken, that of the id and ``_2``."""
-    titled = offering.select("institution_id", "id", _title(F.col("id")).alias("title"))
-    first = titled.groupBy("institution_id", "title").agg(F.min("id").alias("first_id"))
+    """(institution_id, id, title): an id without characters a sheet name cannot hold.
+
+    Titles of an institution differ even when case is ignored. Where one is taken, by
+    the smallest id that leads to it, the next is that of the id and ``_2``, and
+    then that with a number. Each round gives every loser of a collision a title
+    that no other loser gets, so rounds are few even if many ids collide.
+    """
+    rows = offering.select("institution_id", "id", _title(F.col("id")).alias("title"), F.lit(0).alias("tries"))
+    rows = settle(rows.dropDuplicates(["institution_id", "id"]))
     again = _title(F.concat("id", F.lit("_2")))
-    title = F.when(F.col("id") == F.col("first_id"), F.col("title")).otherwise(again)
-    return titled.join(first, ["institution_id", "title"]).select("institution_id", "id", title.alias("title"))
+    while True:
+        same = Window.partitionBy("institution_id", F.lower("title")).orderBy("tries", "id")
+        ranked = rows.withColumn("behind", F.row_number().over(same) - 1)
+        tries = F.col("tries") + F.col("behind")
+        title = F.when(F.col("behind") == 0, F.col("title")).when(tries == 1, again).otherwise(_numbered(again, tries - 1))
+        rows = settle(ranked.select("institution_id", "id", title.alias("title"), tries.alias("tries"), "behind"))
+        if rows.where("behind > 0").isEmpty():
+            return rows.select("institution_id", "id", "title")
 
 
 def template_headers(offering: DataFrame, assessment: DataFrame, offering_hint: str | None = None) -> DataFrame:

@@ -70,12 +70,12 @@ def marks(spark, rows):
 
 def test_store_scopes_upserts_and_clears(spark, store):
     assert store.load_all("student").count() == 9 and store.load_all("student", "a").count() == 3
-    assert store.load("student", "s1", "a").first().name == "Aarav Sharma"
+    assert store.load("student", "p1", "a").first().name == "Ines Duarte"
     assert store.load("student", "zz", "a").isEmpty() and store.load_all("mark").isEmpty()
-    store.save("mark", marks(spark, [("a", "s1", "maths_a#1", 5.0), ("a", "s2", "maths_a#1", 6.0), ("b", "s1", "maths_a#1", 7.0)]))
-    store.save("mark", marks(spark, [("a", "s3", "maths_a#1", 1.0), ("a", "s1", "maths_a#1", 8.0), ("a", "s1", "maths_a#1", 9.0)]))
+    store.save("mark", marks(spark, [("a", "p1", "geo_n#1", 5.0), ("a", "p2", "geo_n#1", 6.0), ("b", "p1", "geo_n#1", 7.0)]))
+    store.save("mark", marks(spark, [("a", "p3", "geo_n#1", 1.0), ("a", "p1", "geo_n#1", 8.0), ("a", "p1", "geo_n#1", 9.0)]))
     got = [(r.institution_id, r.student_id, r.obtained) for r in store.load_all("mark").orderBy("institution_id", "seq").collect()]
-    assert got == [("a", "s1", 9.0), ("a", "s2", 6.0), ("a", "s3", 1.0), ("b", "s1", 7.0)]
+    assert got == [("a", "p1", 9.0), ("a", "p2", 6.0), ("a", "p3", 1.0), ("b", "p1", 7.0)]
     only_a = spark.createDataFrame([("a",)], "institution_id string")
     before = student_results(store.domain("a")).count()
     store.clear(only_a)
@@ -92,6 +92,11 @@ def test_templates(spark):
     )
     titles = {r.id: r.title for r in sheet_titles(offering).collect()}
     assert titles == {"a/b": "ab", "ab": "ab_2", "[]": "offering", "x" * 40: "x" * 31}
+    crowd = ["a*b", "a/b", "a:b", "AB", "ab_2", *("y" * 31 + str(n) for n in range(12)), "y" * 31]
+    both = spark.createDataFrame([(i, c) for i in ("i", "j") for c in crowd], "institution_id string, id string")
+    got = sheet_titles(both).collect()
+    assert len(got) == 2 * len(crowd) and all(len(r.title) <= 31 for r in got)
+    assert len({(r.institution_id, r.title.lower()) for r in got}) == 2 * len(crowd)
     assessment = spark.createDataFrame(
         [("i", "ab", 2, "ab#1", "Late"), ("i", "ab", 1, "ab#2", "Early"), ("i", "ab", 1, "ab#10", "Earliest")],
         "institution_id string, offering_id string, order int, id string, name string",

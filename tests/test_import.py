@@ -5,51 +5,51 @@ from helpers import cells_of, config, configs_of, domain_of
 
 from gradeloom.operators import importing, results
 
-NATIVE = ["Roll No", "Student Name", "FA-1", "FA-2", "SA-1", "SA-2"]
+NATIVE = ["Roll No", "Student Name", "Quiz", "Lab", "Essay", "Final"]
 LONG = ["Student", "Roll No", "Class", "Subject", "Marks"]
-WIDE = ["Student", "Roll No", "Class", "Mathematics", "Science"]
-ROW1 = ["6A01", "Aarav Sharma", 20, 22, 78, 85]
-ROW2 = ["6A02", "Bhavna Patel", 25, 24, 95, "AB"]
+WIDE = ["Student", "Roll No", "Class", "Geography", "Biology"]
+ROW1 = ["H-11", "Ines Duarte", 17, 24, 41, 88]
+ROW2 = ["H-12", "Tomas Varga", 20, 27, 45, "AB"]
 ONE = [("Total", 100, 1.0)]
 
 
 def with_second_maths(document):
-    document["seed"]["offerings"].append({"id": "maths_b", "org_unit_id": "class_6", "course_id": "maths"})
+    document["seed"]["offerings"].append({"id": "geo_w", "org_unit_id": "wing_n", "course_id": "geo"})
     return document
 
 
 # name: (sheets, hint, legacy, change of the configuration)
 CASES = {
-    "native": ({"maths_a": [NATIVE, ROW1, ROW2], "notes": [["", None], [""]]}, None, False, None),
-    "statuses": ({"MATH": [NATIVE, ["6A01", "Aarav Sharma", "E", "A", "", 85]]}, None, False, None),
-    "over": ({"Mathematics": [NATIVE, ROW1, ROW2, ["6A03", "Rohan Mehta", 10, 8, 150, 25]]}, None, False, None),
-    "hinted": ({"Marks": [NATIVE[:4], ROW1[:4]]}, "maths_a", False, {"excel": {"expect_course_prefix": False}}),
+    "native": ({"geo_n": [NATIVE, ROW1, ROW2], "notes": [["", None], [""]]}, None, False, None),
+    "statuses": ({"GEOG": [NATIVE, ["H-11", "Ines Duarte", "E", "A", "", 85]]}, None, False, None),
+    "over": ({"Geography": [NATIVE, ROW1, ROW2, ["H-13", "Leila Haddad", 9, 8, 150, 31]]}, None, False, None),
+    "hinted": ({"Marks": [NATIVE[:4], ROW1[:4]]}, "geo_n", False, {"excel": {"expect_course_prefix": False}}),
     "unhinted": ({"Marks": [NATIVE[:4], ROW1[:4]]}, None, False, {"excel": {"expect_course_prefix": False}}),
     "badhint": ({"Marks": [NATIVE[:4], ROW1[:4]]}, "none", False, {"excel": {"expect_course_prefix": False}}),
-    "otherhint": ({"maths_a": [NATIVE[:4], ROW1[:4]]}, "science_a", False, None),
-    "new": ({"maths_a": [NATIVE[:3], ["7A01", "New Student", 12], ["7A01", "New Student", None]]}, None, False, None),
-    "conflict": ({"maths_a": [NATIVE[:3], ["6A01", "Bhavna Patel", 12], [None, None, 3]]}, None, False, None),
-    "nosheet": ({"no_such": [NATIVE[:3], ["6A01", None, 12]]}, None, False, None),
-    "bogus": ({"maths_a": [[*NATIVE[:3], "Bogus", "Worse"], ["6A01", None, 12, 1, 2]]}, None, False, None),
-    "dup": ({"maths_a": [["Roll No", "FA-1", " fa-1 ", "FA-1"], ["6A01", 1, 2, 3]]}, None, False, None),
-    "nobody": ({"maths_a": [["FA-1", "FA-2"], [1, 2]]}, None, False, None),
-    "layout": ({"maths_a": [["Roll No", "Marks"], [1, 2]]}, None, False, None),
-    "prefixed": ({"any": [["Roll", "maths_a: FA-1", "SCI|sa-2", "Remark"], ["6A02", 20, 150, "good"], ["6A03", "x", None, 1]]}, None, False, None),
-    "nosuffix": ({"any": [["Roll", "maths_a: FA-1", "SCI|"], ["6A02", 20, 15]]}, None, False, None),
-    "badprefix": ({"any": [["Roll", "art: FA-1", "maths_a:Zed"], ["6A02", 20, 15]]}, None, False, None),
-    "folded": ({"maths_a": [["reg no", "  fa-1 ", "SA-2"], [" 6A01 ", 5.0, 7.5]]}, None, False, None),
-    "ambiguous": ({"Mathematics": [NATIVE, ROW1]}, None, False, with_second_maths),
-    "long": ({"x": [LONG, ["Aarav Sharma", "6A01", None, "Mathematics", 80], ["Aarav Sharma", "6A01", "A", "SCI", 70]]}, None, False, ONE),
+    "otherhint": ({"geo_n": [NATIVE[:4], ROW1[:4]]}, "bio_n", False, None),
+    "new": ({"geo_n": [NATIVE[:3], ["K-70", "New Student", 12], ["K-70", "New Student", None]]}, None, False, None),
+    "conflict": ({"geo_n": [NATIVE[:3], ["H-11", "Tomas Varga", 12], [None, None, 3]]}, None, False, None),
+    "nosheet": ({"no_such": [NATIVE[:3], ["H-11", None, 12]]}, None, False, None),
+    "bogus": ({"geo_n": [[*NATIVE[:3], "Bogus", "Worse"], ["H-11", None, 12, 1, 2]]}, None, False, None),
+    "dup": ({"geo_n": [["Roll No", "Quiz", " quiz ", "Quiz"], ["H-11", 1, 2, 3]]}, None, False, None),
+    "nobody": ({"geo_n": [["Quiz", "Lab"], [1, 2]]}, None, False, None),
+    "layout": ({"geo_n": [["Roll No", "Marks"], [1, 2]]}, None, False, None),
+    "prefixed": ({"any": [["Roll", "geo_n: Quiz", "BIOL|final", "Remark"], ["H-12", 20, 150, "good"], ["H-13", "x", None, 1]]}, None, False, None),
+    "nosuffix": ({"any": [["Roll", "geo_n: Quiz", "BIOL|"], ["H-12", 20, 15]]}, None, False, None),
+    "badprefix": ({"any": [["Roll", "art: Quiz", "geo_n:Zed"], ["H-12", 20, 15]]}, None, False, None),
+    "folded": ({"geo_n": [["reg no", "  quiz ", "Final"], [" H-11 ", 5.0, 7.5]]}, None, False, None),
+    "ambiguous": ({"Geography": [NATIVE, ROW1]}, None, False, with_second_maths),
+    "long": ({"x": [LONG, ["Ines Duarte", "H-11", None, "Geography", 80], ["Ines Duarte", "H-11", "2", "BIOL", 70]]}, None, False, ONE),
     "longbad": (
-        {"x": [LONG, ["Aarav Sharma", "6A01", None, None, 80], ["Aarav Sharma", None, "Z", "Science", 70],
-               [None, "6A01", "", "Art", 1], [None, "6A01", "", "English", None], [None, "6A01", "", "English", "oops"],
-               [None, "6A01", "6", "English", 5], ["", "", "", "English", 5]]},
+        {"x": [LONG, ["Ines Duarte", "H-11", None, None, 80], ["Ines Duarte", None, "Z", "Biology", 70],
+               [None, "H-11", "", "Art", 1], [None, "H-11", "", "Latin", None], [None, "H-11", "", "Latin", "oops"],
+               [None, "H-11", "North", "Latin", 5], ["", "", "", "Latin", 5]]},
         None, False, ONE),
-    "longmany": ({"x": [LONG, ["Aarav Sharma", "6A01", None, "Mathematics", 80]]}, None, False, None),
-    "wide": ({"x": [WIDE, ["Aarav Sharma", "6A01", None, 80, 70], ["Rohan Mehta", "6A03", "A", None, " "], ["Rohan Mehta", "6A03", "A", "", None]]}, None, True, ONE),
-    "longtwo": ({"x": [LONG, ["Aarav Sharma", "6A01", None, "Mathematics", 80]]}, None, True, lambda d: with_second_maths({**d, "assessment_schemes": [{"id": "main", "assessments": [{"name": "Total", "max_marks": 100}]}]})),
-    "marksonly": ({"x": [["Roll No", "Marks"], ["6A01", 1]]}, None, True, ONE),
-    "legacynobody": ({"x": [["Maths"], [1]]}, None, True, ONE),
+    "longmany": ({"x": [LONG, ["Ines Duarte", "H-11", None, "Geography", 80]]}, None, False, None),
+    "wide": ({"x": [WIDE, ["Ines Duarte", "H-11", None, 80, 70], ["Leila Haddad", "H-13", "2", None, " "], ["Leila Haddad", "H-13", "2", "", None]]}, None, True, ONE),
+    "longtwo": ({"x": [LONG, ["Ines Duarte", "H-11", None, "Geography", 80]]}, None, True, lambda d: with_second_maths({**d, "assessment_schemes": [{"id": "main", "assessments": [{"name": "Total", "max_marks": 100}]}]})),
+    "marksonly": ({"x": [["Roll No", "Marks"], ["H-11", 1]]}, None, True, ONE),
+    "legacynobody": ({"x": [["Geo"], [1]]}, None, True, ONE),
 }
 
 
@@ -85,42 +85,42 @@ def test_errors(run):
     _, _, _, errors = run
     assert errors == {
         "native": [], "statuses": [],
-        "over": ["Mathematics row 4 (SA-1): mark 150 exceeds maximum 100"],
+        "over": ["Geography row 4 (Essay): mark 150 exceeds maximum 50"],
         "hinted": [],
         "unhinted": ["Marks row 1: --offering is required when excel.expect_course_prefix is false"],
         "badhint": ["Marks row 1: no course offering with id 'none'"],
-        "otherhint": ["maths_a row 1: sheet 'maths_a' resolves to offering 'maths_a', not '--offering science_a'"],
-        "new": ["maths_a row 3: student row has no marks"],
+        "otherhint": ["geo_n row 1: sheet 'geo_n' resolves to offering 'geo_n', not '--offering bio_n'"],
+        "new": ["geo_n row 3: student row has no marks"],
         "conflict": [
-            "maths_a row 2 (6A01 Bhavna Patel): roll '6A01' resolves to 'Aarav Sharma' but name 'Bhavna Patel' resolves to 'Bhavna Patel'",
-            "maths_a row 3: missing student identity",
+            "geo_n row 2 (H-11 Tomas Varga): roll 'H-11' resolves to 'Ines Duarte' but name 'Tomas Varga' resolves to 'Tomas Varga'",
+            "geo_n row 3: missing student identity",
         ],
         "nosheet": ["no_such row 1: no course offering matches 'no_such'"],
-        "bogus": ["maths_a row 1: no assessment named 'Bogus' for offering 'maths_a'"],
-        "dup": ["maths_a row 1: invalid header: duplicate header ' fa-1 '"],
-        "nobody": ["maths_a row 1: invalid header: no student identity column (expected 'Roll No'/'Student Name')"],
-        "layout": ["maths_a row 1: invalid header: cannot determine legacy column layout"],
+        "bogus": ["geo_n row 1: no assessment named 'Bogus' for offering 'geo_n'"],
+        "dup": ["geo_n row 1: invalid header: duplicate header ' quiz '"],
+        "nobody": ["geo_n row 1: invalid header: no student identity column (expected 'Roll No'/'Student Name')"],
+        "layout": ["geo_n row 1: invalid header: cannot determine legacy column layout"],
         "prefixed": [
-            "any row 2 (SA-2): mark 150 exceeds maximum 100",
-            "any row 3 (FA-1): unrecognised mark value 'x'",
+            "any row 2 (Final): mark 150 exceeds maximum 100",
+            "any row 3 (Quiz): unrecognised mark value 'x'",
         ],
-        "nosuffix": ["any row 1: prefixed column 'SCI|' has no assessment name"],
+        "nosuffix": ["any row 1: prefixed column 'BIOL|' has no assessment name"],
         "badprefix": ["any row 1: no course offering matches 'art'"],
         "folded": [],
-        "ambiguous": ["Mathematics row 1: 'Mathematics' is ambiguous across offerings (maths_a, maths_b)"],
+        "ambiguous": ["Geography row 1: 'Geography' is ambiguous across offerings (geo_n, geo_w)"],
         "long": [],
         "longbad": [
             "x row 2 (Subject): missing subject",
-            "x row 3 (Science): no class/org unit named 'Z'",
+            "x row 3 (Biology): no class/org unit named 'Z'",
             "x row 4 (Art): no course matches legacy subject 'Art'",
-            "x row 5 (English): missing mark",
-            "x row 6 (English): unrecognised mark value 'oops'",
-            "x row 7 (English): subject 'English' has no offering for the default period",
+            "x row 5 (Latin): missing mark",
+            "x row 6 (Latin): unrecognised mark value 'oops'",
+            "x row 7 (Latin): subject 'Latin' has no offering for the default period",
             "x row 8: missing student identity",
         ],
-        "longmany": ["x row 2 (Mathematics): legacy import needs exactly one assessment for offering 'maths_a' (found 4)"],
+        "longmany": ["x row 2 (Geography): legacy import needs exactly one assessment for offering 'geo_n' (found 4)"],
         "wide": ["x row 3: student row has no marks", "x row 4: student row has no marks"],
-        "longtwo": ["x row 2 (Mathematics): subject 'Mathematics' is ambiguous across offerings (maths_a, maths_b)"],
+        "longtwo": ["x row 2 (Geography): subject 'Geography' is ambiguous across offerings (geo_n, geo_w)"],
         "marksonly": ["x row 1: legacy long layout needs 'Subject' and 'Marks' columns"],
         "legacynobody": ["x row 1: invalid header: legacy sheet needs a student identity column"],
     }
@@ -133,18 +133,18 @@ def test_marks(run):
         return [(student, f"{offering}#{k[1:]}", float(v), "entered") for k, v in values.items()]
 
     assert marks["native"] == [
-        *entered("s1", "maths_a", _1=20, _2=22, _3=78, _4=85), *entered("s2", "maths_a", _1=25, _2=24, _3=95),
-        ("s2", "maths_a#4", 0.0, "absent"),
+        *entered("p1", "geo_n", _1=17, _2=24, _3=41, _4=88), *entered("p2", "geo_n", _1=20, _2=27, _3=45),
+        ("p2", "geo_n#4", 0.0, "absent"),
     ]
     assert marks["statuses"] == [
-        ("s1", "maths_a#1", 0.0, "exempt"), ("s1", "maths_a#2", 0.0, "absent"), *entered("s1", "maths_a", _4=85)
+        ("p1", "geo_n#1", 0.0, "exempt"), ("p1", "geo_n#2", 0.0, "absent"), *entered("p1", "geo_n", _4=85)
     ]
-    assert len(marks["over"]) == 11 and ("s3", "maths_a#4", 25.0, "entered") in marks["over"]
-    assert marks["hinted"] == entered("s1", "maths_a", _1=20, _2=22)
-    assert marks["new"] == entered("imp_7A01", "maths_a", _1=12)
-    assert marks["prefixed"] == entered("s2", "maths_a", _1=20)
-    assert marks["folded"] == entered("s1", "maths_a", _1=5, _4=7.5)
-    assert marks["long"] == [*entered("s1", "maths_a", _1=80), *entered("s1", "science_a", _1=70)]
+    assert len(marks["over"]) == 11 and ("p3", "geo_n#4", 31.0, "entered") in marks["over"]
+    assert marks["hinted"] == entered("p1", "geo_n", _1=17, _2=24)
+    assert marks["new"] == entered("imp_K-70", "geo_n", _1=12)
+    assert marks["prefixed"] == entered("p2", "geo_n", _1=20)
+    assert marks["folded"] == entered("p1", "geo_n", _1=5, _4=7.5)
+    assert marks["long"] == [*entered("p1", "geo_n", _1=80), *entered("p1", "bio_n", _1=70)]
     assert marks["wide"] == marks["long"]
     assert all(marks[n] == [] for n in ("unhinted", "conflict", "bogus", "dup", "prefixed_none") if n in marks)
 
@@ -166,23 +166,23 @@ def test_apply(spark, run):
         "students_created": 1, "enrollments_created": 1, "enrollments_updated": 0, "marks_written": written,
         "skipped": sum(map(len, errors.values())),
     }
-    new = applied.student.where("id = 'imp_7A01'").collect()
-    assert [(r.institution_id, r.name, r.roll_no, r.seq) for r in new] == [("new", "New Student", "7A01", 3)]
-    opened = applied.enrollment.where("student_id = 'imp_7A01'").collect()[0]
+    new = applied.student.where("id = 'imp_K-70'").collect()
+    assert [(r.institution_id, r.name, r.roll_no, r.seq) for r in new] == [("new", "New Student", "K-70", 3)]
+    opened = applied.enrollment.where("student_id = 'imp_K-70'").collect()[0]
     assert (opened.id, opened.year_id, opened.term_id, opened.org_unit_id) == (
-        "enroll_imp_7A01_AY2025_term_1_sec_a", "AY2025", "term_1", "sec_a",
+        "enroll_imp_K-70_Y24_autumn_room_2", "Y24", "autumn", "room_2",
     )
     taken = applied.enrollment_course.where(f"enrollment_id = '{opened.id}'").collect()
-    assert [r.offering_id for r in taken] == ["maths_a"]
+    assert [r.offering_id for r in taken] == ["geo_n"]
 
     after = copy.copy(domain)
     after.student, after.enrollment = applied.student, applied.enrollment
     after.enrollment_course, after.mark = applied.enrollment_course, applied.mark
     totals = {(r.institution_id, r.student_id): r for r in results.student_results(after).collect()}
     courses = {(r.institution_id, r.student_id, r.offering_id): r for r in results.course_results(after).collect()}
-    assert courses["native", "s1", "maths_a"].percentage == 82.7
-    assert courses["native", "s2", "maths_a"].percentage == 48.1
-    assert totals["new", "imp_7A01"].number_of_courses == 1
+    assert courses["native", "p1", "geo_n"].percentage == 83.8
+    assert courses["native", "p2", "geo_n"].percentage == 65.0
+    assert totals["new", "imp_K-70"].number_of_courses == 1
     # a second time nothing is new, and the tables stay as they are
     again = importing.apply_plan(plan, after, skip_invalid=True)
     report = again.report.collect()[0]
