@@ -1,5 +1,8 @@
 """Small helpers shared by the operators of this package."""
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hashed_sample(rows: DataFrame, size: int, *key: str) -> DataFrame:
+    """At most ``size`` rows, those with the least hash of ``key``.
+
+    A first cut by the hash leaves about twice as many in all, so that no partition
+    offers ``size`` rows of its own when there are many partitions.
+    """
+    place = F.xxhash64(*key)
+    n = rows.count()
+    share = min(1.0, (2 * size + 100) / max(n, 1))
+    near = rows.filter(F.pmod(place, F.lit(1 << 40)) <= F.lit(int(share * (1 << 40))))
+    return near.orderBy(F.pmod(place, F.lit(1 << 40)), *key).limit(size)
+
+
+def worker_cache() -> dict:
+    """Objects of this Python process, kept from task to task while Spark reuses the worker."""
+    return sys.modules.setdefault("gradeloom_worker_cache", types.ModuleType("gradeloom_worker_cache")).__dict__
+
+
 def lowered(text: Column) -> Column:
     """``text`` with A-Z in lower case and nothing else changed; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -1,6 +1,6 @@
 """Benchmark decontamination with a positional inverted index of the training words.
 
-The index is a table of blocks. A block holds about half a million words of whole
+The index is a table of blocks. A block holds about three megabytes of whole
 documents; its documents lie on one axis of positions with a gap after each, so a
 phrase can never span two documents. Postings are (word, ascending positions).
 Searching intersects, block by block, the lists of a phrase's words after taking
@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import texts_of
-from gradeloom.llm.words import slices, word_hashes
+from gradeloom.llm.words import parts, word_hashes
 from gradeloom.session import settle
 
-BLOCK_WORDS = 1 << 19
+BLOCK_BYTES = 3 << 20  # text of a block of the index
 WINDOW = 13
 ITEM_BLOCK = 5000  # benchmark items searched in one pass
 
@@ -46,11 +46,9 @@ def build_index(docs: DataFrame) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            hashes, pointers = word_hashes(batch.column(2))
-            for lo, hi in slices(pointers, BLOCK_WORDS):
-                at = pointers[lo : hi + 1]
+            for lo, hi in parts(batch.column(2), BLOCK_BYTES):
+                block, at = word_hashes(batch.column(2)[lo:hi])
                 gaps = np.arange(hi - lo)
-                block = hashes[at[0] : at[-1]]
                 positions = np.arange(len(block)) + np.repeat(gaps, np.diff(at))
                 order = np.argsort(block, kind="stable")
                 block, positions = block[order], positions[order].astype(np.uint32)

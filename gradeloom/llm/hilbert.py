@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.llm.common import hashed_sample
 from gradeloom.session import settle
 
 AXES, BITS = 8, 7  # a key has AXES * BITS bits
@@ -263,7 +264,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, exact: bool = True)
     unusual dimension take no part. With ``exact`` false the windows alone answer.
     """
     vectors = clean(vectors)
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
+    sample = hashed_sample(vectors, SAMPLE, "vec_id").select("v").toPandas()["v"]
     matrix = np.stack(sample.to_list()).astype(float) if len(sample) else np.zeros((0, 1))
     orderings = curves(matrix, matrix.shape[1])
     found = window_search(vectors, orderings, every, k)

@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.llm.common import hashed_sample
 from gradeloom.llm.linear import minimise
-from gradeloom.llm.words import buffers, located_words, mix, slices
+from gradeloom.llm.words import buffers, located_words, mix, parts
 
 SAMPLE_TEXTS = 120  # labelled texts of each language used for fitting
 SAMPLE_CHARS = 20_000  # longest text used for fitting
@@ -28,7 +28,6 @@ SPAN, SEQUENCE = 25, 100  # words of a spliced span on average, and of a trainin
 BUCKETS = 1 << 17
 PENALTY = 0.3
 STEPS = 40
-BATCH_WORDS = 1 << 19
 SEGMENT = 128
 
 
@@ -263,8 +262,7 @@ def predicted(text: Column, model: Model) -> Column:
     @F.arrow_udf("struct<lang_pred string, score double>")
     def predict(texts: pa.Array) -> pa.Array:
         names, shares = [], []
-        ends = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False) // 6 + 1)
-        for lo, hi in slices(np.r_[0, ends], BATCH_WORDS):
+        for lo, hi in parts(texts):
             lettered, pointers, marginals = tagged(texts[lo:hi], model)
             sums = np.diff(np.r_[np.zeros((1, len(model.languages))), np.cumsum(marginals, axis=0)][pointers], axis=0)
             best = sums.argmax(1)
@@ -290,8 +288,7 @@ def learned(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
     sample = []
     for number, language in enumerate(languages):
         own = known.filter(F.col("lang") == language).select("doc_id", "text")
-        rows = own.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(texts).collect()
-        sample += [(number, r["text"]) for r in rows]
+        sample += [(number, r["text"]) for r in hashed_sample(own, texts, "doc_id", "text").collect()]
     return fit(sample, languages) if sample else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.common import row_tie, texts_of, without
 from gradeloom.llm.components import components, leaders
-from gradeloom.llm.words import mix, shingle_hashes, slices, word_hashes
+from gradeloom.llm.words import mix, parts, shingle_hashes, word_hashes
 from gradeloom.session import settle
 
 SHINGLE = 5
@@ -35,7 +35,7 @@ DAMPING = 0.25
 SMALL_BUCKET = 24  # members; larger buckets are compared in blocks
 BLOCK_MEMBERS, BLOCK_BYTES = 128, 4 << 20
 COLUMNS = 1 << 15  # shingles looked at together when two blocks are compared
-BATCH_WORDS = 1 << 18
+PART_BYTES = 2 << 20  # text sketched at a time
 
 
 def weight(counts: np.ndarray) -> np.ndarray:
@@ -100,10 +100,8 @@ def sketches(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int
 
     def sketch(batches):
         for batch in batches:
-            hashes, pointers = word_hashes(batch.column(2))
-            for lo, hi in slices(pointers, BATCH_WORDS):
-                at = pointers[lo : hi + 1]
-                words, at = hashes[at[0] : at[-1]], at - at[0]
+            for lo, hi in parts(batch.column(2), PART_BYTES):
+                words, at = word_hashes(batch.column(2)[lo:hi])
                 text, shingles, counts = weighted_shingles(words, at, size)
                 winners = signatures(text, shingles, counts, hi - lo, bands * rows).reshape(hi - lo, bands, rows)
                 band = np.zeros((hi - lo, bands), np.uint64)
@@ -124,10 +122,8 @@ def bags(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     def bag(batches):
         for batch in batches:
-            hashes, pointers = word_hashes(batch.column(2))
-            for lo, hi in slices(pointers, BATCH_WORDS):
-                at = pointers[lo : hi + 1]
-                words, at = hashes[at[0] : at[-1]], at - at[0]
+            for lo, hi in parts(batch.column(2), PART_BYTES):
+                words, at = word_hashes(batch.column(2)[lo:hi])
                 text, shingles, counts = weighted_shingles(words, at, size)
                 begin = np.searchsorted(text, np.arange(hi - lo + 1))
                 counts = counts.astype(np.uint32)

@@ -22,6 +22,9 @@ The manifest, a table, has a row for each shard. Files carry unique names and ar
 listed only after they are complete, so a task that is repeated does no harm.
 """
 
+import json
+import os
+import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -32,14 +35,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import row_tie
+from gradeloom.llm.common import row_tie, worker_cache
 from gradeloom.llm.words import mix
 from gradeloom.session import settle, shared_dir
 
 MAGIC, FORMAT = 0x4B4F54444F4F4C47, 1
 GAMMA = 2  # cells for each key of a level
 READ_BYTES = 4 << 20  # neighbouring documents are read together up to this size
-MEMO = 200_000  # pieces of text whose ids a task remembers
+GROUP = 512  # texts encoded at a time
+MEMO = 1_000_000  # words whose ids a Python worker remembers
 
 MANIFEST_SCHEMA = (
     "shard int, name string, low bigint, high bigint, n_docs bigint, n_null bigint, n_keys bigint, n_ids bigint, id_bytes int"
@@ -139,34 +143,76 @@ class Index:
 # --- ids ---------------------------------------------------------------------------
 
 
+# The normalizer and the pre-tokenizer of the tokenizer files whose texts can be
+# cut into words here, and the same words as a pattern for lower-case text in Latin-1.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS, NUMBERS, SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+LATIN_WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+"
+
+
 class Encoder:
-    """Ids of texts by a tokenizers file whose pre-tokenizer drops white space.
+    """Ids of texts by a tokenizers file; words that come again are looked up.
 
-    Then a text may be cut at blanks and line ends, and each piece has the same ids
-    wherever it stands; pieces that come again are looked up.
+    Where the file's rules are those above, a text in Latin-1 without special tokens is cut
+    into words here, and a word has the same ids wherever it stands. Any other text, or
+    one for any other file, goes to the tokenizer whole.
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.end = self._bytes([end_id])
         self.memo: dict[str, bytes] = {}
+        rules = json.loads(self.tokenizer.to_str())
+        splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        known = (rules.get("normalizer") or {}).get("normalizers") == NORMALIZER and splits[0].get("pattern") == {"Regex": SPLIT}
+        self.cut = re.compile(LATIN_WORD).findall if known and splits[0].get("behavior") == "Removed" else None
+        self.special = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _words(self, text: str) -> list[str] | None:
+        """The words of a text, None if it has to be encoded whole."""
+        if self.cut is None or any(s in text for s in self.special):
+            return None
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        return self.cut(text.lower())
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        cut = [self._words(t or "") for t in texts]
+        words = set().union(*(ws for ws in cut if ws))
         memo = self.memo
-        new = list({p for ps in pieces for p in ps if p not in memo})
-        for encoded, piece in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new):
-            memo[piece] = np.array(encoded.ids, self.kind).tobytes()
-        out = [b"".join([memo[p] for p in ps]) + self.end for ps in pieces]
-        for piece in new:
-            if len(piece) > 64:  # rarely seen again
-                del memo[piece]
-        return out
+        if len(memo) > MEMO:  # what stands here as well is frequent
+            memo = self.memo = {w: memo[w] for w in words if w in memo}
+        new = list(words.difference(memo))
+        for encoded, word in zip(self._encode(new), new):
+            memo[word] = self._bytes(encoded.ids)
+        here = {w: memo[w] for w in words}  # small enough to stay near the processor
+        for word in new:
+            if len(word) > 64:  # rarely seen again
+                del memo[word]
+        whole = iter(self._encode([t or "" for t, ws in zip(texts, cut) if ws is None]))
+        return [(self._bytes(next(whole).ids) if ws is None else b"".join(map(here.__getitem__, ws))) + self.end for ws in cut]
+
+    def _encode(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """The encoder of this Python worker, kept with what it has looked up from task to task."""
+    kept = worker_cache()
+    if (path, end_id) not in kept:
+        kept[path, end_id] = Encoder(path, end_id)
+    return kept[path, end_id]
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -195,10 +241,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
             if not batch.num_rows:
                 continue
             if encode is None:
-                encode = Encoder(tokenizer, end_id)
+                encode = encoder(tokenizer, end_id)
                 out = store.open_output_stream(f"{root}/{name}.ids")
-            for lo in range(0, batch.num_rows, 256):
-                payload = encode(batch.column(1)[lo : lo + 256].to_pylist())
+            for lo in range(0, batch.num_rows, GROUP):
+                payload = encode(batch.column(1)[lo : lo + GROUP].to_pylist())
                 out.write(b"".join(payload))
                 sizes.extend(len(p) for p in payload)
             ids.append(batch.column(0))

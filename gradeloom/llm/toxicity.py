@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.llm.common import hashed_sample
 from gradeloom.llm.linear import Sparse, fit, margin, sigmoid
-from gradeloom.llm.words import located_words, mix, prefix_hashes, slices
+from gradeloom.llm.words import located_words, mix, parts, prefix_hashes
 
 SAMPLE = 8000  # labelled documents used for fitting
 FOLDS = 4
@@ -24,7 +25,6 @@ PENALTY = 1.0
 SCREEN = 4.0  # a word is a feature if it differs from independence by so many standard errors
 LEAST = 5  # and stands in so many documents of the sample
 PREFIXES = (4, 5)  # bytes
-BATCH_WORDS = 1 << 18
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,13 +59,15 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> list[tuple[list[int
     marks = [F.max(F.coalesce(F.expr(rule), F.lit(False)).cast("int")).alias(f"y_{name}") for name, rule in CATEGORIES.items()]
     names = list(CATEGORIES)
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(*marks)
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(size)
+    chosen = hashed_sample(known, size, "_id")
     texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id")  # at most ``size`` rows
 
     def words(batches):
         for batch in batches:
-            hashes, pointers = features(batch.column(1))
-            sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(pointers[:-1], pointers[1:])]
+            sets = []
+            for lo, hi in parts(batch.column(1)):
+                hashes, pointers = features(batch.column(1)[lo:hi])
+                sets += [np.unique(hashes[a:b]).tobytes() for a, b in zip(pointers[:-1], pointers[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(batch.column(f"y_{n}") for n in names), pa.array(sets, pa.binary())],
                 names=["_id", *(f"y_{n}" for n in names), "words"],
@@ -162,11 +164,7 @@ def scored(text: Column, chain: Chain) -> Column:
 
     @F.arrow_udf("array<double>")
     def score(texts: pa.Array) -> pa.Array:
-        hashes, pointers = features(texts)
-        out = []
-        for lo, hi in slices(pointers, BATCH_WORDS):
-            at = pointers[lo : hi + 1]
-            out.append(probabilities(chain, hashes[at[0] : at[-1]], at - at[0]))
+        out = [probabilities(chain, *features(texts[lo:hi])) for lo, hi in parts(texts)]
         rows = np.concatenate(out) if out else np.zeros((0, len(chain.categories)))
         return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), len(chain.categories)).cast(pa.list_(pa.float64()))
 

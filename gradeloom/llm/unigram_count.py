@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.llm.common import worker_cache
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO, MEMO_LENGTH = 300_000, 64
+MEMO, MEMO_LENGTH = 250_000, 64
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,8 @@ class Counter:
             self.automaton.make_automaton()
         self.empty = not vocabulary.entries
         self.unknown = vocabulary.unknown
-        self.memo: dict[str, int] = {}
+        self.recent: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def piece(self, text: str) -> int:
         """Tokens of one piece; time and memory grow with its length."""
@@ -90,27 +93,33 @@ class Counter:
         if not text:
             return 0
         pieces = text.replace(MARK, " ").split(" ")
-        memo, total = self.memo, 0
+        recent, total = self.recent, 0
         # A blank begins a piece; only before the text's first character one is added.
         for piece in pieces[1:] if text[0] in (" ", MARK) else pieces:
-            n = memo.get(piece)
+            n = recent.get(piece)
             if n is None:
-                n = self.piece(MARK + piece)
+                n = self.older.get(piece)
+                if n is None:
+                    n = self.piece(MARK + piece)
                 if len(piece) <= MEMO_LENGTH:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[piece] = n
+                    recent[piece] = n
             total += n
+        if len(recent) >= MEMO:  # what is used again moves up from the older half
+            self.older, self.recent = recent, {}
         return total
 
 
 def token_count(text: Column, vocabulary: Vocabulary) -> Column:
     """Tokens of a text; null and empty have none."""
     entries = tuple(vocabulary.entries.items())
+    name = ("unigram", hash(entries))
 
     @F.arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = Counter(Vocabulary(dict(entries)))
+        kept = worker_cache()
+        if name not in kept:
+            kept[name] = Counter(Vocabulary(dict(entries)))
+        counter = kept[name]
         for texts in batches:
             yield pa.array([counter.count(text) for text in texts.to_pylist()], pa.int64())
 

@@ -103,6 +103,14 @@ def prefix_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: i
     return mix(code), longer
 
 
+def parts(texts: pa.Array, size: int = 4 << 20):
+    """Ranges of texts of about ``size`` bytes each; a longer text is a range of its own.
+
+    Word tables are some twenty times as large as the text, so tasks make them for a part of a batch.
+    """
+    yield from slices(buffers(texts)[1], size)
+
+
 def slices(pointers: np.ndarray, words: int):
     """Ranges of texts of about ``words`` words each; a longer text is a range of its own."""
     lo, n = 0, len(pointers) - 1

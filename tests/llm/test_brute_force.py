@@ -136,16 +136,21 @@ def test_token_store(spark, rows):
     assert sorted(tuple(r) for r in QUERIES["op1_token_store"](spark, DATA).collect()) == want
 
 
-def test_pieces_have_the_ids_of_the_whole_text():
+def test_words_have_the_ids_of_the_whole_text():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, encode = Tokenizer.from_file(path), token_store.Encoder(path, 2)
+    assert encode.cut is not None
     rng = random.Random(0)
-    texts = ["".join(rng.choice("aB 's\n\t  é́日1!<|endoftext|>😀") for _ in range(rng.randrange(60))) for _ in range(3000)]
-    texts += ["<|endoftext|> x", "a<|startoftext|>b", " ", "\n"]
-    want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    alphabets = ["aB 's\n\t  é́日1!<|endoftext|>😀", "".join(map(chr, range(1, 256))), "'stremvldSTLLDRE .,…ab", "ÀÖ×ß÷ÿªµº²¼\xa0\x85\x1c x's"]
+    texts = ["".join(rng.choice(a) for _ in range(rng.randrange(80))) for a in alphabets for _ in range(2500)]
+    texts += ["<|endoftext|> x", "a<|startoftext|>b", "<|ENDOFTEXT|>", " ", "\n", None, "İstanbul ΣΑΣ œuvre"]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
     assert [np.frombuffer(b, encode.kind).tolist() for b in encode(texts)] == want
+    other = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [np.frombuffer(b, other.kind).tolist() for b in other(texts)] == [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
 def test_perfect_hash_is_minimal():
