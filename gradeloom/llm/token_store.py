@@ -42,7 +42,7 @@ from gradeloom.session import settle, shared_dir
 MAGIC, FORMAT = 0x4B4F54444F4F4C47, 1
 GAMMA = 2  # cells for each key of a level
 READ_BYTES = 4 << 20  # neighbouring documents are read together up to this size
-GROUP = 512  # texts encoded at a time
+GROUP = 512  # texts, or new words, encoded at a time
 MEMO = 1_000_000  # words whose ids a Python worker remembers
 
 MANIFEST_SCHEMA = (
@@ -165,16 +165,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.end = self._bytes([end_id])
+        self.end = np.array([end_id], self.kind).tobytes()
         self.memo: dict[str, bytes] = {}
         rules = json.loads(self.tokenizer.to_str())
         splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         known = (rules.get("normalizer") or {}).get("normalizers") == NORMALIZER and splits[0].get("pattern") == {"Regex": SPLIT}
         self.cut = re.compile(LATIN_WORD).findall if known and splits[0].get("behavior") == "Removed" else None
-        self.special = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content[:2] for t in added.values()]
+        # A special token is found before all else, so it parts words that are encoded in one go.
+        self.border_id, self.border = next(((i, t.content) for i, t in added.items() if t.special and not t.normalized), (None, None))
 
     def _words(self, text: str) -> list[str] | None:
         """The words of a text, None if it has to be encoded whole."""
@@ -194,17 +194,27 @@ class Encoder:
         if len(memo) > MEMO:  # what stands here as well is frequent
             memo = self.memo = {w: memo[w] for w in words if w in memo}
         new = list(words.difference(memo))
-        for encoded, word in zip(self._encode(new), new):
-            memo[word] = self._bytes(encoded.ids)
-        here = {w: memo[w] for w in words}  # small enough to stay near the processor
+        for lo in range(0, len(new), GROUP):
+            memo.update(zip(new[lo : lo + GROUP], self._encode_words(new[lo : lo + GROUP])))
+        here = dict(zip(words, map(memo.__getitem__, words)))  # small enough to stay near the processor
         for word in new:
             if len(word) > 64:  # rarely seen again
                 del memo[word]
         whole = iter(self._encode([t or "" for t, ws in zip(texts, cut) if ws is None]))
-        return [(self._bytes(next(whole).ids) if ws is None else b"".join(map(here.__getitem__, ws))) + self.end for ws in cut]
-
-    def _encode(self, texts: list[str]):
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [(next(whole) if ws is None else b"".join(map(here.__getitem__, ws))) + self.end for ws in cut]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.array(e.ids, self.kind).tobytes() for e in encoded]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of some words, which hold no special token."""
+        if self.border is None:
+            return self._encode(words)
+        ids = np.frombuffer(self._encode([self.border.join(words)])[0], self.kind)
+        width, payload = ids.itemsize, ids.tobytes()
+        borders = (np.flatnonzero(ids == self.border_id) * width).tolist()
+        return [payload[a:b] for a, b in zip([0, *(b + width for b in borders)], [*borders, len(payload)])]
 
 
 def encoder(path: str, end_id: int) -> Encoder:

@@ -28,13 +28,16 @@ PREFIXES = (4, 5)  # bytes
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts and of their beginnings, and where each text's begin."""
+    """32-bit hashes of the words of all texts and of their beginnings, and where each text's begin.
+
+    Two features of one hash count as one; of a million features that befalls a few hundred.
+    """
     hashes, pointers, raw, starts, ends = located_words(texts)
     table = np.repeat(hashes[:, None], 1 + len(PREFIXES), axis=1)  # a short word stands for its own beginning
     for k, size in enumerate(PREFIXES):
         prefix, longer = prefix_hashes(raw, starts, ends, size)
         table[longer, k + 1] = prefix
-    return table.ravel(), pointers * table.shape[1]
+    return (table.ravel() >> np.uint64(32)).astype(np.uint32), pointers * table.shape[1]
 
 
 @dataclass
@@ -76,7 +79,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> list[tuple[list[int
     schema = "_id bigint, " + ", ".join(f"y_{n} int" for n in names) + ", words binary"
     # Rows that repeat a doc_id could exceed the bound: one text stands for each id.
     rows = texts.mapInArrow(words, schema).groupBy("_id").agg(F.min_by(F.struct("*"), "words").alias("r")).select("r.*")
-    return [(list(r[1:-1]), np.frombuffer(r[-1], np.uint64)) for r in sorted(rows.collect(), key=lambda r: r[0])]
+    return [(list(r[1:-1]), np.frombuffer(r[-1], np.uint32)) for r in sorted(rows.collect(), key=lambda r: r[0])]
 
 
 def screened(words: Sparse, targets: np.ndarray) -> np.ndarray:
@@ -108,12 +111,13 @@ def train(rows: list[tuple[list[int], np.ndarray]], folds: int = FOLDS) -> Chain
     categories = list(CATEGORIES)
     targets = np.array([y for y, _ in rows], float).reshape(-1, len(categories))
     if not len(rows) or not targets[:, -1].any():
-        return Chain(categories, np.zeros(0, np.uint64), [np.r_[np.zeros(k), -40.0] for k in range(len(categories))], 1.0)
-    sizes = [len(w) for _, w in rows]
-    vocabulary, feature = np.unique(np.concatenate([w for _, w in rows]), return_inverse=True)
-    words = Sparse(np.repeat(np.arange(len(rows)), sizes), feature, len(rows), len(vocabulary))
+        return Chain(categories, np.zeros(0, np.uint32), [np.r_[np.zeros(k), -40.0] for k in range(len(categories))], 1.0)
+    values, counts = np.unique(np.concatenate([w for _, w in rows]), return_counts=True)
+    vocabulary = values[counts >= LEAST]
+    known = [vocabulary.searchsorted(w[np.isin(w, vocabulary, assume_unique=True)]) for _, w in rows]
+    words = Sparse(np.repeat(np.arange(len(rows)), [len(k) for k in known]), np.concatenate(known), len(rows), len(vocabulary))
     # Copies of a text are in one fold: the fold is a hash of the words.
-    fold = np.array([int(mix(np.add.reduce(w, keepdims=True))[0] % np.uint64(folds)) for _, w in rows])
+    fold = np.array([int(mix(np.add.reduce(w, keepdims=True, dtype=np.uint64))[0] % np.uint64(folds)) for _, w in rows])
     dense, weights = np.zeros((len(rows), 0)), []
     everything = np.ones(len(rows), bool)
     for k in range(len(categories)):
