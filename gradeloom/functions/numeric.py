@@ -44,13 +44,13 @@ def py_round(x: Column, digits) -> Column:
     ``x * 10**digits`` may land on a tie only because the product was rounded;
     the rounding error of the product then tells on which side of the tie the
     exact value lies. Where the product is too large to be exact as an integer,
-    the fraction of ``x`` is rounded by itself: it has few bits there. Written
+    what ``x`` has beyond an integer is rounded by itself: it has few bits there. Written
     without branches, so that generated code holds every shared part once.
     """
     scale = _power_of_ten(digits)
-    large = F.abs(x) * scale >= _EXACT
-    whole = F.when(large & (F.abs(x) < _EXACT), F.signum(x) * F.floor(F.abs(x)).cast("double")).otherwise(F.lit(0.0))
-    part = F.when(large, x - whole).otherwise(x)
+    large = ((F.abs(x) * scale >= _EXACT) & (F.abs(x) < F.lit(float("inf")))).cast("double")
+    whole = F.nanvl(F.rint(x) * large, F.lit(0.0))  # 0 unless the number is large
+    part = x - whole
     product = part * scale
     nearest = F.rint(product)
     carry = F.lit(_SPLITTER) * part
@@ -58,8 +58,7 @@ def py_round(x: Column, digits) -> Column:
     error = (high * scale - product) + (part - high) * scale
     # -1 or +1 exactly when a tie was rounded away from the side of the error
     excess = (nearest - product) - F.signum(error) * 0.5
-    rounded = (nearest - F.coalesce(excess.try_cast("int"), F.lit(0))) / scale
-    return F.when(F.abs(x) >= _EXACT, x).when(large, whole + rounded).otherwise(rounded)
+    return whole + (nearest - F.coalesce(excess.try_cast("int"), F.lit(0))) / scale
 
 
 # --- sums ----------------------------------------------------------------------

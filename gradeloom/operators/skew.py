@@ -1,8 +1,12 @@
 """Numbering rows of a group without putting the group into one task."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.session import settle
+
 BLOCK = 65536
 
 
@@ -12,28 +16,36 @@ def block_of(order: Column, block: int = BLOCK) -> Column:
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: str, out: str, weight: Column | None = None, ties: tuple = (), block: int = BLOCK
+    df: DataFrame, keys: list[str], order: str, out: str, weight: Column | None = None, ties: tuple = (), parts: int | None = None
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` (default 1) over the group up to the row.
 
-    The integer column ``order`` cuts a group into blocks of at most ``block``
-    distinct values. Sums run inside each block, and the blocks of a group,
-    one row each, carry the running offset; no task sees a whole hot group.
-    ``ties`` breaks equal values of ``order``.
+    Rows are dealt by ranges of (keys, order, ties) and, where these are equal, of
+    their place in the input, so a group of any size, with dense, sparse or equal orders, is spread
+    over as many partitions as its rows need. Sums run inside each partition, and the
+    partitions of a group, one row each, carry the running offset. ``ties`` breaks
+    equal values of ``order``; ``parts`` fixes the number of partitions.
     """
     weight = F.lit(1) if weight is None else weight
-    cut = df.withColumn("_block", block_of(F.col(order), block)).withColumn("_w", weight.cast("bigint"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    sort = [*keys, order, *ties, "_at"]
+    placed = df.withColumn("_w", weight.cast("bigint")).withColumn("_at", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(parts, *sort) if parts else placed.repartitionByRange(*sort)
+    # Written, so that both readers below see the same partitions.
+    cut = settle(dealt.withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_part").orderBy(order, *ties, "_at").rowsBetween(Window.unboundedPreceding, 0)
     summed = cut.withColumn("_n", F.sum("_w").over(inside))
-    sizes = cut.groupBy(*keys, "_block").agg(F.sum("_w").alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    joined = summed.join(offsets, [*keys, "_block"])
-    return joined.withColumn(out, (F.col("_n") + F.col("_offset")).cast("bigint")).drop(
-        "_block", "_n", "_offset", "_w"
-    )
-
-
-def number_rows(df: DataFrame, keys: list[str], order: str, out: str, ties: tuple = (), block: int = BLOCK) -> DataFrame:
+    sizes = cut.groupBy(*keys, "_part").agg(F.sum("_w").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    if keys:
+        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_part"]]
+        joined = summed.alias("l").join(offsets.alias("r"), reduce(Column.__and__, same)).select("l.*", "r._offset")
+    else:
+        joined = summed.join(offsets, "_part")
+    total = (F.col("_n") + F.col("_offset")).cast("bigint")
+    return joined.withColumn(out, total).drop("_part", "_n", "_offset", "_w", "_at")
+
+
+def number_rows(df: DataFrame, keys: list[str], order: str, out: str, ties: tuple = (), parts: int | None = None) -> DataFrame:
     """Add ``out``: the 1-based position of each row in its group by ``order``."""
-    return running_total(df, keys, order, out, ties=ties, block=block)
+    return running_total(df, keys, order, out, ties=ties, parts=parts)

@@ -9,7 +9,7 @@ from gradeloom.operators.provision import provision, provision_counts
 from gradeloom.operators.results import student_results
 from gradeloom.operators.skew import number_rows, running_total
 from gradeloom.operators.templates import sheet_titles, template_headers
-from gradeloom.sources.config_json import ConfigError, load_configs
+from gradeloom.sources.config_json import ConfigError, load_configs, parse_configs
 from gradeloom.sources.store import Store
 
 
@@ -110,8 +110,62 @@ def test_templates(spark):
 
 def test_numbering_across_blocks(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7).alias("o"))
-    rows = number_rows(df, ["k"], "o", "n", block=50).collect()
+    rows = number_rows(df, ["k"], "o", "n", parts=7).collect()
     for k in range(3):
         assert [r.n for r in sorted((r for r in rows if r.k == k), key=lambda r: r.o)] == list(range(1, 335 if k == 0 else 334))
-    total = running_total(df, ["k"], "o", "t", weight=F.col("o"), block=64).where("k = 1").agg(F.max("t")).first()[0]
+    total = running_total(df, ["k"], "o", "t", weight=F.col("o"), parts=5).where("k = 1").agg(F.max("t")).first()[0]
     assert total == sum(7 * i for i in range(1000) if i % 3 == 1)
+
+
+def test_numbering_of_sparse_and_equal_orders(spark):
+    """A group of far apart orders and one of equal orders: no window sees more than a partition."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, "sparse").otherwise("equal").alias("k"),
+        F.when(F.col("id") % 2 == 0, F.col("id") * 10_000_019).otherwise(F.lit(5)).alias("o"),
+        F.col("id"),
+    )
+    got = number_rows(rows, ["k"], "o", "n", parts=16).collect()
+    for k in ("sparse", "equal"):
+        assert sorted(r.n for r in got if r.k == k) == list(range(1, 2001))
+    sparse = sorted((r for r in got if r.k == "sparse"), key=lambda r: r.o)
+    assert [r.n for r in sparse] == list(range(1, 2001))
+    dealt = rows.repartitionByRange(16, "k", "o", "id").select("k", F.spark_partition_id().alias("p")).groupBy("k", "p").count().collect()
+    assert max(r["count"] for r in dealt) < 700
+
+
+def test_unusable_documents_are_errors_of_their_own(spark):
+    good = config("good")
+    twice = [config("twice"), config("twice")]
+    decimals = config("decimals")
+    decimals["rule_sets"][0]["decimals"] = 12
+    words = config("words")
+    words["rule_sets"][0]["decimals"] = "many"
+    homeless = config("homeless")
+    del homeless["seed"]["offerings"][1]["org_unit_id"]
+    endless = config("endless")
+    del endless["assessment_schemes"][0]["assessments"][2]["max_marks"]
+    documents = [good, *twice, decimals, words, homeless, endless]
+    texts = [(f"{n}.json", json.dumps(d)) for n, d in enumerate(documents)]
+    texts += [("7.json", "{not json"), ("8.json", '{"institution": {"id": "a", "id": "b"}}'), ("9.json", None), ("10.json", "[]")]
+    configs, errors = parse_configs(spark.createDataFrame(texts, "file string, text string"))
+    assert [r.institution_id for r in configs.institutions().collect()] == ["good"]
+    found = {r.file: r.message for r in errors.collect()}
+    clash = "Institution 'twice' is configured in 1.json and 2.json"
+    assert found == {
+        "1.json": clash,
+        "2.json": clash,
+        "3.json": "decimals outside 0 to 8 in 3.json",
+        "4.json": "decimals outside 0 to 8 in 4.json",
+        "5.json": "offering without org_unit_id in 5.json",
+        "6.json": "assessment without max_marks in 6.json",
+        "7.json": "not a JSON document: 7.json",
+        "8.json": "not a JSON document: 8.json",
+        "9.json": "not a JSON document: 9.json",
+        "10.json": "Institution needs id, name in 10.json",
+    }
+
+
+def test_a_store_keeps_its_number_of_shards(spark, store):
+    assert Store(spark, store.root, shards=2).load_all("student").count() == store.load_all("student").count() > 0
+    with pytest.raises(ValueError, match="has 2 shards, not 256"):
+        Store(spark, store.root)
