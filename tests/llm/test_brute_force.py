@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gradeloom.llm import components, decontaminate, hilbert, language_crf, license_index, link_graph, mixing, prob_minhash, token_store, toxicity, unigram_count
 from gradeloom.llm.registry import QUERIES
+from gradeloom.llm.words import mix
 
 DATA = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -95,7 +96,7 @@ def test_registers_agree_with_probability_jaccard():
     registers = 40_000
     found = []
     for w in (a, b):
-        keys = np.array([s for s, n in w.items() if n], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys = mix(np.array([s for s, n in w.items() if n], np.uint64))
         counts = np.array([n for n in w.values() if n])
         found.append(prob_minhash.signatures(np.zeros(len(keys), int), keys, counts, 1, registers)[0])
     want = probability_jaccard({k: v for k, v in a.items() if v}, {k: v for k, v in b.items() if v})
