@@ -78,27 +78,37 @@ def exact_sums(df: DataFrame, keys: list[str], sums: dict[str, Column], more: di
     its name for the second), such as (F.count("*"), F.sum).
     """
     more = more or {}
-    cut = df
-    first, final = [], []
-    for n, (name, value) in enumerate(sums.items()):
+    every = range(len(sums))
+
+    def usual(n: int) -> Column:
         x = F.col(f"_x{n}")
-        usual = F.coalesce((F.abs(x) < F.lit(float("inf"))) & (x != 0.0), F.lit(False))
-        size = F.when(usual, F.abs(x)).otherwise(F.lit(1.0))
-        cut = cut.withColumn(f"_x{n}", value.cast("double")).withColumn(f"_w{n}", F.floor(F.log2(size) / 32).cast("int"))
+        return F.coalesce((F.abs(x) < F.lit(float("inf"))) & (x != 0.0), F.lit(False))
+
+    def scaled(n: int) -> Column:
         half = F.pow(F.lit(2.0), F.col(f"_w{n}") * -16)
-        cut = cut.withColumn(f"_m{n}", F.when(usual, x * half * half).otherwise(F.lit(0.0)))
-        top = _toward_zero(F.col(f"_m{n}"))
-        cut = cut.withColumn(f"_t{n}", top).withColumn(f"_r{n}", (F.col(f"_m{n}") - top.cast("double")) * _STEP)
-        middle = _toward_zero(F.col(f"_r{n}"))
-        low = _toward_zero((F.col(f"_r{n}") - middle.cast("double")) * _STEP)
+        return F.when(usual(n), F.col(f"_x{n}") * half * half).otherwise(F.lit(0.0))
+
+    def window(n: int) -> Column:
+        size = F.when(usual(n), F.abs(F.col(f"_x{n}"))).otherwise(F.lit(1.0))
+        return F.floor(F.log2(size) / 32).cast("int")
+
+    cut = df.select("*", *[value.cast("double").alias(f"_x{n}") for n, value in enumerate(sums.values())])
+    cut = cut.select("*", *[window(n).alias(f"_w{n}") for n in every])
+    cut = cut.select("*", *[scaled(n).alias(f"_m{n}") for n in every])
+    cut = cut.select("*", *[F.col(f"_m{n}").cast("bigint").alias(f"_t{n}") for n in every])
+    cut = cut.select("*", *[((F.col(f"_m{n}") - F.col(f"_t{n}").cast("double")) * _STEP).alias(f"_r{n}") for n in every])
+    first, final = [], []
+    for n in every:
+        x, middle = F.col(f"_x{n}"), F.col(f"_r{n}").cast("bigint")
+        low = ((F.col(f"_r{n}") - middle.cast("double")) * _STEP).cast("bigint")
         first += [
             F.sum(f"_t{n}").alias(f"_p{n}"),
             F.sum(middle).alias(f"_q{n}"),
             F.sum(low).alias(f"_l{n}"),
             F.sum(F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x)).alias(f"_s{n}"),
         ]
-        window = F.collect_list(F.struct(F.col(f"_w{n}").alias("w"), F.col(f"_p{n}").alias("p"), F.col(f"_q{n}").alias("q"), F.col(f"_l{n}").alias("l")))
-        final += [window.alias(f"_a{n}"), F.sum(f"_s{n}").alias(f"_s{n}")]
+        parts = F.struct(F.col(f"_w{n}").alias("w"), F.col(f"_p{n}").alias("p"), F.col(f"_q{n}").alias("q"), F.col(f"_l{n}").alias("l"))
+        final += [F.collect_list(parts).alias(f"_a{n}"), F.sum(f"_s{n}").alias(f"_s{n}")]
     windows = [f"_w{n}" for n in range(len(sums))]
     once = cut.groupBy(*keys, *windows).agg(*first, *[agg.alias(name) for name, (agg, _) in more.items()])
     twice = once.groupBy(*keys).agg(*final, *[again(name).alias(name) for name, (_, again) in more.items()])
@@ -106,10 +116,6 @@ def exact_sums(df: DataFrame, keys: list[str], sums: dict[str, Column], more: di
     return twice.select(*keys, *totals, *more)
 
 
-def _toward_zero(x: Column) -> Column:
-    return x.cast("bigint")
-
-
 def _joined(windows: Column) -> Column:
     """The double nearest to the sum of the pieces of all windows."""
 
@@ -128,7 +134,7 @@ def _joined(windows: Column) -> Column:
 
         start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("carry"))
         done = F.aggregate(F.sequence(low, high), start, step, lambda s: F.concat(s["done"], F.array(s["carry"])))
-        return F.struct(done.alias("digits"), low.alias("low"))
+        return F.struct(done.alias("digits"), low.alias("low"), F.lit(float(sign)).alias("sign"))
 
     def nearest(number: Column) -> Column:
         """The double of non-negative digits: three from the first that is not 0, and whether any follow."""
@@ -141,13 +147,12 @@ def _joined(windows: Column) -> Column:
         a, b = a * (_STEP * _STEP), b * _STEP
         total = _let(a + b, lambda s: s + ((b - (s - a)) + c))
         half = F.pow(F.lit(2.0), (number["low"] + last - 2) * 16)
-        return F.when(after == 0, F.lit(0.0)).otherwise(total * half * half)
+        return F.when(after == 0, F.lit(0.0)).otherwise(number["sign"] * total * half * half)
 
-    def signed(number: Column) -> Column:
-        negative = F.element_at(number["digits"], -1) < 0
-        return F.when(negative, -nearest(digits(-1))).otherwise(nearest(number))
+    def positive(number: Column) -> Column:
+        return F.when(F.element_at(number["digits"], -1) < 0, digits(-1)).otherwise(number)
 
-    return _let(digits(1), signed)
+    return _let(_let(digits(1), positive), nearest)
 
 
 # --- text ----------------------------------------------------------------------
