@@ -19,7 +19,7 @@ from gradeloom.llm.common import hashed_sample
 from gradeloom.llm.linear import Sparse, fit, margin, sigmoid
 from gradeloom.llm.words import located_words, mix, parts, prefix_hashes
 
-SAMPLE = 8000  # labelled documents used for fitting
+SAMPLE = 6000  # labelled documents used for fitting
 FOLDS = 4
 PENALTY = 1.0
 SCREEN = 4.0  # a word is a feature if it differs from independence by so many standard errors
