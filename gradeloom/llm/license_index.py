@@ -6,21 +6,21 @@ licence words and their positions are taken out; the places of a phrase are the
 its rarest word, moved back by its offset, at which every other word stands as well.
 
 Templates are licence notices. Of each, the words with the highest IDF are indexed with
-their positions. A file's licence words of highest IDF vote for (template, offset of the
-template in the file), each with its IDF. A template labels a file if the best offset
+their positions. All licence words of a file vote for (template, offset of the template in the
+file), each with its IDF. A template labels a file if the best offset
 gathers enough of the template's IDF and each mandatory phrase stands at its place.
 """
 
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import WORD, lowered
 from gradeloom.session import settle
 
-FILE_WORDS = 32  # licence words of a file that vote
+FILE_WORDS = 32  # of the SQL alone, where no more licence words of a file vote; here all do
 RARE_WORDS = 12  # indexed words of a template
 COVERAGE = 0.6
 
@@ -133,12 +133,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     kinds = _table(spark, [(k, p.label, p.template, p.at) for k, p in indexed], "phrase int, label string, template boolean, at int")
     places = settle(places.filter("n = length").select("file", "phrase", "start").join(kinds, "phrase"))
 
-    # Offsets of templates: votes of each file's words of highest IDF.
-    weighed = _table(spark, sorted(idf.items()), "word string, idf double")
-    best_first = Window.partitionBy("file").orderBy(F.desc("idf"), "word")
-    file_words = hits.select("file", "word").distinct().join(weighed, "word").withColumn("rank", F.row_number().over(best_first))
-    voting = hits.join(file_words.filter(F.col("rank") <= FILE_WORDS).select("file", "word"), ["file", "word"])
-    votes = voting.join(_table(spark, rare_rows, "label string, at int, word string, idf double"), "word")
+    # Offsets of templates: votes of all licence words of a file.
+    votes = hits.join(_table(spark, rare_rows, "label string, at int, word string, idf double"), "word")
     votes = votes.groupBy("file", "label", (F.col("pos") - F.col("at")).alias("offset")).agg(F.sum("idf").alias("vote"))
     cover = F.round(F.col("vote") / F.col("weight"), 6)
     aligned = votes.join(_table(spark, [w for w in weights if w[1] > 0], "label string, weight double"), "label").withColumn("coverage", cover)

@@ -333,6 +333,15 @@ def test_licence_notices(spark):
     assert all(got[i].labels == "" and got[i].n_base == 0 for i in range(10, 60))
 
 
+def test_all_notices_of_one_file_are_found(spark):
+    notices = [text.replace("[", "").replace("]", "") for text in license_index.TEMPLATES.values()]
+    texts = [*notices, " plain words between ".join(notices)] + ["plain text of no licence at all"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_index.scanned(docs).collect()}
+    assert all(label in got[i] for i, label in enumerate(license_index.TEMPLATES))
+    assert set(license_index.TEMPLATES) <= got[len(notices)]
+
+
 def test_poisson_counts(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 19_000, "big").when(F.col("id") < 19_990, "small").alias("source"))
     weights = spark.createDataFrame([("big", 1.0), ("small", 1.0), (None, 2.0)], "source string, weight double")
