@@ -106,8 +106,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     rare_rows, weights = [], []
     for label, words in template_words().items():
         chosen = sorted(range(len(words)), key=lambda i: (-idf[words[i]], words[i], i))[:RARE_WORDS]
-        rare_rows += [(label, i, words[i], idf[words[i]]) for i in chosen]
-        weights.append((label, sum(idf[words[i]] for i in chosen)))
+        told = any(idf[words[i]] for i in chosen)  # not so if all stand in every row: then each counts the same
+        shares = [idf[words[i]] if told else 1.0 for i in chosen]
+        rare_rows += [(label, i, words[i], share) for i, share in zip(chosen, shares)]
+        weights.append((label, sum(shares)))
 
     # One pass over the texts: positions of licence words, in files with a rare one.
     vocabulary = F.array(*map(F.lit, sorted(frequency)))
@@ -137,7 +139,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     votes = hits.join(_table(spark, rare_rows, "label string, at int, word string, idf double"), "word")
     votes = votes.groupBy("file", "label", (F.col("pos") - F.col("at")).alias("offset")).agg(F.sum("idf").alias("vote"))
     cover = F.round(F.col("vote") / F.col("weight"), 6)
-    aligned = votes.join(_table(spark, [w for w in weights if w[1] > 0], "label string, weight double"), "label").withColumn("coverage", cover)
+    aligned = votes.join(_table(spark, weights, "label string, weight double"), "label").withColumn("coverage", cover)
     enough = aligned.filter(F.col("coverage") >= COVERAGE).select("file", "label", "offset")
     mandatory = {label: sum(p.template and p.label == label for _, p in indexed) for label in TEMPLATES}
     proven = places.filter("template").select("file", "label", "phrase", (F.col("start") - F.col("at")).alias("offset"))

@@ -342,6 +342,13 @@ def test_all_notices_of_one_file_are_found(spark):
     assert set(license_index.TEMPLATES) <= got[len(notices)]
 
 
+@pytest.mark.parametrize("n", [1, 20])
+def test_notice_that_every_file_holds_is_found(spark, n):
+    notice = "Licensed under the Apache License, Version 2.0."
+    docs = spark.createDataFrame([(i, f"{notice} file {i}") for i in range(n)], "doc_id bigint, text string")
+    assert [(r.labels, r.score) for r in license_index.scanned(docs).collect()] == [("apache-2.0", 1.0)] * n
+
+
 def test_poisson_counts(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 19_000, "big").when(F.col("id") < 19_990, "small").alias("source"))
     weights = spark.createDataFrame([("big", 1.0), ("small", 1.0), (None, 2.0)], "source string, weight double")
