@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import hashed_sample
+from gradeloom.llm.common import hashed_sample, row_tie
 from gradeloom.llm.linear import minimise
 from gradeloom.llm.words import buffers, located_words, mix, parts
 
 SAMPLE_TEXTS = 120  # labelled texts of each language used for fitting
-SAMPLE_CHARS = 20_000  # longest text used for fitting
 SAMPLE_WORDS = 200  # words taken of each, from a place drawn by hash
+SAMPLE_CHARS = 20_000  # characters that these words and what stands between them take up at most
 SPAN, SEQUENCE = 25, 100  # words of a spliced span on average, and of a training sequence
 BUCKETS = 1 << 17
 PENALTY = 0.3
@@ -81,6 +81,27 @@ def emissions(weights: np.ndarray, buckets: np.ndarray, begin: np.ndarray) -> np
 # --- training ----------------------------------------------------------------------
 
 
+def _taken(hashes: np.ndarray, pointers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, the first of the SAMPLE_WORDS words used for fitting, and the one after the last."""
+    sizes = np.diff(pointers)
+    first, some = pointers[:-1].copy(), np.flatnonzero(sizes)
+    places = np.maximum(sizes[some] - SAMPLE_WORDS, 1).astype(np.uint64)
+    first[some] += (mix(hashes[pointers[some]]) % places).astype(np.int64)
+    return first, np.minimum(first + SAMPLE_WORDS, pointers[1:])
+
+
+def excerpts(texts: pa.Array) -> pa.Array:
+    """The part of each text that is used for fitting, empty without words."""
+    out = []
+    for lo, hi in parts(texts):
+        hashes, pointers, raw, starts, ends = located_words(texts[lo:hi])
+        for first, last in zip(*_taken(hashes, pointers)):
+            # No character has more than four bytes.
+            held = raw[starts[first] : min(ends[last - 1], starts[first] + 4 * SAMPLE_CHARS)].tobytes() if last > first else b""
+            out.append(held.decode(errors="ignore")[:SAMPLE_CHARS])
+    return pa.array(out, pa.string())
+
+
 def _spliced(texts: list[tuple[int, np.ndarray]], rng) -> tuple[np.ndarray, np.ndarray]:
     """Training sequences of word numbers and languages: spans of the texts in shuffled order."""
     spans = []
@@ -108,12 +129,8 @@ def fit(texts: list[tuple[int, pa.Array]], languages: list[str], seed: int = 0)
     distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
     buckets, begin = word_features(raw, starts[first], ends[first], distinct)
     rng = np.random.default_rng(seed)
-    parts = []
-    for i, (language, _) in enumerate(texts):
-        words = number[pointers[i] : pointers[i + 1]]
-        at = int(mix(hashes[pointers[i] : pointers[i] + 1])[0] % np.uint64(max(len(words) - SAMPLE_WORDS, 1))) if len(words) else 0
-        parts.append((language, words[at : at + SAMPLE_WORDS]))
-    words, marks = _spliced(parts, rng)
+    taken = zip(texts, *_taken(hashes, pointers))
+    words, marks = _spliced([(language, number[first:last]) for (language, _), first, last in taken], rng)
     if not len(words):
         return Model(languages, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)))
     used, bucket = np.unique(buckets, return_inverse=True)
@@ -282,13 +299,18 @@ def held_out(doc_id: Column) -> Column:
 
 def learned(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
     """Fitted on at most ``texts`` documents of each language, chosen by hash, of those that are
-    not held out and have at most SAMPLE_CHARS characters."""
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    not held out. They may be of any length; only what is used of them leaves the tasks."""
+
+    @F.arrow_udf("string")
+    def excerpt(batch: pa.Array) -> pa.Array:
+        return excerpts(batch)
+
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     languages = sorted(r[0] for r in known.select("lang").distinct().collect())
     sample = []
     for number, language in enumerate(languages):
-        own = known.filter(F.col("lang") == language).select("doc_id", "text")
-        sample += [(number, r["text"]) for r in hashed_sample(own, texts, "doc_id", "text").collect()]
+        own = known.filter(F.col("lang") == language).select("doc_id", row_tie(F.col("text")).alias("tie"), excerpt("text").alias("text"))
+        sample += [(number, r["text"]) for r in hashed_sample(own, texts, "doc_id", "tie").collect()]
     return fit(sample, languages) if sample else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
 
 

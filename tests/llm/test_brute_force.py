@@ -270,6 +270,25 @@ def test_code_switched_words():
     assert marginals[:27].argmax(1).tolist() == [0] * 27 and marginals[27:].argmax(1).tolist() == [1] * 30
 
 
+def test_language_of_long_texts_alone_is_learned(spark):
+    german, spanish = "der hund und die katze sind nicht im haus ", "el perro y la gata no están en la casa "
+    rows = [(i, german * 5, "de") for i in range(40)] + [(i, spanish * 2000, "es") for i in range(40, 80)] + [(i, spanish, None) for i in range(80, 90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_crf.learned(docs)
+    assert model.languages == ["de", "es"]
+    assert {r.doc_id: r.lang_pred for r in language_crf.judged(docs, model).collect()} == {i: "de" if i < 40 else "es" for i in range(90)}
+
+
+def test_excerpts_are_what_is_fitted_on():
+    import pyarrow as pa
+
+    texts = ["", "?!", "one", " ".join(f"wört{i}" for i in range(200)), ", ".join(f"wört{i}" for i in range(100_000)), "語" * 50_000]
+    got = language_crf.excerpts(pa.array([*texts, None])).to_pylist()
+    assert got[:4] == ["", "", "one", texts[3]] and got[6] == "" and got[5] == "語" * language_crf.SAMPLE_CHARS
+    assert len(words(got[4])) == language_crf.SAMPLE_WORDS and got[4] in texts[4]
+    assert language_crf.excerpts(pa.array(got)).to_pylist() == got
+
+
 def test_toxic_words_are_learned(spark):
     rng = random.Random(5)
     bad = ["grumphole", "snarkwit", "blightface"]
