@@ -17,7 +17,7 @@ from gradeloom.llm.common import LOWER, UPPER
 from gradeloom.session import settle
 
 DAMPING = 0.85
-ROUNDS = 12
+TOLERANCE = 1e-9  # PageRank goes on until all scores together lack no more than this
 THRESHOLD = 0.5  # share of (1 - DAMPING): what a host has whose pages are half blocked and that nobody links to
 DIGITS = 12  # scores are compared after rounding, for the order of a sum must not decide
 
@@ -64,8 +64,12 @@ def links(pages: DataFrame) -> DataFrame:
     return out.select("src", target.alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score): PageRank with restarts at ``seeds``(host, seed), after ``rounds`` rounds.
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, score): PageRank with restarts at ``seeds``(host, seed).
+
+    Rounds go on until all scores together lack at most ``tolerance``, however long the paths;
+    they stop earlier only if a number of ``rounds`` is given. What all scores grow by in a round
+    shrinks by the damping at least, which bounds what is still to come.
 
     Scores are not normalised: a host without links has (1 - damping) times its seed.
     A host with very many links is one key on either side of a join of edges, which
@@ -73,19 +77,25 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
     """
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     shares = settle(edges.join(degree, "src"))
-    start = seeds.select("host", (F.col("seed") * F.lit(1 - damping)).alias("own"))
-    scores = settle(start.withColumnRenamed("own", "score"))
+    nothing = F.lit(0.0)
+    start = seeds.select("host", (F.col("seed") * F.lit(1 - damping)).alias("part"), nothing.alias("former"))
+    scores = settle(start.select("host", F.col("part").alias("score")))
     if shares.isEmpty():
         return scores
-    for _ in range(rounds):
-        moved = shares.join(scores.withColumnRenamed("host", "src"), "src")
-        moved = moved.select(F.col("dst").alias("host"), (F.col("score") / F.col("degree") * damping).alias("part"))
-        every = moved.unionByName(start.withColumnRenamed("own", "part"))
-        scores = settle(every.groupBy("host").agg(F.sum("part").alias("score")))
+    done, mass = 0, seeds.agg(F.sum("seed")).first()[0] or 0.0
+    while rounds is None or done < rounds:
+        moved = shares.join(scores.select(F.col("host").alias("src"), "score"), "src")
+        moved = moved.select(F.col("dst").alias("host"), (F.col("score") / F.col("degree") * damping).alias("part"), nothing.alias("former"))
+        every = moved.unionByName(start).unionByName(scores.select("host", nothing.alias("part"), F.col("score").alias("former")))
+        grown = settle(every.groupBy("host").agg(F.sum("part").alias("score"), F.sum("former").alias("former")))
+        scores, done = grown.select("host", "score"), done + 1
+        growth = grown.agg(F.sum(F.col("score") - F.col("former"))).first()[0] or 0.0
+        if min(growth * damping / (1 - damping), mass * damping ** (done + 1)) <= tolerance:
+            break
     return scores
 
 
-def judged(pages: DataFrame, rules: Sequence[Rule] | DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[Rule] | DataFrame, damping: float = DAMPING, rounds: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every row of pages(page_id, url, html).
 
     Without a rule a page is blocked if its host's distrust exceeds its trust and is

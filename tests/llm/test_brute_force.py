@@ -335,6 +335,14 @@ def test_links_spread_trust_and_distrust(spark):
     assert got[6].distrust == pytest.approx(0.15 * 0.85**2) and got[6].trust == 0
 
 
+def test_links_of_any_distance_and_cycles_settle(spark):
+    edges = [(f"h{i}", f"h{i + 1}") for i in range(20)] + [("a", "b"), ("b", "a")]
+    seeds = spark.createDataFrame([(h, float(h in ("h0", "a"))) for h in [*(f"h{i}" for i in range(21)), "a", "b"]], "host string, seed double")
+    got = {r.host: r.score for r in link_graph.spread(seeds, spark.createDataFrame(edges, "src string, dst string"), damping=0.5).collect()}
+    want = {f"h{i}": 0.5 ** (i + 1) for i in range(21)} | {"a": 2 / 3, "b": 1 / 3}
+    assert got == pytest.approx(want, abs=1e-8)
+
+
 def test_licence_notices(spark):
     rows = [
         (1, "Licensed under the Apache License, Version 2.0."),
