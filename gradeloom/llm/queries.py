@@ -1,8 +1,24 @@
 """One query for each operator, over its whole table with production parameters."""
 
 import public_tokenizers
-
-from gradeloom.llm import decontaminate, hilbert, language_crf, license_index, link_graph, mixing, oracles, prob_minhash, token_store, toxicity, unigram_count
+from pyspark.sql import functions as F
+
+from gradeloom.llm import (
+    decontaminate,
+    hilbert,
+    language_crf,
+    license_index,
+    link_graph,
+    mixing,
+    oracles,
+    periodic_runs,
+    prob_minhash,
+    token_alignment,
+    token_store,
+    toxicity,
+    unigram_count,
+    vector_packing,
+)
 from gradeloom.llm.common import table
 from gradeloom.llm.registry import query
 
@@ -64,3 +80,23 @@ def op10(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language_crf.judged(docs, language_crf.learned(docs))
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    docs = periodic_runs.with_planted(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.found(docs))
+
+
+@query("op12_vector_packing")
+def op12(spark, sf_dir):
+    return vector_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+
+
+@query("op13_token_alignment")
+def op13(spark, sf_dir):
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256))
+    found = token_alignment.aligned(table(spark, sf_dir, "documents"), a, b, keep=digest)
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return found.select(*names, F.col("groups").alias("groups_sha256"), "n_shared")

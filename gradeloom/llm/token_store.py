@@ -159,11 +159,12 @@ class Encoder:
     one for any other file, goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, rules: str, end_id: int):
+        """``rules`` is the content of the file."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(rules)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.end = np.array([end_id], self.kind).tobytes()
         self.memo: dict[str, bytes] = {}
@@ -217,12 +218,18 @@ class Encoder:
         return [payload[a:b] for a, b in zip([0, *(b + width for b in borders)], [*borders, len(payload)])]
 
 
-def encoder(path: str, end_id: int) -> Encoder:
+def shipped(spark: SparkSession, path: str):
+    """The content of a tokenizer file that the driver reads, for all executors; a few megabytes, whatever the input."""
+    with open(path, encoding="utf-8") as file:
+        return spark.sparkContext.broadcast(file.read())
+
+
+def encoder(rules: str, end_id: int) -> Encoder:
     """The encoder of this Python worker, kept with what it has looked up from task to task."""
-    kept = worker_cache()
-    if (path, end_id) not in kept:
-        kept[path, end_id] = Encoder(path, end_id)
-    return kept[path, end_id]
+    kept, key = worker_cache(), (zlib.crc32(rules.encode()), end_id)
+    if key not in kept:
+        kept[key] = Encoder(rules, end_id)
+    return kept[key]
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -239,6 +246,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
+    rules = shipped(spark, tokenizer)
 
     def shards(batches):
         from pyspark import TaskContext
@@ -251,7 +259,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
             if not batch.num_rows:
                 continue
             if encode is None:
-                encode = encoder(tokenizer, end_id)
+                encode = encoder(rules.value, end_id)
                 out = store.open_output_stream(f"{root}/{name}.ids")
             for lo in range(0, batch.num_rows, GROUP):
                 payload = encode(batch.column(1)[lo : lo + GROUP].to_pylist())

@@ -27,5 +27,5 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in QUERIES}
-    assert names == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert names == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
