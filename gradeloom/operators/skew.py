@@ -26,24 +26,37 @@ def running_total(
     partitions of a group, one row each, carry the running offset. ``ties`` breaks
     equal values of ``order``; ``parts`` fixes the number of partitions.
     """
-    weight = F.lit(1) if weight is None else weight
+    weight = (F.lit(1) if weight is None else weight).cast("bigint")
+    inside, offset = F.col("_n"), F.coalesce("_offset", F.lit(0))
+    return _running(df, keys, order, out, weight, ties, parts, F.sum, (inside + offset).cast("bigint"))
+
+
+def running_max(df: DataFrame, keys: list[str], order: str, out: str, value: Column, ties: tuple = ()) -> DataFrame:
+    """Add ``out``: the largest ``value`` of the group up to the row, null before the first one that is not null.
+
+    Where values grow with ``order`` and only some rows have one, it is the last one
+    before a row. Groups are spread as in ``running_total``.
+    """
+    return _running(df, keys, order, out, value, ties, None, F.max, F.greatest("_n", "_offset"))
+
+
+def _running(df, keys, order, out, value, ties, parts, combine, both) -> DataFrame:
     sort = [*keys, order, *ties, "_at"]
-    placed = df.withColumn("_w", weight.cast("bigint")).withColumn("_at", F.monotonically_increasing_id())
+    placed = df.withColumn("_w", value).withColumn("_at", F.monotonically_increasing_id())
     dealt = placed.repartitionByRange(parts, *sort) if parts else placed.repartitionByRange(*sort)
     # Written, so that both readers below see the same partitions.
     cut = settle(dealt.withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, "_part").orderBy(order, *ties, "_at").rowsBetween(Window.unboundedPreceding, 0)
-    summed = cut.withColumn("_n", F.sum("_w").over(inside))
-    sizes = cut.groupBy(*keys, "_part").agg(F.sum("_w").alias("_size"))
+    running = cut.withColumn("_n", combine("_w").over(inside))
+    sizes = cut.groupBy(*keys, "_part").agg(combine("_w").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    offsets = sizes.select(*keys, "_part", combine("_size").over(before).alias("_offset"))
     if keys:
         same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_part"]]
-        joined = summed.alias("l").join(offsets.alias("r"), reduce(Column.__and__, same)).select("l.*", "r._offset")
+        joined = running.alias("l").join(offsets.alias("r"), reduce(Column.__and__, same)).select("l.*", "r._offset")
     else:
-        joined = summed.join(offsets, "_part")
-    total = (F.col("_n") + F.col("_offset")).cast("bigint")
-    return joined.withColumn(out, total).drop("_part", "_n", "_offset", "_w", "_at")
+        joined = running.join(offsets, "_part")
+    return joined.withColumn(out, both).drop("_part", "_n", "_offset", "_w", "_at")
 
 
 def number_rows(df: DataFrame, keys: list[str], order: str, out: str, ties: tuple = (), parts: int | None = None) -> DataFrame:

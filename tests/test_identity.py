@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from gradeloom.operators import identity
 from gradeloom.operators.identity import resolve_students
 
 
@@ -124,3 +125,71 @@ def test_people_of_several_workbooks_stay_apart(spark):
 def test_a_long_run_of_taken_numbers(spark):
     stored = [(f"imp_Student_{n}", f"n{n}", f"r{n}") for n in range(1, 10_001)] + [("imp_Student", "n0", "r0")]
     check(spark, ({"i": stored}, {("i", "w"): [("", "Student"), ("Student.", ""), ("", "Student!")]}))
+
+
+def fast_replay(taken, rows):
+    """As ``replay`` for rows of one workbook that clash with no stored student, in linear time."""
+    rolls, names, ids, count, out = set(), set(), set(taken), 0, []
+    for roll, name in rows:
+        if (roll and roll in rolls) or (name and name in names):
+            continue
+        base = new = "imp_" + safe(roll or name)
+        while new in ids:
+            count += 1
+            new = f"{base}_{count}"
+        ids.add(new)
+        rolls.add(roll)
+        names.add(name or roll)
+        out.append((new, name or roll, roll))
+    return out
+
+
+def made_by(spark, stored, rows):
+    student = spark.createDataFrame([("i", n, s, f"stored {n}", f"stored {n}") for n, s in enumerate(stored)], "institution_id string, seq bigint, id string, name string, roll_no string")
+    frame = spark.createDataFrame([("i", "w", n, *row) for n, row in enumerate(rows)], "institution_id string, workbook string, ord bigint, roll string, name string")
+    _, made = resolve_students(frame, student)
+    return [(r.student_id, r.name, r.roll_no) for r in made.orderBy("ord").collect()]
+
+
+def counting(monkeypatch, name):
+    calls, inner = [], getattr(identity, name)
+    monkeypatch.setattr(identity, name, lambda *a, **k: (calls.append(1), inner(*a, **k))[1])
+    return calls
+
+
+def test_a_chain_of_ten_thousand_rows_in_log_rounds(spark, monkeypatch):
+    rows = [(f"r{k // 2}", f"n{(k + 1) // 2}") for k in range(10_000)]
+    rounds, steps = counting(monkeypatch, "_firsts"), counting(monkeypatch, "settle")
+    assert made_by(spark, [], rows) == fast_replay([], rows)
+    assert len(rounds) <= 2 and len(steps) <= 40  # written tables, those of ids and verdicts among them
+
+
+def test_chains_in_any_order_and_without_names(spark):
+    rng = random.Random(9)
+    rows = [(f"r{k // 2}", f"n{(k + 1) // 2}") for k in range(400)]
+    rows += [(f"q{k}", "") for k in range(50)] + [(f"p{k}", f"q{k}") for k in range(50)] + [("", f"q{k}") for k in range(0, 50, 3)]
+    rng.shuffle(rows)
+    assert made_by(spark, [], rows) == fast_replay([], rows)
+
+
+def test_dense_conflicts(spark):
+    rng = random.Random(10)
+    rows = [(f"r{rng.randrange(40)}" if rng.random() < 0.9 else "", f"n{rng.randrange(40)}") for _ in range(700)]
+    assert made_by(spark, [], rows) == fast_replay([], rows)
+
+
+def test_ten_thousand_rows_over_as_many_gaps(spark, monkeypatch):
+    stored = ["imp_Student"] + [f"imp_Student_{n}" for n in range(1, 20_001, 2)]
+    rows = [("Student" + "." * k, "") for k in range(10_000)]
+    rounds, steps = counting(monkeypatch, "_named"), counting(monkeypatch, "_after_runs")
+    assert made_by(spark, stored, rows) == fast_replay(stored, rows)
+    assert len(rounds) == 1 and len(steps) <= 2 * 5
+
+
+def test_gaps_of_several_names_in_one_count(spark):
+    rng = random.Random(11)
+    stored = [f"imp_{b}" for b in "ABC"] + [f"imp_{rng.choice('ABC')}_{rng.randrange(1, 40)}" for _ in range(40)]
+    rows = [(rng.choice("ABC") + "." * k, "") for k in range(24)] + [("A_9", ""), ("B_7", ""), ("C_2", "")]
+    rng.shuffle(rows)
+    stored = list(dict.fromkeys(stored))
+    assert made_by(spark, stored, rows) == fast_replay(stored, rows)
