@@ -1,7 +1,9 @@
 import json
+import os
 import tempfile
 
 import pytest
+from pyspark.errors import AnalysisException
 from helpers import config, configs_of
 from pyspark.sql import functions as F
 
@@ -169,3 +171,80 @@ def test_a_store_keeps_its_number_of_shards(spark, store):
     assert Store(spark, store.root, shards=2).load_all("student").count() == store.load_all("student").count() > 0
     with pytest.raises(ValueError, match="has 2 shards, not 256"):
         Store(spark, store.root)
+
+
+def files_of(root):
+    return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names if f.endswith((".parquet", ".json"))}
+
+
+def stored_marks(store, **version):
+    rows = store.load_all("mark", **version).orderBy("institution_id", "seq").collect()
+    return [(r.institution_id, r.student_id, r.obtained) for r in rows]
+
+
+@pytest.fixture
+def own_store(spark):
+    store = Store(spark, tempfile.mkdtemp(prefix="gradeloom-store-"), shards=4)
+    store.replace("mark", marks(spark, [(f"i{k % 6}", f"p{k}", "a", float(k)) for k in range(600)]).withColumn("seq", F.col("write_no")))
+    return store
+
+
+def test_one_changed_mark_writes_one_small_file(spark, own_store):
+    before = files_of(own_store.root)
+    own_store.save("mark", marks(spark, [("i1", "p1", "a", 77.0)]))
+    new = {p: n for p, n in files_of(own_store.root).items() if p not in before}
+    assert [n < 10_000 for p, n in new.items() if p.endswith(".parquet")] == [True]
+    assert all(files_of(own_store.root)[p] == n for p, n in before.items())
+    assert dict((s, o) for _, s, o in stored_marks(own_store))["p1"] == 77.0
+    assert len(stored_marks(own_store)) == 600
+
+
+def test_earlier_versions_stay_readable(spark, own_store):
+    first = own_store.versions()[-1]
+    was = stored_marks(own_store)
+    own_store.save("mark", marks(spark, [("i1", "p1", "a", 1.5), ("i9", "q", "a", 2.5)]))
+    own_store.clear(spark.createDataFrame([("i2",)], "institution_id string"))
+    own_store.save("mark", marks(spark, [("i2", "p2", "a", 3.5), ("i9", "q", "a", 4.5)]))
+    now = stored_marks(own_store)
+    assert stored_marks(own_store, version=first) == was
+    want = [(i, s, 1.5 if s == "p1" else o) for i, s, o in was if i != "i2"] + [("i2", "p2", 3.5), ("i9", "q", 4.5)]
+    assert sorted(now) == sorted(want)
+    own_store.compact()
+    assert stored_marks(own_store) == now  # positions too
+    own_store.vacuum()
+    assert stored_marks(own_store) == now and len(own_store.versions()) == 1
+    with pytest.raises(AnalysisException):
+        own_store.load_all("mark", version=first).collect()
+
+
+def test_a_failed_write_changes_nothing(spark, own_store):
+    was, versions = stored_marks(own_store), own_store.versions()
+    good = marks(spark, [("i1", "p1", "a", 0.5)])
+    bad = marks(spark, [("i1", "p2", "a", 0.5)]).withColumn("obtained", F.raise_error(F.lit("broken")).cast("double"))
+    student = spark.createDataFrame([("i1", "s", "n", "r", 0)], "institution_id string, id string, name string, roll_no string, write_no bigint")
+    for saved in ({"student": student, "mark": bad}, {"mark": good.unionByName(bad)}):
+        with pytest.raises(Exception, match="broken"):
+            own_store.write(saved=saved)
+    assert own_store.versions() == versions and stored_marks(own_store) == was
+    assert own_store.load_all("student").isEmpty()
+    own_store.vacuum()  # what the failed writes left goes, what is stored stays
+    assert stored_marks(own_store) == was
+
+
+def test_the_second_of_two_writers_fails(spark, own_store):
+    number, rows = own_store._version()
+    own_store.save("mark", marks(spark, [("i1", "p1", "a", 0.5)]))
+    with pytest.raises(AnalysisException):
+        own_store._commit(number, [r.asDict() for r in rows])
+
+
+def test_many_saves_are_compacted(spark, own_store, monkeypatch):
+    from gradeloom.sources import store as module
+
+    monkeypatch.setattr(module, "LAYERS", 3)
+    for n in range(6):
+        own_store.save("mark", marks(spark, [("i1", "p1", "a", 100.0 + n), ("i1", f"new{n}", "a", 1.0)]))
+    rows = own_store._version()[1]
+    assert max(sum(r["shard"] == s for r in rows) for s in range(4)) <= 3
+    mine = [(s, o) for i, s, o in stored_marks(own_store) if i == "i1"]
+    assert mine[0] == ("p1", 105.0) and [s for s, _ in mine[-6:]] == [f"new{n}" for n in range(6)] and len(mine) == 106
