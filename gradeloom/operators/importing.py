@@ -1,7 +1,8 @@
 """Validate workbooks into a plan; apply a plan to stored tables.
 
-Validation never writes. Every workbook is judged on its own against the
-stored state; all workbooks of a run are judged together.
+Validation never writes to the store. Students are resolved over all workbooks of an
+institution in the order of their names, each workbook seeing the students that
+earlier ones make; marks and errors of all workbooks of a run are judged together.
 """
 
 from dataclasses import dataclass
@@ -260,20 +261,23 @@ def enrollment_id(student: Column, year: Column, term: Column, org: Column) -> C
 
 @dataclass
 class Applied:
-    """Stored tables after an import, and one row of counters."""
+    """Stored tables after an import, and one row of counters.
+
+    ``mark_writes`` holds the marks that the import writes, one for each key, with their order.
+    """
 
     student: DataFrame
     enrollment: DataFrame
     enrollment_course: DataFrame
     mark: DataFrame
     report: DataFrame
+    mark_writes: DataFrame
 
 
 def apply_plan(plan: ImportPlan, domain: Domain, skip_invalid: bool = False) -> Applied:
     """The tables a plan leaves behind. Strict mode refuses any error.
 
-    Nothing is written here: the caller stores the frames, and storing them
-    twice gives the same tables.
+    Nothing is stored here, see ``commit``; storing the frames twice gives the same tables.
     """
     if not skip_invalid and not plan.errors.isEmpty():
         raise ImportRefused("cannot apply a plan with validation errors in strict mode")
@@ -325,7 +329,7 @@ def apply_plan(plan: ImportPlan, domain: Domain, skip_invalid: bool = False) ->
     )
     enrollment_course = kept_courses.unionByName(added)
 
-    mark = _upsert_marks(domain.mark, plan.marks.withColumn("write_no", F.struct("workbook", "ord", "col_no")))
+    mark, mark_writes = _upsert_marks(domain.mark, plan.marks.withColumn("write_no", F.struct("workbook", "ord", "col_no")))
 
     updated = extended.select("institution_id", "enrollment_id").distinct()
     report = _counters(
@@ -337,7 +341,16 @@ def apply_plan(plan: ImportPlan, domain: Domain, skip_invalid: bool = False) ->
             "skipped": (plan.errors, F.lit(1)),
         }
     )
-    return Applied(student, enrollment, enrollment_course, mark, report)
+    return Applied(student, enrollment, enrollment_course, mark, report, mark_writes)
+
+
+def commit(store, applied: Applied, institutions: DataFrame) -> int:
+    """Store an import as one version, or nothing of it; ``institutions`` are those of the applied domain.
+
+    Marks are appended to their log; the small tables of people replace those of the institutions.
+    """
+    people = {"student": applied.student, "enrollment": applied.enrollment, "enrollment_course": applied.enrollment_course}
+    return store.write(replaced=people, saved={"mark": applied.mark_writes}, ended=institutions)
 
 
 def _counters(parts: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
@@ -373,7 +386,8 @@ def _after(stored: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.withColumn("seq", F.coalesce("_end", F.lit(-1)) + F.col("n")).drop("_end", "n")
 
 
-def _upsert_marks(stored: DataFrame, writes: DataFrame) -> DataFrame:
+def _upsert_marks(stored: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The marks after the writes, and the last write of each key in the order of the first ones."""
     keys = ["institution_id", "student_id", "assessment_id"]
     last = writes.groupBy(*keys).agg(
         F.max_by(F.struct("obtained", "status"), "write_no").alias("w"), F.min("write_no").alias("first")
@@ -382,7 +396,8 @@ def _upsert_marks(stored: DataFrame, writes: DataFrame) -> DataFrame:
     last = last.withColumn("id", F.concat_ws(":", "student_id", "assessment_id"))
     numbered = _after(stored, last).select(*keys, F.col("seq").alias("new_seq"), "id", "w")
     merged = stored.join(numbered.withColumnRenamed("id", "new_id"), keys, "full_outer")
-    return merged.select(
+    last_writes = numbered.select(*keys, "id", "w.obtained", "w.status", F.col("new_seq").alias("write_no"))
+    after = merged.select(
         "institution_id",
         F.coalesce("seq", "new_seq").alias("seq"),
         F.coalesce("id", "new_id").alias("id"),
@@ -391,6 +406,7 @@ def _upsert_marks(stored: DataFrame, writes: DataFrame) -> DataFrame:
         F.when(F.col("w").isNotNull(), F.col("w.obtained")).otherwise(F.col("obtained")).alias("obtained"),
         F.when(F.col("w").isNotNull(), F.col("w.status")).otherwise(F.col("status")).alias("status"),
     )
+    return after, last_writes
 
 
 def answer_writes(answers: DataFrame, stored: DataFrame) -> DataFrame:

@@ -4,10 +4,13 @@ Every function takes a table of distinct requests and returns it with the
 match (NULL if there is none) and ``error`` (NULL if there is one match).
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import strip
+from gradeloom.session import settle
 
 
 def _say(*parts) -> Column:
@@ -136,38 +139,51 @@ def resolve_subjects(requests: DataFrame, offering: DataFrame, course: DataFrame
     named = asked.join(courses, ["institution_id", "subject"], "left").join(
         settings.select("institution_id", "default_year", "default_term"), "institution_id", "left"
     )
-    offered = offering.select(
-        "institution_id",
-        "course_id",
-        F.col("id").alias("match_id"),
-        "year_id",
-        "term_id",
-        F.col("org_unit_id").alias("unit"),
-    )
+    # One row for each course, each (course, unit) and each (course, year, term): how many offerings, and the least.
+    index = (
+        offering.select("institution_id", "course_id", F.col("org_unit_id").alias("unit"), F.col("year_id").alias("year"), F.col("term_id").alias("term"), F.col("id").alias("match_id"))
+        .groupingSets([["institution_id", "course_id"], ["institution_id", "course_id", "unit"], ["institution_id", "course_id", "year", "term"]],
+                      "institution_id", "course_id", "unit", "year", "term")
+        .agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.min("match_id").alias("least"))
+    )
+    of_course, of_unit, of_period = (index.where(F.col("level") == n) for n in (7, 3, 4))
     given = F.coalesce(F.col("org_unit_id"), F.lit("")) != ""
-    in_period = (F.col("year_id") == F.col("default_year")) & (F.col("term_id") == F.col("default_term"))
-    fits = F.coalesce(F.when(given, F.col("unit") == F.col("org_unit_id")).otherwise(in_period), F.lit(False))
-    matches = named.where("n_courses = 1").join(offered, ["institution_id", "course_id"]).withColumn("fits", fits)
-    # the unit is part of the key and may be NULL
-    matches = matches.withColumn("org_unit_id", F.coalesce("org_unit_id", F.lit("")))
-    counts = matches.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_all"),
-        F.count(F.when(F.col("fits"), 1)).alias("n_fit"),
-        F.min(F.when(F.col("fits"), F.col("match_id"))).alias("fit"),
-    )
-    unclear = matches.where("fits").join(counts.where("n_fit > 1").select(*keys), keys, "left_semi")
-    answered = (
-        named.withColumn("org_unit_id", F.coalesce("org_unit_id", F.lit("")))
-        .join(counts, keys, "left")
-        .join(_id_list(unclear, keys, "ids"), keys, "left")
-    )
+    # A request looks at one of the indexes: that of its unit or that of the default period.
+    named = settle(
+        named.withColumns({
+            "org_unit_id": F.coalesce("org_unit_id", F.lit("")),
+            "by_unit": F.when(given, F.col("org_unit_id")),
+            "by_year": F.when(~given, F.col("default_year")),
+            "by_term": F.when(~given, F.col("default_term")),
+        })
+    )
+    at = ["institution_id", "course_id"]
+    answered = named.join(of_course.select(*at, F.col("n").alias("n_all")), at, "left")
+    answered = answered.join(
+        of_unit.select(*at, F.col("unit").alias("by_unit"), F.struct("n", "least").alias("in_unit")), [*at, "by_unit"], "left"
+    )
+    answered = answered.join(
+        of_period.select(*at, F.col("year").alias("by_year"), F.col("term").alias("by_term"), F.struct("n", "least").alias("in_period")),
+        [*at, "by_year", "by_term"], "left",
+    )
+    fitting = F.when(F.col("n_courses") == 1, F.coalesce("in_unit", "in_period"))
+    answered = answered.select("*", F.coalesce(fitting["n"], F.lit(0)).alias("n_fit"), fitting["least"].alias("fit"))
+    # The ids of one unit or one period of a course are gathered once, however many requests ask for them.
+    place = ["by_unit", "by_year", "by_term"]
+    asked_for = answered.where("n_fit > 1").select(*at, *place).distinct()
+    offered = offering.select("institution_id", "course_id", F.col("org_unit_id").alias("by_unit"), F.col("year_id").alias("by_year"), F.col("term_id").alias("by_term"), F.col("id").alias("match_id"))
+    in_unit = offered.drop("by_year", "by_term").join(asked_for.where("by_unit IS NOT NULL"), [*at, "by_unit"])
+    in_period = offered.drop("by_unit").join(asked_for.where("by_unit IS NULL"), [*at, "by_year", "by_term"])
+    listed = _id_list(in_unit.unionByName(in_period), [*at, *place], "ids")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"l.{c}")) for c in [*at, *place]]
+    answered = answered.alias("a").join(listed.alias("l"), reduce(Column.__and__, same), "left").select("a.*", "l.ids")
     subject = F.col("subject")
     error = (
         F.when(F.col("n_courses").isNull(), _say("no course matches legacy subject '", subject, "'"))
         .when(F.col("n_courses") > 1, _say("subject '", subject, "' matches multiple courses"))
         .when(F.col("n_fit") > 1, _say("subject '", subject, "' is ambiguous across offerings (", F.col("ids"), ")"))
         .when(F.col("n_fit") == 1, F.lit(None))
-        .when(F.col("n_all") > 0, _say("subject '", subject, "' has no offering for the default period"))
+        .when(F.coalesce(F.col("n_all"), F.lit(0)) > 0, _say("subject '", subject, "' has no offering for the default period"))
         .otherwise(_say("no course offering exists for subject '", subject, "'"))
     )
     return answered.select(*keys, F.when(error.isNull(), F.col("fit")).alias("offering_id"), error.alias("error"))

@@ -1,9 +1,12 @@
 import copy
+import tempfile
 
 import pytest
 from helpers import cells_of, config, configs_of, domain_of
 
-from gradeloom.operators import importing, results
+from gradeloom.operators import importing, labels, results
+from gradeloom.sources.schemas import SCHEMAS
+from gradeloom.sources.store import Store
 
 NATIVE = ["Roll No", "Student Name", "Quiz", "Lab", "Essay", "Final"]
 LONG = ["Student", "Roll No", "Class", "Subject", "Marks"]
@@ -189,3 +192,41 @@ def test_apply(spark, run):
     assert (report.students_created, report.enrollments_created, report.marks_written) == (0, 0, written)
     assert sorted(map(tuple, again.mark.collect())) == sorted(map(tuple, applied.mark.collect()))
     assert sorted(map(tuple, again.enrollment_course.collect())) == sorted(map(tuple, applied.enrollment_course.collect()))
+
+
+def test_an_import_is_one_version_of_the_store(spark, run):
+    plan, domain = run[:2]
+    store = Store(spark, tempfile.mkdtemp(prefix="gradeloom-store-"), shards=4)
+    store.write(replaced={name: getattr(domain, name) for name in SCHEMAS})
+    before = store.versions()
+    applied = importing.apply_plan(plan, domain, skip_invalid=True)
+    for _ in range(2):  # storing it again changes nothing
+        importing.commit(store, applied, domain.institution)
+        after = store.domain()
+        for entity, columns in (("student", ["id", "name"]), ("enrollment", ["id"]), ("enrollment_course", ["enrollment_id", "offering_id"]), ("mark", ["id", "obtained", "status"])):
+            want = getattr(applied, entity).select("institution_id", *columns).collect()
+            assert sorted(getattr(after, entity).select("institution_id", *columns).collect()) == sorted(want)
+        order = [[(r.institution_id, r.id) for r in t.orderBy("institution_id", "seq").collect()] for t in (after.mark, applied.mark)]
+        assert order[0] == order[1]
+    assert len(store.versions()) == len(before) + 2
+
+
+def test_subjects_meet_an_index_of_offerings(spark):
+    """60 requests for a course of 60 offerings: no table on the way has more rows than requests and offerings."""
+    offering = spark.createDataFrame([("i", f"o{k:02}", "c", "Y", f"t{k % 30}", f"u{k % 59}") for k in range(60)] + [("i", "x", "d", "Y", None, "u1")], "institution_id string, id string, course_id string, year_id string, term_id string, org_unit_id string")
+    course = spark.createDataFrame([("i", "c", "Art", "A"), ("i", "d", "Law", "Law"), ("i", "e", "Ode", ""), ("i", "f", "Two", "T"), ("i", "g", "Two", "U")], "institution_id string, id string, name string, code string")
+    settings = spark.createDataFrame([("i", "Y", "t3")], "institution_id string, default_year string, default_term string")
+    asked = [("i", "Art", f"u{k}") for k in range(60)] + [("i", "A", None), ("i", "Law", ""), ("i", "Law", "u1"), ("i", "Ode", ""), ("i", "Two", ""), ("i", "None", "u1")]
+    requests = spark.createDataFrame(asked, "institution_id string, subject string, org_unit_id string")
+    answers = labels.resolve_subjects(requests, offering, course, settings)
+    got = {(r.subject, r.org_unit_id): (r.offering_id, r.error) for r in answers.collect()}
+    want = {("Art", f"u{k}"): (f"o{k:02}", None) for k in range(1, 59)}
+    want["Art", "u0"] = (None, "subject 'Art' is ambiguous across offerings (o00, o59)")
+    want["Art", "u59"] = (None, "subject 'Art' has no offering for the default period")
+    want["A", ""] = (None, "subject 'A' is ambiguous across offerings (o03, o33)")
+    want["Law", ""] = (None, "subject 'Law' has no offering for the default period")
+    want["Law", "u1"] = ("x", None)
+    want["Ode", ""] = (None, "no course offering exists for subject 'Ode'")
+    want["Two", ""] = (None, "subject 'Two' matches multiple courses")
+    want["None", "u1"] = (None, "no course matches legacy subject 'None'")
+    assert got == want
