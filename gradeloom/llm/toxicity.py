@@ -5,7 +5,9 @@ of the text, the beginnings of its longer words (which inflected forms share) an
 log odds of all earlier categories. It is trained with log odds
 predicted out of fold, as it would see them on new texts; the models that are kept
 are fitted on the whole sample. The last category decides rejection, at the
-threshold that serves its out-of-fold predictions best.
+threshold that serves its out-of-fold predictions best. If the rows above that threshold are not toxic
+clearly more often than any rows, the labels have not taught to tell the classes apart (too few of
+them, or no word that goes with them), and nothing is rejected.
 """
 
 from dataclasses import dataclass
@@ -25,6 +27,7 @@ PENALTY = 1.0
 SCREEN = 4.0  # a word is a feature if it differs from independence by so many standard errors
 LEAST = 5  # and stands in so many documents of the sample
 PREFIXES = (4, 5)  # bytes
+NEVER = 2.0  # a threshold above every probability
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +65,9 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> list[tuple[list[int
     marks = [F.max(F.coalesce(F.expr(rule), F.lit(False)).cast("int")).alias(f"y_{name}") for name, rule in CATEGORIES.items()]
     names = list(CATEGORIES)
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(*marks)
-    chosen = hashed_sample(known, size, "_id")
+    # Labels of documents that are not here would use up the sample.
+    here = known.join(docs.select(F.col("doc_id").cast("bigint").alias("_id")), "_id", "left_semi")
+    chosen = hashed_sample(here, size, "_id")
     texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id")  # at most ``size`` rows
 
     def words(batches):
@@ -107,11 +112,11 @@ def fitted(words: Sparse, dense: np.ndarray, targets: np.ndarray, k: int, rows:
 
 
 def train(rows: list[tuple[list[int], np.ndarray]], folds: int = FOLDS) -> Chain:
-    """The chain fitted on ``rows``; without rows, or toxic ones, it rejects nothing."""
+    """The chain fitted on ``rows``; without rows, or toxic ones, or signs of them, it rejects nothing."""
     categories = list(CATEGORIES)
     targets = np.array([y for y, _ in rows], float).reshape(-1, len(categories))
     if not len(rows) or not targets[:, -1].any():
-        return Chain(categories, np.zeros(0, np.uint32), [np.r_[np.zeros(k), -40.0] for k in range(len(categories))], 1.0)
+        return Chain(categories, np.zeros(0, np.uint32), [np.r_[np.zeros(k), -40.0] for k in range(len(categories))], NEVER)
     values, counts = np.unique(np.concatenate([w for _, w in rows]), return_counts=True)
     vocabulary = values[counts >= LEAST]
     known = [vocabulary.searchsorted(w[np.isin(w, vocabulary, assume_unique=True)]) for _, w in rows]
@@ -135,13 +140,16 @@ def train(rows: list[tuple[list[int], np.ndarray]], folds: int = FOLDS) -> Chain
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut, in the middle of the gap between two scores, with the best F measure."""
+    """The cut, in the middle of the gap between two scores, with the best F measure; NEVER if chance explains it."""
     order = np.argsort(-p, kind="stable")
     p, y = p[order], y[order]
-    hits = np.cumsum(y)
-    score = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits, above = np.cumsum(y), np.arange(1, len(y) + 1)
+    score = 2 * hits / (above + y.sum())
     score[:-1][p[:-1] == p[1:]] = -1  # equal scores stay together
     best = int(np.argmax(score))
+    share = y.mean()
+    if hits[best] - above[best] * share < SCREEN * np.sqrt(max(above[best] * share * (1 - share), 1)):
+        return NEVER
     return float((p[best] + (p[best + 1] if best + 1 < len(p) else 0)) / 2)
 
 
