@@ -3,7 +3,7 @@
 import sys
 import types
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A word is a run of ASCII letters, ASCII digits and non-ASCII characters.
@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hashed_sample(rows: DataFrame, size: int, *key: str) -> DataFrame:
-    """At most ``size`` rows, those with the least hash of ``key``.
+    """At most ``size`` rows, those with the least hash of ``key``, which tells all rows apart.
 
     A first cut by the hash leaves about twice as many in all, so that no partition
     offers ``size`` rows of its own when there are many partitions.
@@ -29,6 +29,22 @@ def hashed_sample(rows: DataFrame, size: int, *key: str) -> DataFrame:
     return near.orderBy(F.pmod(place, F.lit(1 << 40)), *key).limit(size)
 
 
+def grouped_sample(rows: DataFrame, size: int, group: str, *key: str) -> DataFrame:
+    """At most ``size`` rows of each value of ``group``, those with the least hash of ``key``; keys may repeat.
+
+    A count of the rows by group and range of hashes says below which range a group has ``size``
+    rows; only those are ranked, and tasks rank before they send.
+    """
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+    reach = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = rows.groupBy(group, F.shiftright(place, 24).alias("range")).agg(F.count("*").alias("n")).withColumn("sum", F.sum("n").over(reach))
+    last = F.coalesce(F.min(F.when(F.col("sum") >= size, F.col("range"))), F.max("range"))
+    cuts = ranges.groupBy(F.col(group).alias("_group")).agg(last.alias("_last"))
+    near = rows.withColumn("_place", place).join(cuts, F.col(group) == F.col("_group")).filter(F.shiftright("_place", 24) <= F.col("_last"))
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_place", *key)))
+    return ranked.filter(F.col("_rank") <= size).drop("_group", "_last", "_place", "_rank")
+
+
 def worker_cache() -> dict:
     """Objects of this Python process, kept from task to task while Spark reuses the worker."""
     return sys.modules.setdefault("gradeloom_worker_cache", types.ModuleType("gradeloom_worker_cache")).__dict__

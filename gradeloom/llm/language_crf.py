@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import hashed_sample, row_tie
+from gradeloom.llm.common import grouped_sample, row_tie
 from gradeloom.llm.linear import minimise
 from gradeloom.llm.words import buffers, located_words, mix, parts
 
@@ -306,11 +306,11 @@ def learned(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
         return excerpts(batch)
 
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
-    sample = []
-    for number, language in enumerate(languages):
-        own = known.filter(F.col("lang") == language).select("doc_id", row_tie(F.col("text")).alias("tie"), excerpt("text").alias("text"))
-        sample += [(number, r["text"]) for r in hashed_sample(own, texts, "doc_id", "tie").collect()]
+    own = known.select("lang", "doc_id", row_tie(F.col("text")).alias("tie"), "text")
+    chosen = grouped_sample(own, texts, "lang", "doc_id", "tie").select("lang", "doc_id", "tie", excerpt("text").alias("text"))
+    rows = sorted(chosen.collect(), key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"], r["tie"]))
+    languages = sorted({r["lang"] for r in rows})
+    sample = [(languages.index(r["lang"]), r["text"]) for r in rows]
     return fit(sample, languages) if sample else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
 
 
