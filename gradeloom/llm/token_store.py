@@ -232,9 +232,29 @@ def encoder(rules: str, end_id: int) -> Encoder:
     return kept[key]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark would take it for, so that tasks open the same place.
+
+    A folder that tasks cannot open is refused here, before the job.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    named = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString() if not re.match(r"s3[an]?://", folder) else folder
+    try:
+        _open(named)
+    except Exception as error:
+        raise ValueError(f"tasks cannot open a token store in {named}: {error}") from error
+    return named
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a folder that Spark names by URI or path."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """The file system and path of a folder named by URI; s3a and s3n are Hadoop's names of S3."""
+    if path.startswith("file:") or "://" not in path:
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(_uri(path))
+
+
+def _uri(path: str) -> str:
+    return re.sub(r"^s3[an]://", "s3://", path)
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> tuple[str, DataFrame]:
@@ -245,7 +265,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     first and has no key.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
+    folder = qualified(spark, folder or f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}")
     rules = shipped(spark, tokenizer)
 
     def shards(batches):
