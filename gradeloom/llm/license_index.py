@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from gradeloom.llm.common import WORD, lowered
 from gradeloom.session import settle
 
-FILE_WORDS = 32  # of the SQL alone, where no more licence words of a file vote; here all do
 RARE_WORDS = 12  # indexed words of a template
 COVERAGE = 0.6
 

@@ -42,7 +42,7 @@ terms AS (
 ),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
 draws AS (
-  SELECT row_number() OVER () AS rid, d.*, plans.source AS s, coalesce(CAST(doc_id AS VARCHAR), 'none') AS key, unnest(range(1, parts + 1)) AS part
+  SELECT row_number() OVER () AS rid, d.*, plans.source AS s, coalesce(CAST(doc_id AS VARCHAR), 'none') || ':' || md5(coalesce(text, '')) AS key, unnest(range(1, parts + 1)) AS part
   FROM documents d JOIN plans ON d.source IS NOT DISTINCT FROM plans.source
 ),
 uniform AS (
@@ -136,18 +136,15 @@ anchor AS (
 files AS (SELECT DISTINCT rid FROM all_hits WHERE word IN (SELECT word FROM anchor)),
 hits AS MATERIALIZED (SELECT * FROM all_hits WHERE rid IN (SELECT rid FROM files)),
 rare AS MATERIALIZED (
-  SELECT * FROM (SELECT label, site, word, idf, row_number() OVER (PARTITION BY label ORDER BY idf DESC, word, site) AS r FROM t JOIN idf USING (word))
+  SELECT label, site, word, CASE WHEN max(idf) OVER (PARTITION BY label) > 0 THEN idf ELSE 1 END AS idf FROM (
+    SELECT *, row_number() OVER (PARTITION BY label ORDER BY idf DESC, word, site) AS r FROM t JOIN idf USING (word))
   WHERE r <= {li.RARE_WORDS}
 ),
 weight AS (SELECT label, sum(idf) AS weight FROM rare GROUP BY label),
-top AS (
-  SELECT rid, word FROM (SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, word) AS r
-    FROM (SELECT DISTINCT rid, word FROM hits) JOIN idf USING (word)) WHERE r <= {li.FILE_WORDS}
-),
 votes AS (
-  SELECT h.rid, rare.label, h.pos - rare.site AS off, sum(rare.idf) AS vote FROM hits h JOIN top USING (rid, word) JOIN rare ON rare.word = h.word GROUP BY ALL
+  SELECT h.rid, rare.label, h.pos - rare.site AS off, sum(rare.idf) AS vote FROM hits h JOIN rare ON rare.word = h.word GROUP BY ALL
 ),
-aligned AS MATERIALIZED (SELECT rid, label, off, round(vote / weight, 6) AS coverage FROM votes JOIN weight USING (label) WHERE weight > 0),
+aligned AS MATERIALIZED (SELECT rid, label, off, round(vote / weight, 6) AS coverage FROM votes JOIN weight USING (label)),
 proven AS (
   SELECT rid, label, start - site AS off, count(DISTINCT phrase) AS found FROM whole WHERE template GROUP BY ALL
 ),
