@@ -61,14 +61,15 @@ def replicated(docs: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
     """``docs`` with every row as often as drawn, in shuffled order: (_row, copy, place).
 
     ``_row`` holds the row, ``copy`` counts from 1, ``place`` is the sort key. Draws and
-    places follow from the doc_id, if there is one, and the text, so only rows that agree in both
-    are drawn alike. Sources that are not in ``wanted`` have no copies.
+    places follow from the doc_id, for rows without one from the text. Rows with the same doc_id are
+    drawn alike, as are those without one that have the same text. Sources that are not in ``wanted`` have no copies.
     """
     parts = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
     plans = wanted.select(
         F.col("source").alias("_source"), parts.alias("_parts"), _distribution(F.col("rate") / parts).alias("_cdf")
     )
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.md5(F.coalesce("text", F.lit(""))))
+    text = F.col("text") if "text" in docs.columns else F.lit("")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none:"), F.md5(F.coalesce(text, F.lit("")))))
     rows = docs.select(F.struct("*").alias("_row"), key.alias("_key"), F.col("source").alias("_of"))
     drawn = rows.join(plans, F.col("_of").eqNullSafe(F.col("_source")))
 

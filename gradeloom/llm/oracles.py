@@ -42,7 +42,7 @@ terms AS (
 ),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
 draws AS (
-  SELECT row_number() OVER () AS rid, d.*, plans.source AS s, coalesce(CAST(doc_id AS VARCHAR), 'none') || ':' || md5(coalesce(text, '')) AS key, unnest(range(1, parts + 1)) AS part
+  SELECT row_number() OVER () AS rid, d.*, plans.source AS s, coalesce(CAST(doc_id AS VARCHAR), 'none:' || md5(coalesce(text, ''))) AS key, unnest(range(1, parts + 1)) AS part
   FROM documents d JOIN plans ON d.source IS NOT DISTINCT FROM plans.source
 ),
 uniform AS (
