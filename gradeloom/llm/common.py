@@ -33,16 +33,21 @@ def grouped_sample(rows: DataFrame, size: int, group: str, *key: str) -> DataFra
     """At most ``size`` rows of each value of ``group``, those with the least hash of ``key``; keys may repeat.
 
     A count of the rows by group and range of hashes says below which range a group has ``size``
-    rows; only those are ranked, and tasks rank before they send.
+    rows; only those are ranked, and tasks rank before they send. The driver gets one number for
+    each group.
     """
     place = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
     reach = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = rows.groupBy(group, F.shiftright(place, 24).alias("range")).agg(F.count("*").alias("n")).withColumn("sum", F.sum("n").over(reach))
     last = F.coalesce(F.min(F.when(F.col("sum") >= size, F.col("range"))), F.max("range"))
-    cuts = ranges.groupBy(F.col(group).alias("_group")).agg(last.alias("_last"))
-    near = rows.withColumn("_place", place).join(cuts, F.col(group) == F.col("_group")).filter(F.shiftright("_place", 24) <= F.col("_last"))
+    cuts = ranges.where(F.col(group).isNotNull()).groupBy(group).agg(last.alias("last")).collect()
+    if not cuts:
+        return rows.limit(0)
+    # As literals, so that no row travels before it is chosen.
+    limits = F.create_map(*(F.lit(v) for row in cuts for v in row))
+    near = rows.withColumn("_place", place).filter(F.shiftright("_place", 24) <= F.try_element_at(limits, F.col(group)))
     ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_place", *key)))
-    return ranked.filter(F.col("_rank") <= size).drop("_group", "_last", "_place", "_rank")
+    return ranked.filter(F.col("_rank") <= size).drop("_place", "_rank")
 
 
 def worker_cache() -> dict:
