@@ -1,8 +1,9 @@
 """Token counts of a unigram tokenizer, without tokens.
 
-The tokenizer: white space other than blanks is ordinary text, a text is cut before each
-blank, and each piece gets a leading lower one eighth block in place of the blank (one is
-put before the text if it has none). Within a piece the best segmentation has the largest
+The tokenizer: white space other than blanks is ordinary text, a blank is put before a text
+that has none there, and every blank becomes a lower one eighth block. A text is cut before
+a blank that follows another character; so runs of blanks stay whole and may match entries
+of several blanks. Within a piece the best segmentation has the largest
 sum of scores. An Aho-Corasick automaton finds all entries of the vocabulary in a
 piece; dynamic programming over their ends carries only the best score and the number of
 tokens. The rules that decide ties are those of the tokenizers library: ends in ascending
@@ -12,6 +13,7 @@ token for each of its bytes.
 """
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +25,7 @@ from gradeloom.llm.common import worker_cache
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+PIECE = re.compile(" *[^ ]+| +")
 MEMO, MEMO_LENGTH = 250_000, 64
 
 
@@ -61,46 +64,47 @@ class Counter:
         if vocabulary.entries:
             self.automaton.make_automaton()
         self.empty = not vocabulary.entries
+        self.longest = max(map(len, vocabulary.entries), default=1)
         self.unknown = vocabulary.unknown
         self.recent: dict[str, int] = {}
         self.older: dict[str, int] = {}
 
     def piece(self, text: str) -> int:
-        """Tokens of one piece; time and memory grow with its length."""
-        size = len(text)
-        score, tokens = [0.0] + [-math.inf] * size, [0] * (size + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-        if not self.empty:
-            for last, entry in self.automaton.iter(text):
-                ends[last].append(entry)
-        for last, entries in enumerate(ends):
+        """Tokens of one piece; only as many places are kept as the longest entry has characters."""
+        ring = self.longest + 1
+        score, tokens = [0.0] * ring, [0] * ring
+        matches = iter(()) if self.empty else self.automaton.iter(text)
+        at, entry = next(matches, (-1, None))
+        for last in range(len(text)):
             # The automaton reports longer entries, so smaller starts, first.
             best, count, single = -math.inf, 0, False
-            for length, value in entries:
-                start = last + 1 - length
+            while at == last:
+                length, value = entry
+                start = (last + 1 - length) % ring
                 candidate = score[start] + value
                 if candidate > best:
                     best, count = candidate, tokens[start] + 1
                 single = single or length == 1
+                at, entry = next(matches, (-1, None))
             if not single:
-                candidate = score[last] + self.unknown
+                candidate = score[last % ring] + self.unknown
                 if candidate > best:
-                    best, count = candidate, tokens[last] + len(text[last].encode("utf-8", "surrogatepass"))
-            score[last + 1], tokens[last + 1] = best, count
-        return tokens[size]
+                    best, count = candidate, tokens[last % ring] + len(text[last].encode("utf-8", "surrogatepass"))
+            score[(last + 1) % ring], tokens[(last + 1) % ring] = best, count
+        return tokens[len(text) % ring]
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        pieces = text.replace(MARK, " ").split(" ")
+        blanks = text.replace(MARK, " ")
         recent, total = self.recent, 0
-        # A blank begins a piece; only before the text's first character one is added.
-        for piece in pieces[1:] if text[0] in (" ", MARK) else pieces:
+        for found in PIECE.finditer(blanks if blanks[0] == " " else " " + blanks):
+            piece = found.group()
             n = recent.get(piece)
             if n is None:
                 n = self.older.get(piece)
                 if n is None:
-                    n = self.piece(MARK + piece)
+                    n = self.piece(piece.replace(" ", MARK))
                 if len(piece) <= MEMO_LENGTH:
                     recent[piece] = n
             total += n
