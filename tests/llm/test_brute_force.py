@@ -165,18 +165,19 @@ def test_perfect_hash_is_minimal():
 
 
 def test_token_counts_equal_the_library():
-    from tokenizers import Tokenizer, models, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     def library(vocabulary):
         low = min(vocabulary.entries.values())
         entries = [("<unk>", low)] + [(f"<0x{b:02X}>", low) for b in range(256)] + list(vocabulary.entries.items())
         tokenizer = Tokenizer(models.Unigram(entries, unk_id=0, byte_fallback=True))
-        tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement=unigram_count.MARK, prepend_scheme="always", split=True)
+        marks = pre_tokenizers.Metaspace(replacement=mark, prepend_scheme="always", split=False)
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([marks, pre_tokenizers.Split(Regex(f"{mark}*[^{mark}]+|{mark}+"), "isolated")])
         return tokenizer
 
     rng = random.Random(0)
     mark = unigram_count.MARK
-    parts = [mark, "a", "b", "ab", "ba", "aa", "bb", "aba", "bab", "abab", mark + "a", mark + "ab", "bbb", "c"]
+    parts = [mark, mark * 2, mark * 5, mark * 2 + "a", "a", "b", "ab", "ba", "aa", "bb", "aba", "bab", "abab", mark + "a", mark + "ab", "bbb", "c"]
     for seed in range(3):
         rng.seed(seed)
         vocabulary = unigram_count.Vocabulary({p: -float(rng.randint(1, 3)) for p in parts})  # many ties
@@ -186,6 +187,12 @@ def test_token_counts_equal_the_library():
             assert counter.count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
 
 
+def test_runs_of_blanks_match_their_entries():
+    counter = unigram_count.Counter(unigram_count.from_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    assert counter.count("a" + " " * 8 + "b") <= 4
+    assert counter.count("x" * 200_000) > 0  # no place is kept for each character
+
+
 @needs_data
 def test_token_counts_of_documents(spark, rows):
     import sentencepiece  # noqa: F401
@@ -210,6 +217,31 @@ def test_neighbours_are_exact_and_windows_help(spark):
         assert got[ids[q]] == order
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_of_every_dimension_in_small_blocks(spark, monkeypatch, kind):
+    for name, value in {"BLOCK": 16, "GROUP": 2, "CHUNK": 4, "QUERY_PART": 8, "SLICE": 5}.items():
+        monkeypatch.setattr(hilbert, name, value)
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=(3, 5, 12)[i % 3]) * (1e30 if kind == "double" and i % 50 == 0 else 1)).tolist()) for i in range(600)]
+    if kind == "float":
+        rows = [(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows]
+    vectors = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>")
+    got = collections.defaultdict(list)
+    for r in hilbert.search(vectors, every=5, k=7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+
+    def plain(a, b):  # sum() of floats is compensated, the operator adds in order
+        total = 0.0
+        for x, y in zip(a, b):
+            total += x * y
+        return total
+
+    for q, vector in rows[::5]:
+        scored = [(-plain(vector, other), i) for i, other in rows if i != q and len(other) == len(vector)]
+        assert got[q] == [(i, -score) for score, i in sorted(scored)[:7]], q
+    assert len(got) == 120
+
+
 def test_windows_find_neighbours_in_structured_data(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(400, 16)) * 3
