@@ -1,5 +1,8 @@
 """Reading one mark cell."""
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,12 +22,23 @@ FLOAT_PATTERN = (
 )
 
 
+# Every decimal digit of any script, in the order 0 to 9 of each.
+_FOREIGN = "".join(chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd")
+_VALUES = "".join(str(unicodedata.decimal(c)) for c in _FOREIGN)
+
+
+def plain_digits(token: Column) -> Column:
+    """``token`` with the decimal digits of every script as 0 to 9."""
+    return F.when(token.rlike(r"\p{Nd}") & token.rlike(r"[^\x00-\x7F]"), F.translate(token, _FOREIGN, _VALUES)).otherwise(token)
+
+
 def read_float(token: Column) -> Column:
     """The double written in lower-case ``token``, NULL when it is no number.
 
     The pattern decides what a number is (a plain cast would take ``1d`` and
     refuse ``1_000``); the cast only converts.
     """
+    token = plain_digits(token)
     digits = F.translate(token, "_", "")
     magnitude = F.regexp_replace(digits, r"^[+-]?(inf|infinity)$", "Infinity")
     value = (

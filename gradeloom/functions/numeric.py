@@ -50,7 +50,11 @@ def py_round(x: Column, digits) -> Column:
     scale = _power_of_ten(digits)
     large = ((F.abs(x) * scale >= _EXACT) & (F.abs(x) < F.lit(float("inf")))).cast("double")
     whole = F.nanvl(F.rint(x) * large, F.lit(0.0))  # 0 unless the number is large
-    part = x - whole
+    return whole + _scaled_integer(x - whole, scale) / scale
+
+
+def _scaled_integer(part: Column, scale: Column) -> Column:
+    """The integer nearest to the exact ``part * scale``, half to even; both are small enough for it."""
     product = part * scale
     nearest = F.rint(product)
     carry = F.lit(_SPLITTER) * part
@@ -58,7 +62,7 @@ def py_round(x: Column, digits) -> Column:
     error = (high * scale - product) + (part - high) * scale
     # -1 or +1 exactly when a tie was rounded away from the side of the error
     excess = (nearest - product) - F.signum(error) * 0.5
-    return whole + (nearest - F.coalesce(excess.try_cast("int"), F.lit(0))) / scale
+    return nearest - F.coalesce(excess.try_cast("int"), F.lit(0))
 
 
 # --- sums ----------------------------------------------------------------------
@@ -158,16 +162,66 @@ def _joined(windows: Column) -> Column:
 # --- text ----------------------------------------------------------------------
 
 
+_LIMB = 10**9  # digits of a large integer are kept to this base
+_SHIFT = 28  # powers of two that a limb takes at once without leaving 64 bits
+
+
+def integer_text(size: Column) -> Column:
+    """All digits of a finite double that is a non-negative integer.
+
+    From 2**53 on the integer is mantissa * 2**k; its limbs are multiplied by powers of two
+    and carried, so the digits are those of the exact binary value.
+    """
+
+    def limbs(state: Column, power: Column) -> Column:
+        def step(sofar, limb):
+            total = limb * power + sofar["carry"]
+            return F.struct(F.concat(sofar["done"], F.array(total % _LIMB)).alias("done"), F.floor(total / F.lit(_LIMB).cast("decimal(20,0)")).cast("bigint").alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("carry"))
+        return F.aggregate(state, start, step, lambda s: F.when(s["carry"] > 0, F.concat(s["done"], F.array(s["carry"]))).otherwise(s["done"]))
+
+    def exact(k: Column) -> Column:
+        mantissa = (size / F.pow(F.lit(2.0), k)).cast("bigint")  # no bit is lost below 2**63
+        first = F.array(mantissa % _LIMB, F.floor(mantissa / F.lit(_LIMB).cast("decimal(20,0)")).cast("bigint"))
+        shifts = F.sequence(F.lit(0), k, F.lit(_SHIFT))  # the last ones are cut to what is left
+        left = lambda at: F.least(F.lit(_SHIFT), k - at)
+        power = lambda at: F.pow(F.lit(2.0), left(at)).cast("bigint")
+        digits = F.aggregate(shifts, first, lambda state, at: limbs(state, power(at)))
+        padded = F.transform(F.reverse(digits), lambda limb: F.lpad(limb.cast("string"), 9, "0"))
+        return F.regexp_replace(F.array_join(padded, ""), "^0+", "")
+
+    exponent = F.greatest(F.lit(0), F.floor(F.log2(size)).cast("int") - 53)
+    return F.when(size < _EXACT, size.cast("bigint").cast("string")).otherwise(_let(exponent, exact))
+
+
 def fmt_f(x: Column, digits: int) -> Column:
-    """Fixed-point text with ``digits`` decimals (``-``/``nan``/``inf`` included)."""
-    rounded = py_round(x, digits)
-    text = F.format_string(f"%.{digits}f", rounded)
+    """Fixed-point text with ``digits`` decimals (``-``/``nan``/``inf`` included), as C's ``%.Nf``:
+    the decimals are those of the exact binary value, half to even, at every magnitude."""
+    size = F.abs(x)
+    scale = _power_of_ten(digits)
+
+    def written(parts: Column) -> Column:
+        if not digits:
+            return integer_text(parts["whole"] + F.when((parts["whole"] < _EXACT) & (parts["fraction"] != 0.5), parts["units"])
+                                .when((parts["fraction"] == 0.5) & (parts["whole"] % 2.0 == 1.0), F.lit(1.0)).otherwise(F.lit(0.0)))
+        up = (parts["units"] >= scale).cast("double")
+        tail = F.lpad((parts["units"] - up * scale).cast("bigint").cast("string"), digits, "0")
+        return F.concat(integer_text(parts["whole"] + up), F.lit("."), tail)
+
+    def split(whole: Column) -> Column:
+        fraction = size - whole
+        return _let(F.struct(whole.alias("whole"), fraction.alias("fraction"), _scaled_integer(fraction, scale).alias("units")), written)
+
+    finite = F.when(size < F.lit(float("inf")), F.floor(size / 1.0).cast("double"))
+    whole = F.when(size < _EXACT, finite).otherwise(size)
+    sign = F.when((x < 0) | ((x == 0.0) & x.cast("string").startswith("-")), F.lit("-")).otherwise(F.lit(""))
     return (
         F.when(x.isNull(), F.lit(None))
-        .when(F.isnan(rounded), F.lit("nan"))
+        .when(F.isnan(x), F.lit("nan"))
         .when(x == F.lit(float("inf")), F.lit("inf"))
         .when(x == F.lit(float("-inf")), F.lit("-inf"))
-        .otherwise(text)
+        .otherwise(F.concat(sign, _let(whole, split)))
     )
 
 

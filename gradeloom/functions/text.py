@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gradeloom.functions.numeric import integer_text
+
 # Every code point that counts as white space.
 WHITESPACE = (
     "\u0009\u000a\u000b\u000c\u000d\u001c\u001d\u001e\u001f\u0020\u0085\u00a0\u1680"
@@ -31,10 +33,11 @@ def safe_name(text: Column) -> Column:
 def clean_text(value: Column, kind: Column) -> Column:
     """A cell as text: integral floats lose the fraction, NULL becomes ''."""
     number = value.try_cast("double")
-    whole = (kind == "float") & (number == F.rint(number)) & (F.abs(number) < 1e18)
+    whole = (kind == "float") & (number == F.rint(number)) & (F.abs(number) < F.lit(float("inf")))
+    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
     return (
         F.when(value.isNull(), F.lit(""))
-        .when(whole, number.try_cast("decimal(38,0)").cast("string"))
+        .when(whole, F.concat(sign, integer_text(F.abs(number))))
         .when(kind == "bool", F.initcap(value))
         .otherwise(strip(value))
     )
@@ -50,28 +53,46 @@ def blank(value: Column) -> Column:
     return F.coalesce(value, F.lit("")) == ""
 
 
+# A template's parts: doubled braces, fields, text, and braces that stand alone.
+_PART = r"\{\{|\}\}|\{[^{}]*\}|[^{}]+|[{}]"
+_SPEC = r"(?s)^(?:(.)?([<>^]))?(0)?([0-9]{0,9})(?:\.([0-9]{1,9}))?s?$"
+
+
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
-    """Fill ``{key}`` placeholders; an unknown key leaves the template as it is.
+    """Fill a format template: ``{key}``, ``{key!s}``, ``{key:spec}``; ``{{`` and ``}}`` stand for braces.
 
-    A single regular expression finds unknown keys first; the known ones are
-    then replaced left to right on text marked so that an inserted value which
-    itself looks like a placeholder is never filled again.
+    A spec has fill, alignment (``<``, ``>``, ``^``), width and precision, as for strings. A template with
+    an unknown key, another conversion or spec, or a brace that stands alone stays as it is. Inserted
+    values are never filled again.
     """
-    keys = "|".join(values)
-    unknown = template.rlike(r"\{(?!(?:" + keys + r")\})[^{}]*\}")
-    marked = F.regexp_replace(template, r"\{(" + keys + r")\}", "\x01$1\x02")
-    pieces = F.split(marked, "\x01")
-    filled = F.transform(
-        pieces,
-        lambda piece, n: F.when(n == 0, piece).otherwise(_fill_piece(piece, values)),
-    )
-    return F.when(unknown, template).otherwise(F.array_join(filled, ""))
+    named = F.create_map(*[c for key, value in values.items() for c in (F.lit(key), F.coalesce(value, F.lit("")))])
+    parts = F.regexp_extract_all(template, F.lit(_PART), F.lit(0))
+
+    def is_field(part: Column) -> Column:
+        return part.startswith("{") & part.endswith("}")
+
+    def key(part: Column) -> Column:
+        return F.regexp_extract(part, r"^\{([^:!}]*)", 1)
+
+    def spec(part: Column) -> Column:
+        return F.regexp_extract(part, r"(?s)^\{[^:!}]*(?:!s)?:?(.*)\}$", 1)
+
+    def bad(part: Column) -> Column:
+        known = F.map_contains_key(named, key(part)) & spec(part).rlike(_SPEC) & part.rlike(r"(?s)^\{[^:!}]*(?:!s)?(?::.*)?\}$")
+        return part.isin("{", "}") | (is_field(part) & ~known)
+
+    def fill(part: Column) -> Column:
+        value = _formatted(F.element_at(named, key(part)), spec(part))
+        return F.when(part == "{{", F.lit("{")).when(part == "}}", F.lit("}")).when(is_field(part), value).otherwise(part)
+
+    return F.when(template.isNull() | F.exists(parts, bad), template).otherwise(F.array_join(F.transform(parts, fill), ""))
 
 
-def _fill_piece(piece: Column, values: dict[str, Column]) -> Column:
-    key = F.substring_index(piece, "\x02", 1)
-    rest = F.substring(piece, F.length(key) + 2, F.length(piece))
-    chosen = None
-    for name, value in values.items():
-        chosen = F.when(key == name, value) if chosen is None else chosen.when(key == name, value)
-    return F.concat(F.coalesce(chosen, F.lit("")), rest)
+def _formatted(value: Column, spec: Column) -> Column:
+    """``value`` by a valid string format ``spec``."""
+    fill, align, zero, width, precision = (F.regexp_extract(spec, _SPEC, n) for n in range(1, 6))
+    cut = F.when(precision == "", value).otherwise(F.substring(value, F.lit(1), precision.try_cast("int")))
+    missing = F.greatest(F.coalesce(width.try_cast("int"), F.lit(0)) - F.length(cut), F.lit(0))
+    before = F.when(align == ">", missing).when(align == "^", F.floor(missing / 2).cast("int")).otherwise(F.lit(0))
+    with_ = F.when(fill != "", fill).when(zero == "0", F.lit("0")).otherwise(F.lit(" "))
+    return F.when(spec == "", value).otherwise(F.concat(F.repeat(with_, before), cut, F.repeat(with_, missing - before)))

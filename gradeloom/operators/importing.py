@@ -55,7 +55,10 @@ class ImportPlan:
 
 
 def row_order(sheet_no: Column, row_no: Column) -> Column:
-    return sheet_no.cast("bigint") * F.lit(_ROWS_PER_SHEET) + row_no
+    """The place of a row in its workbook; fails loudly where sheet and row do not fit one number."""
+    place = sheet_no.cast("bigint") * F.lit(_ROWS_PER_SHEET) + row_no
+    fits = sheet_no.between(0, (1 << 26) - 1) & row_no.between(0, _ROWS_PER_SHEET - 1)
+    return F.when(fits | sheet_no.isNull() | row_no.isNull(), place).otherwise(F.raise_error(F.lit("sheet or row number out of range")))
 
 
 def _error(rows: DataFrame, column: Column, message: Column, col_no: Column | None = None) -> DataFrame:
@@ -135,6 +138,13 @@ def _with_subjects(asked: DataFrame, domain: Domain, settings: DataFrame) -> Dat
 _ENTRY = [*ROW, "sheet", "ord", "student_id", "col_no", "column_name", "value", "value_kind", "offering_id", "assessment_id", "max_marks", "label_error", "single"]
 
 
+def idle_rows(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """Errors of student rows without a mark: ``rows``(ROW, sheet, layout) that no row of ``used``, cells
+    with a mark or an error of their own, belongs to. A row of the long layout is one mark and never idle."""
+    idle = rows.where("layout <> 'legacy_long'").join(used.select(*ROW).distinct(), ROW, "left_anti")
+    return _error(idle, F.lit(""), F.lit("student row has no marks"))
+
+
 def validate(cells: DataFrame, workbooks: DataFrame, settings: DataFrame, domain: Domain) -> ImportPlan:
     """Judge every sheet, row and cell of the given workbooks.
 
@@ -187,13 +197,11 @@ def validate(cells: DataFrame, workbooks: DataFrame, settings: DataFrame, domain
     cell_errors = _error(entries.where(wrong), F.col("column_name"), message, F.col("col_no"))
     missing = entries.where(F.col("single") & ~wrong & F.col("m.status").isNull())
     cell_errors = cell_errors.unionByName(_error(missing, F.col("column_name"), F.lit("missing mark")))
-    used = entries.where(wrong | F.col("m.status").isNotNull()).select(*ROW).distinct()
-    idle = rows.where("layout <> 'legacy_long'").join(used, ROW, "left_anti")
     errors = (
         _error(sheet_errors.withColumnRenamed("header_row", "row_no"), F.lit(""), F.col("error"))
         .unionByName(row_errors)
         .unionByName(cell_errors)
-        .unionByName(_error(idle, F.lit(""), F.lit("student row has no marks")))
+        .unionByName(idle_rows(rows, entries.where(wrong | F.col("m.status").isNotNull())))
     )
     marks = entries.where(~wrong & F.col("m.status").isNotNull()).select(
         *BOOK, "ord", "col_no", "sheet", "row_no", "column_name", "student_id", "offering_id", "assessment_id",

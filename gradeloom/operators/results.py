@@ -245,8 +245,9 @@ def student_totals(courses: DataFrame) -> DataFrame:
     )
 
 
-def student_results(domain: Domain, student_id: str | None = None) -> DataFrame:
-    """One row per enrolled student; ``student_id`` restricts the report.
+def student_results(domain: Domain, student_id: str | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """One row per enrolled student; ``student_id``, of any institution, or the rows of
+    asked(institution_id, student_id) restrict the report.
 
     The overall percentage is the ratio of the rounded totals.
     """
@@ -255,6 +256,9 @@ def student_results(domain: Domain, student_id: str | None = None) -> DataFrame:
     if student_id is not None:
         students = students.where(F.col("student_id") == student_id)
         courses = courses.where(F.col("student_id") == student_id)
+    if asked is not None:
+        students = students.join(asked, ["institution_id", "student_id"], "left_semi")
+        courses = courses.join(asked, ["institution_id", "student_id"], "left_semi")
     rules = institution_rules(domain.institution, domain.rule_set, domain.grade_scale)
     years = domain.academic_year.select("institution_id", F.col("id").alias("year_id"), F.col("name").alias("year_name"))
     terms = domain.term.select("institution_id", F.col("id").alias("term_id"), F.col("name").alias("term_name"))
@@ -296,6 +300,16 @@ def student_results(domain: Domain, student_id: str | None = None) -> DataFrame:
     )
 
 
+def requested_results(domain: Domain, asked: DataFrame) -> DataFrame:
+    """The row of ``student_results`` for each distinct row of asked(institution_id, student_id), and
+    ``error``: what is said of a student who is not among the results of the institution."""
+    wanted = asked.select("institution_id", "student_id").distinct()
+    found = student_results(domain, asked=wanted).withColumn("_found", F.lit(True))
+    missing = F.concat(F.lit("No student with id '"), "student_id", F.lit("' was found."))
+    joined = wanted.join(found, ["institution_id", "student_id"], "left")
+    return joined.withColumn("error", F.when(F.col("_found").isNull(), missing)).drop("_found")
+
+
 def in_stored_order(results: DataFrame) -> DataFrame:
     """Student order for a sink that keeps row order."""
     return results.orderBy("institution_id", "student_seq")

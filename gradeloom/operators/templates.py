@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.operators.labels import resolve_hints
 from gradeloom.operators.skew import number_rows
 from gradeloom.session import settle
 
@@ -41,13 +42,41 @@ def sheet_titles(offering: DataFrame) -> DataFrame:
             return rows.select("institution_id", "id", "title")
 
 
-def template_headers(offering: DataFrame, assessment: DataFrame, offering_hint: str | None = None) -> DataFrame:
+# Fixed value: what an institution without course prefixes is told if it names no offering.
+HINT_MISSING = "--offering is required when excel.expect_course_prefix is false"
+
+
+def _single(settings: DataFrame) -> DataFrame:
+    """Institutions that expect no course prefix, with their hint; an empty hint is none."""
+    single = settings.where(~F.coalesce("expect_course_prefix", F.lit(True)))
+    return single.select("institution_id", F.nullif(F.col("offering_hint"), F.lit("")).alias("hint")).distinct()
+
+
+def template_errors(offering: DataFrame, settings: DataFrame) -> DataFrame:
+    """(institution_id, offering_hint, error): institutions whose template cannot be made, since their
+    hint is missing or no offering of theirs."""
+    hints = _single(settings)
+    answers = resolve_hints(hints.where("hint IS NOT NULL"), offering).where("error IS NOT NULL")
+    missing = hints.where("hint IS NULL").select("institution_id", "hint", F.lit(HINT_MISSING).alias("error"))
+    return missing.unionByName(answers.select("institution_id", "hint", "error")).withColumnRenamed("hint", "offering_hint")
+
+
+def template_headers(
+    offering: DataFrame, assessment: DataFrame, offering_hint: str | None = None, settings: DataFrame | None = None
+) -> DataFrame:
     """(institution_id, offering_id, sheet, col_no, header), one sheet per
     offering, or the single sheet ``Marks`` for a hinted one.
 
-    Assessment columns follow the identity columns by (order, id).
+    ``settings``(institution_id, expect_course_prefix, offering_hint) gives each institution its own
+    layout and hint, see ``template_errors`` for those without a template; ``offering_hint`` is one for
+    all. Assessment columns follow the identity columns by (order, id).
     """
-    if offering_hint is None:
+    if settings is not None:
+        hints = _single(settings)
+        answers = resolve_hints(hints.where("hint IS NOT NULL"), offering).where("error IS NULL")
+        named = sheet_titles(offering.join(hints, "institution_id", "left_anti")).withColumnRenamed("title", "sheet")
+        named = named.unionByName(answers.select("institution_id", F.col("offering_id").alias("id"), F.lit("Marks").alias("sheet")))
+    elif offering_hint is None:
         named = sheet_titles(offering).withColumnRenamed("title", "sheet")
     else:
         named = offering.where(F.col("id") == offering_hint).select("institution_id", "id", F.lit("Marks").alias("sheet"))

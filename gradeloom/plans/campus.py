@@ -80,6 +80,13 @@ CAMPUS = {
         SELECT i.institution_id, 'Region', i.name, CONCAT('R', i.institution_id),
                CASE i.institution_id WHEN '0' THEN NULL WHEN '1' THEN 'world' ELSE '' END
         FROM {institution} i""",
+    "org_deep": """
+        SELECT institution_id, level, name, id, parent_id FROM {org_unit}
+        UNION ALL
+        SELECT CAST(c_custkey % 5 AS STRING), 'Desk', c_name, CONCAT('D', CAST(c_custkey AS STRING)),
+               CASE WHEN (c_custkey - c_custkey % 5) % 60 = 0 THEN CONCAT('S', CAST(c_nationkey AS STRING), '-', c_mktsegment)
+                    ELSE CONCAT('D', CAST(c_custkey - 5 AS STRING)) END
+        FROM {customer}""",
     "course": """
         SELECT CAST(o_custkey % 5 AS STRING) AS institution_id, CONCAT(o_orderstatus, '/', o_orderpriority) AS id,
                CONCAT('Course ', o_orderpriority) AS name, o_orderstatus AS code

@@ -249,6 +249,48 @@ def a16_template_headers(c: Campus):
     return templates.template_headers(domain.offering, domain.assessment).select("institution_id", "sheet", "col_no", "header")
 
 
+_TEMPLATE_HINT = "CASE i.institution_id WHEN '1' THEN '' WHEN '2' THEN 'none' ELSE concat('OF', i.institution_id) END"
+
+
+def _template_settings(c: Campus):
+    """Institution 0 expects prefixes; 1 has no hint, 2 an unknown one, 3 and 4 hints that may be theirs."""
+    i = F.col("institution_id")
+    hint = F.when(i == "1", "").when(i == "2", "none").otherwise(F.concat(F.lit("OF"), i))
+    return c["institution"].select(i, (i == "0").alias("expect_course_prefix"), hint.alias("offering_hint"))
+
+
+@query(
+    "a16_hinted_headers",
+    f"""SELECT t.institution_id, t.sheet, t.col_no, t.header FROM (
+           SELECT o.institution_id, o.id AS offering_id, CASE o.institution_id WHEN '0' THEN o.id ELSE 'Marks' END AS sheet, x.col_no, x.header
+           FROM {{imp_offering}} o JOIN (
+               SELECT institution_id, offering_id, 2 + row_number() OVER (PARTITION BY institution_id, offering_id ORDER BY "order", id) AS col_no,
+                      name AS header FROM {{imp_assessment}}
+               UNION ALL SELECT institution_id, id, 1, 'Roll No' FROM {{imp_offering}}
+               UNION ALL SELECT institution_id, id, 2, 'Student Name' FROM {{imp_offering}}) x
+           ON x.institution_id = o.institution_id AND x.offering_id = o.id) t
+       JOIN {{institution}} i ON i.institution_id = t.institution_id
+       WHERE i.institution_id = '0' OR t.offering_id = {_TEMPLATE_HINT}""",
+)
+def a16_hinted_headers(c: Campus):
+    domain = _domain(c)
+    headers = templates.template_headers(domain.offering, domain.assessment, settings=_template_settings(c))
+    return headers.select("institution_id", "sheet", "col_no", "header")
+
+
+@query(
+    "a16_template_errors",
+    f"""SELECT * FROM (
+           SELECT i.institution_id, NULLIF({_TEMPLATE_HINT}, '') AS offering_hint,
+                  CASE WHEN i.institution_id = '1' THEN '--offering is required when excel.expect_course_prefix is false'
+                       WHEN o.id IS NULL THEN concat('no course offering with id ''', {_TEMPLATE_HINT}, '''') END AS error
+           FROM {{institution}} i LEFT JOIN {{imp_offering}} o ON o.institution_id = i.institution_id AND o.id = {_TEMPLATE_HINT}
+           WHERE i.institution_id <> '0') WHERE error IS NOT NULL""",
+)
+def a16_template_errors(c: Campus):
+    return templates.template_errors(_domain(c).offering, _template_settings(c))
+
+
 @query(
     "a17_sheet_titles",
     """SELECT id, CASE rn WHEN 1 THEN title ELSE substr(concat(raw, '_2'), 1, 31) END AS title FROM (
@@ -514,6 +556,22 @@ def _identities(c: Campus):
     return _once(c, "identities", make)
 
 
+@query(
+    "d15_idle_rows",
+    """SELECT DISTINCT r.institution_id, r.workbook, r.sheet_no, r.row_no, 'student row has no marks' AS message FROM {imp_row} r
+       WHERE r.sort NOT IN (6, 7) AND NOT EXISTS (
+           SELECT 1 FROM {mark_cell} m WHERE m.institution_id = r.institution_id AND m.workbook = r.workbook
+               AND m.sheet_no = r.sheet_no AND m.row_no = r.row_no AND trim(m.value) <> '')""",
+)
+def d15_idle_rows(c: Campus):
+    campus = _campus(c)
+    layout = F.when(F.col("sort").isin(6, 7), "legacy_long").when(F.col("sort") == 8, "legacy_wide").otherwise("native")
+    cells = campus["mark_cell"].withColumn("m", parse_mark(F.col("value"), F.col("value_kind"), F.lit(40.0)))
+    used = cells.where("m.status IS NOT NULL OR m.problem IS NOT NULL")
+    idle = importing.idle_rows(campus["imp_row"].withColumn("layout", layout), used)
+    return idle.select("institution_id", "workbook", "sheet_no", "row_no", "message").distinct()
+
+
 @query("c17_student_identity")
 def c17_student_identity(c: Campus):
     return _identities(c)[0]

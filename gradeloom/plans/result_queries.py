@@ -215,6 +215,22 @@ def b12_one_student(c: Campus):
     return results.student_results(c.domain(), student_id="7")
 
 
+@query(
+    "b12_requested_students",
+    """SELECT a.institution_id, a.student_id, r.student_name, r.overall_percentage, r.passed,
+              CASE WHEN r.student_id IS NULL THEN concat('No student with id ''', a.student_id, ''' was found.') END AS error
+       FROM (SELECT DISTINCT CAST((c_custkey + c_nationkey % 2) % 5 AS VARCHAR) AS institution_id, CAST(c_custkey AS VARCHAR) AS student_id
+             FROM {customer}) a
+       LEFT JOIN {student_result} r ON r.institution_id = a.institution_id AND r.student_id = a.student_id""",
+)
+def b12_requested_students(c: Campus):
+    place = ((F.col("c_custkey") + F.col("c_nationkey") % 2) % 5).cast("string")
+    asked = c["customer"].select(place.alias("institution_id"), F.col("c_custkey").cast("string").alias("student_id"))
+    return results.requested_results(c.domain(), asked).select(
+        "institution_id", "student_id", "student_name", "overall_percentage", "passed", "error"
+    )
+
+
 @query(
     "b13_course_rows",
     """SELECT institution_id, student_id, pos, course_name AS "Course",
@@ -254,6 +270,7 @@ def b15_student_summary(c: Campus):
     """SELECT institution_id, student_id,
               CASE institution_id WHEN '0' THEN concat(institution_name, ' - ', term_name, ' Result')
                    WHEN '1' THEN concat('{missing} result of {', 'student}')
+                   WHEN '2' THEN concat('\x01', rpad(roll_no, CAST(greatest(12, length(roll_no)) AS INTEGER), '.'), '\x02 ', left(student_name, 3))
                    ELSE concat(student_name, '/', roll_no, '/', year_name) END AS title
        FROM {student_result}""",
 )
@@ -261,6 +278,7 @@ def b16_report_titles(c: Campus):
     template = (
         F.when(F.col("institution_id") == "0", "{institution} - {term} Result")
         .when(F.col("institution_id") == "1", "{missing} result of {student}")
+        .when(F.col("institution_id") == "2", "{{{roll:.<12}}} {student:.3}")
         .otherwise("{student}/{roll}/{year}")
     )
     return results.student_results(c.domain()).select(
@@ -351,9 +369,20 @@ def c08_grade_scale_of_offering(c: Campus):
     return ruled.select("institution_id", "offering_id", "used_grade_scale_id")
 
 
-@query("c09_org_path", "SELECT institution_id, id, org_path FROM {org_path}")
+@query(
+    "c09_org_path",
+    """SELECT * FROM (
+           WITH RECURSIVE unit AS MATERIALIZED (SELECT institution_id, id, parent_id, concat(level, ' ', name) AS label FROM {org_deep}),
+           walk AS (
+               SELECT u.institution_id, u.id, u.label AS org_path FROM unit u
+               LEFT JOIN unit p ON p.institution_id = u.institution_id AND p.id = u.parent_id WHERE p.id IS NULL
+               UNION ALL
+               SELECT u.institution_id, u.id, concat(w.org_path, ' > ', u.label) FROM walk w
+               JOIN unit u ON u.institution_id = w.institution_id AND u.parent_id = w.id)
+           SELECT institution_id, id, org_path FROM walk)""",
+)
 def c09_org_path(c: Campus):
-    return org_paths(c["org_unit"])
+    return org_paths(c["org_deep"])
 
 
 @query(
@@ -540,12 +569,14 @@ def h02_general_format(c: Campus):
 @query(
     "h03_fixed_format",
     f"SELECT {_KEY}, printf('%.0f', l_quantity / 4) AS f0, printf('%.1f', l_quantity / 16) AS f1, "
-    f"printf('%.2f', l_quantity * l_discount / 8) AS f2 FROM {{lineitem}}",
+    f"printf('%.2f', l_quantity * l_discount / 8) AS f2, printf('%.2f', l_extendedprice * 123456789e3) AS f3, "
+    f"printf('%.0f', l_extendedprice * 1e25) AS f4 FROM {{lineitem}}",
 )
 def h03_fixed_format(c: Campus):
     q, d = F.col("l_quantity"), F.col("l_discount")
     return c["lineitem"].select(
-        *_KEYS, fmt_f(q / 4.0, 0).alias("f0"), fmt_f(q / 16.0, 1).alias("f1"), fmt_f(q * d / 8.0, 2).alias("f2")
+        *_KEYS, fmt_f(q / 4.0, 0).alias("f0"), fmt_f(q / 16.0, 1).alias("f1"), fmt_f(q * d / 8.0, 2).alias("f2"),
+        fmt_f(F.col("l_extendedprice") * 123456789e3, 2).alias("f3"), fmt_f(F.col("l_extendedprice") * 1e25, 0).alias("f4"),
     )
 
 
