@@ -12,7 +12,7 @@ from gradeloom.functions.text import clean_text, normal_header, safe_name
 from gradeloom.operators import importing, labels, sheets, templates
 from gradeloom.operators.identity import resolve_students
 from gradeloom.operators.results import Domain
-from gradeloom.plans.campus import CAMPUS, Campus
+from gradeloom.plans.campus import BASE_TABLES, CAMPUS, Campus
 from gradeloom.plans.registry import ORACLE_TABLES, query
 from gradeloom.session import settle
 from gradeloom.sources.schemas import SCHEMAS
@@ -172,11 +172,23 @@ ORACLE_TABLES["failed_sheet"] = """
         LEFT JOIN {imp_offering} o ON o.institution_id = l.institution_id AND o.id = b.offering_hint
         WHERE l.layout = 'native') WHERE error IS NOT NULL"""
 
-_settled: dict = {}  # (application, folder, name) -> tables written once per session
+_settled: dict = {}  # (application, folder, its files as they are now, name) -> tables written once
+
+
+def _files(c: Campus) -> tuple:
+    """Size and time of change of every file of the tables in the folder."""
+    jvm, conf = c.spark._jvm, c.spark._jsc.hadoopConfiguration()
+    found = []
+    for table in BASE_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{c.sf_dir}/{table}.parquet")
+        system = path.getFileSystem(conf)
+        if system.exists(path):
+            found += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in system.listStatus(path)]
+    return tuple(found)
 
 
 def _once(c: Campus, name: str, make):
-    key = (c.spark.sparkContext.applicationId, c.sf_dir, name)
+    key = (c.spark.sparkContext.applicationId, c.sf_dir, _files(c), name)
     if key not in _settled:
         _settled[key] = make()
     return _settled[key]

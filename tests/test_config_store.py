@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators.provision import provision, provision_counts
 from gradeloom.operators.results import student_results
 from gradeloom.operators.skew import number_rows, running_total
-from gradeloom.operators.templates import sheet_titles, template_headers
+from gradeloom.operators.templates import sheet_titles, template_errors, template_headers
 from gradeloom.sources.config_json import ConfigError, load_configs, parse_configs
 from gradeloom.sources.store import Store
 
@@ -110,6 +110,24 @@ def test_templates(spark):
     assert template_headers(offering, assessment).where("sheet = 'offering'").count() == 2
 
 
+def test_templates_by_institution(spark):
+    offering = spark.createDataFrame([("p", "o1"), ("p", "o2"), ("q", "o1"), ("q", "o2"), ("r", "o1"), ("s", "o1")], "institution_id string, id string")
+    assessment = spark.createDataFrame(
+        [(i, o, 1, f"{o}#1", "Test") for i in "pqrs" for o in ("o1", "o2")],
+        "institution_id string, offering_id string, order int, id string, name string",
+    )
+    settings = spark.createDataFrame(
+        [("p", True, None), ("q", False, "o2"), ("r", False, ""), ("s", False, "o9")],
+        "institution_id string, expect_course_prefix boolean, offering_hint string",
+    )
+    rows = template_headers(offering, assessment, settings=settings).collect()
+    assert {(r.institution_id, r.offering_id, r.sheet) for r in rows} == {("p", "o1", "o1"), ("p", "o2", "o2"), ("q", "o2", "Marks")}
+    assert len(rows) == 9
+    assert {r.institution_id: r.error for r in template_errors(offering, settings).collect()} == {
+        "r": "--offering is required when excel.expect_course_prefix is false", "s": "no course offering with id 'o9'",
+    }
+
+
 def test_numbering_across_blocks(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7).alias("o"))
     rows = number_rows(df, ["k"], "o", "n", parts=7).collect()

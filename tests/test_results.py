@@ -143,6 +143,11 @@ def test_one_student_and_institution(domain):
     rows = results.student_results(domain.only("guild"), student_id="g1").collect()
     assert [(r.institution_id, r.student_id) for r in rows] == [("guild", "g1")]
     assert results.student_results(domain.only("guild"), student_id="nobody").isEmpty()
+    asked = domain.student.sparkSession.createDataFrame([("guild", "g1"), ("harbour", "g1"), ("guild", "nobody")], "institution_id string, student_id string")
+    told = {(r.institution_id, r.student_id): (r.student_name, r.error) for r in results.requested_results(domain, asked).collect()}
+    assert told["guild", "g1"] == (rows[0].student_name, None)
+    assert told["guild", "nobody"] == (None, "No student with id 'nobody' was found.")
+    assert told["harbour", "g1"][0] is None and "g1" in told["harbour", "g1"][1]
 
 
 def test_org_paths_and_cycles(spark):
