@@ -73,90 +73,97 @@ def exact_sums(df: DataFrame, keys: list[str], sums: dict[str, Column], more: di
 
     Each value is cut into three integer pieces of 32 bits within a window of
     exponents; windows of all exponents of a double exist. Pieces are summed as
-    BIGINT by (keys, windows), which combines map-side and does not depend on the
+    BIGINT by (keys, sum, window), which combines map-side and does not depend on the
     order of rows, and the few windows of a group are joined with one rounding. A
     group may hold any magnitudes and 2**30 values for each window. NULL is ignored;
-    no value sums to 0; infinities and NaN add as doubles do.
+    no value sums to 0; infinities and NaN add as doubles do. Several sums become rows
+    of their own first, so the windows of one never multiply with those of another.
 
-    ``more`` names further aggregates as (column for the first grouping, function of
-    its name for the second), such as (F.count("*"), F.sum).
+    ``more`` names further aggregates, which must ignore NULL, as (column for the first grouping,
+    function of its name for the second), such as (F.count("*"), F.sum).
     """
     more = more or {}
-    every = range(len(sums))
-
-    def usual(n: int) -> Column:
-        x = F.col(f"_x{n}")
-        return F.coalesce((F.abs(x) < F.lit(float("inf"))) & (x != 0.0), F.lit(False))
-
-    def scaled(n: int) -> Column:
-        half = F.pow(F.lit(2.0), F.col(f"_w{n}") * -16)
-        return F.when(usual(n), F.col(f"_x{n}") * half * half).otherwise(F.lit(0.0))
-
-    def window(n: int) -> Column:
-        size = F.when(usual(n), F.abs(F.col(f"_x{n}"))).otherwise(F.lit(1.0))
-        return F.floor(F.log2(size) / 32).cast("int")
-
-    cut = df.select("*", *[value.cast("double").alias(f"_x{n}") for n, value in enumerate(sums.values())])
-    cut = cut.select("*", *[window(n).alias(f"_w{n}") for n in every])
-    cut = cut.select("*", *[scaled(n).alias(f"_m{n}") for n in every])
-    cut = cut.select("*", *[F.col(f"_m{n}").cast("bigint").alias(f"_t{n}") for n in every])
-    cut = cut.select("*", *[((F.col(f"_m{n}") - F.col(f"_t{n}").cast("double")) * _STEP).alias(f"_r{n}") for n in every])
-    first, final = [], []
-    for n in every:
-        x, middle = F.col(f"_x{n}"), F.col(f"_r{n}").cast("bigint")
-        low = ((F.col(f"_r{n}") - middle.cast("double")) * _STEP).cast("bigint")
-        first += [
-            F.sum(f"_t{n}").alias(f"_p{n}"),
-            F.sum(middle).alias(f"_q{n}"),
-            F.sum(low).alias(f"_l{n}"),
-            F.sum(F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x)).alias(f"_s{n}"),
-        ]
-        parts = F.struct(F.col(f"_w{n}").alias("w"), F.col(f"_p{n}").alias("p"), F.col(f"_q{n}").alias("q"), F.col(f"_l{n}").alias("l"))
-        final += [F.collect_list(parts).alias(f"_a{n}"), F.sum(f"_s{n}").alias(f"_s{n}")]
-    windows = [f"_w{n}" for n in range(len(sums))]
-    once = cut.groupBy(*keys, *windows).agg(*first, *[agg.alias(name) for name, (agg, _) in more.items()])
-    twice = once.groupBy(*keys).agg(*final, *[again(name).alias(name) for name, (_, again) in more.items()])
-    totals = [F.coalesce(F.col(f"_s{n}"), _joined(F.col(f"_a{n}"))).alias(name) for n, name in enumerate(sums)]
-    return twice.select(*keys, *totals, *more)
-
-
-def _joined(windows: Column) -> Column:
-    """The double nearest to the sum of the pieces of all windows."""
-
-    def digits(sign: int) -> Column:
-        """Digits to base 2**32 from the lowest to the highest, the last one signed."""
-        low, high = F.array_min(F.transform(windows, lambda a: a["w"])) - 2, F.array_max(F.transform(windows, lambda a: a["w"]))
-
-        def piece(place, a):
-            here = F.when(a["w"] == place, a["p"]).when(a["w"] == place + 1, a["q"]).when(a["w"] == place + 2, a["l"])
-            return F.coalesce(here, F.lit(0).cast("bigint")) * sign
-
-        def step(state, place):
-            total = F.aggregate(windows, state["carry"], lambda t, a: t + piece(place, a))
-            digit = total.bitwiseAND(F.lit((1 << 32) - 1).cast("bigint"))
-            return F.struct(F.concat(state["done"], F.array(digit)).alias("done"), F.shiftright(total, 32).alias("carry"))
+    values = [value.cast("double") for value in sums.values()]
+    if len(values) == 1:
+        each = df.select("*", F.lit(0).alias("_sum_no"), values[0].alias("_sum_x"))
+    else:
+        each = df.select("*", F.posexplode(F.array(*values)).alias("_sum_no", "_sum_x"))
+    infinite = "abs(_sum_x) = double('infinity')"
+    usual = f"coalesce(_sum_x <> 0D AND NOT isnan(_sum_x) AND NOT {infinite}, false)"
+    cut = each.selectExpr("*", f"CAST(floor(log2(CASE WHEN {usual} THEN abs(_sum_x) ELSE 1D END) / 32) AS INT) AS _sum_w")
+    half = "power(2D, _sum_w * -16)"
+    cut = cut.selectExpr("*", f"CASE WHEN {usual} THEN _sum_x * {half} * {half} ELSE 0D END AS _sum_m")
+    cut = cut.selectExpr("*", f"(_sum_m - CAST(CAST(_sum_m AS BIGINT) AS DOUBLE)) * {_STEP}D AS _sum_r")
+    once = cut.groupBy(*keys, "_sum_no", "_sum_w").agg(
+        F.expr("sum(CAST(_sum_m AS BIGINT)) AS _p"),
+        F.expr("sum(CAST(_sum_r AS BIGINT)) AS _q"),
+        F.expr(f"sum(CAST((_sum_r - CAST(CAST(_sum_r AS BIGINT) AS DOUBLE)) * {_STEP}D AS BIGINT)) AS _l"),
+        F.expr(f"sum(CASE WHEN isnan(_sum_x) OR {infinite} THEN _sum_x END) AS _s"),
+        *[agg.alias(name) for name, (agg, _) in more.items()],
+    )
+    parts = F.expr("""CASE WHEN _p <> 0 OR _q <> 0 OR _l <> 0 OR _s IS NOT NULL
+                      THEN struct(_sum_no AS n, _sum_w AS w, _p AS p, _q AS q, _l AS l, _s AS s) END""")
+    # every row of the input is there once for each sum; what else is asked is taken from the first
+    further = [F.when(F.col("_sum_no") == 0, F.col(name)).alias(name) for name in more]
+    twice = once.select(*keys, parts.alias("_a"), *further).groupBy(*keys).agg(
+        F.collect_list("_a").alias("_a"), *[again(name).alias(name) for name, (_, again) in more.items()]
+    )
 
-        start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("carry"))
-        done = F.aggregate(F.sequence(low, high), start, step, lambda s: F.concat(s["done"], F.array(s["carry"])))
-        return F.struct(done.alias("digits"), low.alias("low"), F.lit(float(sign)).alias("sign"))
-
-    def nearest(number: Column) -> Column:
-        """The double of non-negative digits: three from the first that is not 0, and whether any follow."""
-        values = number["digits"]
-        after = F.array_position(F.reverse(F.transform(values, lambda d: d != 0)), True)
-        last = F.size(values) - after.cast("int")  # position of the first digit that counts, from 0
-        a, b, c = (F.coalesce(F.get(values, last - k), F.lit(0).cast("bigint")).cast("double") for k in range(3))
-        rest = F.exists(F.slice(values, 1, F.greatest(last - 2, F.lit(0))), lambda d: d != 0)
-        c = F.when(rest & (c % 2.0 == 0.0), c + 1.0).otherwise(c)  # far below the last bit, but off the tie
-        a, b = a * (_STEP * _STEP), b * _STEP
-        total = _let(a + b, lambda s: s + ((b - (s - a)) + c))
-        half = F.pow(F.lit(2.0), (number["low"] + last - 2) * 16)
-        return F.when(after == 0, F.lit(0.0)).otherwise(number["sign"] * total * half * half)
-
-    def positive(number: Column) -> Column:
-        return F.when(F.element_at(number["digits"], -1) < 0, digits(-1)).otherwise(number)
-
-    return _let(_let(digits(1), positive), nearest)
+    special = "get(filter(transform(windows, a -> a.s), s -> s IS NOT NULL), 0)"
+    one = _bind("filter(_a, a -> a.n = sum_no)", "windows", f"coalesce({special}, {_single()}, {_joined()}, 0D)")
+    every = F.expr(f"transform(sequence(0, {len(sums) - 1}), sum_no -> {one})")
+    totals = twice.select(*keys, every.alias("_a"), *more)
+    return totals.select(*keys, *[F.get("_a", n).alias(name) for n, name in enumerate(sums)], *more)
+
+
+def _bind(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` where ``name`` stands for ``value``, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _carried(places: str) -> str:
+    """SQL of the digits to base 2**32 of an array of places, from the lowest to the highest, the last one signed."""
+    return f"""aggregate({places}, struct(CAST(array() AS ARRAY<BIGINT>) AS done, 0L AS carry),
+        (state, place) -> struct(concat(state.done, array((state.carry + place) & 4294967295L)) AS done,
+                                 shiftright(state.carry + place, 32) AS carry),
+        state -> concat(state.done, array(state.carry)))"""
+
+
+def _added(a: str, b: str, c: str) -> str:
+    """SQL of the double nearest to a * 2**64 + b * 2**32 + c, all three doubles of at most 32 bits."""
+    three = f"struct({a} * {_STEP * _STEP}D AS a, {b} * {_STEP}D AS b, {c} AS c)"
+    return _bind(three, "three", _bind("three.a + three.b", "s", "s + ((three.b - (s - three.a)) + three.c)"))
+
+
+def _single() -> str:
+    """SQL of ``_joined`` for the usual case, one window with a small sum that is not negative; else NULL."""
+    half = "power(2D, (one.w - 2) * 16)"
+    b, c = "CAST(middle & 4294967295L AS DOUBLE)", "CAST(one.l & 4294967295L AS DOUBLE)"
+    fits = f"CASE WHEN whole >= 0 AND whole < 4294967296L THEN {_added('CAST(whole AS DOUBLE)', b, c)} * {half} * {half} END"
+    carried = _bind("one.q + shiftright(one.l, 32)", "middle", _bind("one.p + shiftright(middle, 32)", "whole", fits))
+    return f"CASE WHEN size(windows) = 1 THEN {_bind('get(windows, 0)', 'one', carried)} END"
+
+
+def _joined() -> str:
+    """SQL of the double nearest to the sum of the pieces of all ``windows``.
+
+    Written as text, since a Column of this size takes half a second to build.
+    """
+    at = """aggregate(windows, 0L, (total, a) -> total
+        + coalesce(CASE a.w WHEN place THEN a.p WHEN place + 1 THEN a.q WHEN place + 2 THEN a.l END, 0L))"""
+    span = "struct(array_min(transform(windows, a -> a.w)) - 2 AS low, array_max(transform(windows, a -> a.w)) AS high)"
+    signed = _carried(f"transform(sequence(span.low, span.high), place -> {at})")
+    size = f"CASE WHEN element_at(done, -1) < 0 THEN {_carried('transform(done, d -> -d)')} ELSE done END"
+    # position of the first digit that counts, from 0; it and the next two are joined, and whether any digits follow
+    top = "size(digits) - CAST(array_position(reverse(transform(digits, d -> d <> 0)), true) AS INT)"
+    a, b, c = (f"CAST(coalesce(get(digits, top - {k}), 0L) AS DOUBLE)" for k in range(3))
+    rest = "exists(slice(digits, 1, greatest(top - 2, 0)), d -> d <> 0)"
+    # an even last digit is moved by one where digits follow: far below the last bit, but off the tie
+    total = _added(a, b, f"{c} + CASE WHEN {rest} AND {c} % 2D = 0D THEN 1D ELSE 0D END")
+    half = "power(2D, (span.low + top - 2) * 16)"
+    sign = "CASE WHEN element_at(done, -1) < 0 THEN -1D ELSE 1D END"
+    nearest = f"CASE WHEN top = size(digits) THEN 0D ELSE {sign} * {total} * {half} * {half} END"
+    return _bind(span, "span", _bind(signed, "done", _bind(size, "digits", _bind(top, "top", nearest))))
 
 
 # --- text ----------------------------------------------------------------------

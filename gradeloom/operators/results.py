@@ -24,6 +24,7 @@ from gradeloom.functions.grading import (
 from gradeloom.functions.numeric import exact_sums, py_round
 from gradeloom.operators.orgtree import org_paths
 from gradeloom.operators.rules import RAW_TOTAL, institution_rules, offering_rules
+from gradeloom.session import settle
 
 
 @dataclass
@@ -154,8 +155,11 @@ def course_percentage() -> Column:
 
 
 def course_results(domain: Domain) -> DataFrame:
-    """One row per student and course taken."""
-    offerings = graded_offerings(domain)
+    """One row per student and course taken.
+
+    The offerings with their rules are written once, as marks and courses both read them.
+    """
+    offerings = settle(graded_offerings(domain))
     rows = (
         taken_courses(domain)
         .join(offerings, ["institution_id", "offering_id"])
