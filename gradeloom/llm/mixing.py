@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP = 8.0  # largest mean of one draw
+ROWS = 32768  # documents expected in a partition of the mixture, if the session does not ask for smaller ones
 TERMS = 64  # beyond so many events a draw of mean STEP has less than 2**-52 left
 
 
@@ -32,6 +33,11 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5,
     the wanted number of documents, as many as there are if it is not given. A null source
     is a source like others.
     """
+    return _planned(docs, weights, alpha, total)[0]
+
+
+def _planned(docs: DataFrame, weights: DataFrame | None, alpha: float, total: int | None) -> tuple[DataFrame, int]:
+    """The rates, and how many documents they will make on average."""
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         wanted = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(alpha)))
@@ -40,9 +46,9 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5,
         wanted = counts.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").filter("weight > 0")
     everything = wanted.agg(F.sum("weight"), F.count("*")).first()
     if not everything[1]:
-        return wanted.select("source", F.lit(0.0).alias("rate"))
+        return wanted.select("source", F.lit(0.0).alias("rate")), 0
     size = counts.agg(F.sum("n")).first()[0] if total is None else total
-    return wanted.select("source", (F.col("weight") / F.lit(everything[0]) * F.lit(size) / F.col("n")).alias("rate"))
+    return wanted.select("source", (F.col("weight") / F.lit(everything[0]) * F.lit(size) / F.col("n")).alias("rate")), size
 
 
 def _distribution(mean: Column) -> Column:
@@ -85,5 +91,13 @@ def replicated(docs: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, total: int | None = None, seed: int = 0) -> DataFrame:
-    """The mixture, globally shuffled: (_row, copy, place) ordered by ``place``."""
-    return replicated(docs, rates(docs, weights, alpha, total), seed).orderBy("place", "copy")
+    """The mixture, globally shuffled: (_row, copy, place) ordered by ``place``.
+
+    Places are uniform, so the first bits of a place name its partition: no rows are drawn a first time
+    for a sample of the order, and partitions are alike in size whatever the sources are.
+    """
+    wanted, size = _planned(docs, weights, alpha, total)
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // ROWS))
+    first_bits = F.conv(F.substring("place", 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+    dealt = replicated(docs, wanted, seed).repartitionById(partitions, F.floor(first_bits * partitions).cast("int"))
+    return dealt.sortWithinPartitions("place", "copy")
