@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 STEP = 8.0  # largest mean of one draw
 ROWS = 32768  # documents expected in a partition of the mixture, if the session does not ask for smaller ones
+SOURCES = 4096  # up to so many sources, counted first, their distributions (half a kilobyte each) go to every task
 TERMS = 64  # beyond so many events a draw of mean STEP has less than 2**-52 left
 
 
@@ -36,8 +37,8 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5,
     return _planned(docs, weights, alpha, total)[0]
 
 
-def _planned(docs: DataFrame, weights: DataFrame | None, alpha: float, total: int | None) -> tuple[DataFrame, int]:
-    """The rates, and how many documents they will make on average."""
+def _planned(docs: DataFrame, weights: DataFrame | None, alpha: float, total: int | None) -> tuple[DataFrame, int, int]:
+    """The rates, how many documents they will make on average, and the number of rates."""
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         wanted = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(alpha)))
@@ -46,9 +47,9 @@ def _planned(docs: DataFrame, weights: DataFrame | None, alpha: float, total: in
         wanted = counts.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").filter("weight > 0")
     everything = wanted.agg(F.sum("weight"), F.count("*")).first()
     if not everything[1]:
-        return wanted.select("source", F.lit(0.0).alias("rate")), 0
+        return wanted.select("source", F.lit(0.0).alias("rate")), 0, 0
     size = counts.agg(F.sum("n")).first()[0] if total is None else total
-    return wanted.select("source", (F.col("weight") / F.lit(everything[0]) * F.lit(size) / F.col("n")).alias("rate")), size
+    return wanted.select("source", (F.col("weight") / F.lit(everything[0]) * F.lit(size) / F.col("n")).alias("rate")), size, everything[1]
 
 
 def _distribution(mean: Column) -> Column:
@@ -63,17 +64,19 @@ def _distribution(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["cdf"])
 
 
-def replicated(docs: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
+def replicated(docs: DataFrame, wanted: DataFrame, seed: int = 0, few: bool = False) -> DataFrame:
     """``docs`` with every row as often as drawn, in shuffled order: (_row, copy, place).
 
     ``_row`` holds the row, ``copy`` counts from 1, ``place`` is the sort key. Draws and
     places follow from the doc_id, for rows without one from the text. Rows with the same doc_id are
     drawn alike, as are those without one that have the same text. Sources that are not in ``wanted`` have no copies.
+    ``few`` says that ``wanted`` was counted and is small: it is sent to the documents, which then stay where they are.
     """
     parts = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
     plans = wanted.select(
         F.col("source").alias("_source"), parts.alias("_parts"), _distribution(F.col("rate") / parts).alias("_cdf")
     )
+    plans = F.broadcast(plans) if few else plans
     text = F.col("text") if "text" in docs.columns else F.lit("")
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none:"), F.md5(F.coalesce(text, F.lit("")))))
     rows = docs.select(F.struct("*").alias("_row"), key.alias("_key"), F.col("source").alias("_of"))
@@ -96,8 +99,8 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5,
     Places are uniform, so the first bits of a place name its partition: no rows are drawn a first time
     for a sample of the order, and partitions are alike in size whatever the sources are.
     """
-    wanted, size = _planned(docs, weights, alpha, total)
+    wanted, size, sources = _planned(docs, weights, alpha, total)
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // ROWS))
     first_bits = F.conv(F.substring("place", 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
-    dealt = replicated(docs, wanted, seed).repartitionById(partitions, F.floor(first_bits * partitions).cast("int"))
+    dealt = replicated(docs, wanted, seed, sources <= SOURCES).repartitionById(partitions, F.floor(first_bits * partitions).cast("int"))
     return dealt.sortWithinPartitions("place", "copy")
