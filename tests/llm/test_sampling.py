@@ -163,3 +163,12 @@ def test_folders_of_token_stores(spark, tmp_path):
     assert token_store._uri("s3a://bucket/some/folder") == "s3://bucket/some/folder"  # opening it asks the network
     with pytest.raises(ValueError, match="tasks cannot open"):
         token_store.qualified(spark, "viewfs://cluster/tokens")
+
+
+def test_mixture_of_many_sources_is_that_of_few(spark, monkeypatch):
+    docs = spark.createDataFrame([(n, f"t{n}", f"s{n % 40}" if n % 3 else None) for n in range(900)], "doc_id long, text string, source string")
+    few = [tuple(r) for r in mixing.mixed(docs).select("_row.doc_id", "copy", "place").collect()]
+    monkeypatch.setattr(mixing, "SOURCES", 0)
+    monkeypatch.setattr(mixing, "ROWS", 10)  # more partitions, the same order
+    many = [tuple(r) for r in mixing.mixed(docs).select("_row.doc_id", "copy", "place").collect()]
+    assert few == many and [r[2] for r in few] == sorted(r[2] for r in few)
