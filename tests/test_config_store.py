@@ -266,3 +266,25 @@ def test_many_saves_are_compacted(spark, own_store, monkeypatch):
     assert max(sum(r["shard"] == s for r in rows) for s in range(4)) <= 3
     mine = [(s, o) for i, s, o in stored_marks(own_store) if i == "i1"]
     assert mine[0] == ("p1", 105.0) and [s for s, _ in mine[-6:]] == [f"new{n}" for n in range(6)] and len(mine) == 106
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_judged_once_and_sections_stay_in_them(spark):
+    configs, errors = configs_of(spark, [config(), {"institution": {"id": "x"}}])
+    assert "parse_json" not in _plan(errors)
+    for rows in (configs.rule_sets(), configs.scheme_specs(), configs.seed_rows("students", "last")):
+        plan = _plan(rows)
+        assert plan.count("parse_json") <= 1 and "hashpartitioning" not in plan
+
+
+def test_repeated_ids_of_a_section(spark):
+    document = config()
+    document["seed"]["students"] = [{"id": i, "name": n} for i, n in [("a", "1"), ("b", "2"), (None, "3"), ("a", "4"), (None, "5"), ("c", "6")]]
+    document["rule_sets"] = [{"id": i, "pass_percentage": p} for i, p in [("r", 1), ("q", 2), ("r", 3)]]
+    configs = configs_of(spark, [document])[0]
+    students = {tuple(r) for r in configs.seed_rows("students", "last").select("seq", "id", "name").collect()}
+    assert students == {(0, "a", "4"), (1, "b", "2"), (2, None, "5"), (5, "c", "6")}
+    assert {tuple(r) for r in configs.rule_sets().select("seq", "id", "pass_percentage").collect()} == {(0, "r", 1.0), (1, "q", 2.0)}
