@@ -200,7 +200,11 @@ def _campus(c: Campus) -> Campus:
 
 
 def _cells(c: Campus):
-    return _once(c, "cells", lambda: settle(_campus(c)["cell"]))
+    def make():
+        # the cells read entries and rows five times
+        return settle(_campus(c).settled("imp_entry", "imp_row")["cell"])
+
+    return _once(c, "cells", make)
 
 
 def _books(c: Campus):

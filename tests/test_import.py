@@ -230,3 +230,16 @@ def test_subjects_meet_an_index_of_offerings(spark):
     want["Two", ""] = (None, "subject 'Two' matches multiple courses")
     want["None", "u1"] = (None, "no course matches legacy subject 'None'")
     assert got == want
+
+
+def test_cells_read_the_entries_once(spark, tmp_path):
+    from gradeloom.plans import import_queries
+    from gradeloom.plans.campus import Campus
+
+    folder = "/root/testdata/sf0.001"
+    campus = import_queries._campus(Campus(spark, folder))
+    plain = {tuple(r) for r in campus["cell"].collect()}
+    once = import_queries._campus(Campus(spark, folder)).settled("imp_entry", "imp_row")
+    plan = once["cell"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("orders.parquet") == 0 and plan.count("lineitem.parquet") <= 1
+    assert {tuple(r) for r in once["cell"].collect()} == plain
