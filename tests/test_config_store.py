@@ -288,3 +288,9 @@ def test_repeated_ids_of_a_section(spark):
     students = {tuple(r) for r in configs.seed_rows("students", "last").select("seq", "id", "name").collect()}
     assert students == {(0, "a", "4"), (1, "b", "2"), (2, None, "5"), (5, "c", "6")}
     assert {tuple(r) for r in configs.rule_sets().select("seq", "id", "pass_percentage").collect()} == {(0, "r", 1.0), (1, "q", 2.0)}
+
+
+def test_offerings_stay_in_their_document(spark):
+    tables = provision(configs_of(spark, [config()])[0])
+    assert "hashpartitioning" not in _plan(tables["offering"])
+    assert {r["assessment_scheme_id"] for r in tables["offering"].collect()} == {"main"}
