@@ -650,9 +650,9 @@ def g01_plan_in_order(c: Campus):
 )
 def g02_failed_sheets(c: Campus):
     header = sheets.sheet_list(_cells(c)).select("institution_id", "workbook", "sheet_no", F.col("header_row").alias("row_no"))
-    return _plan(c).errors.join(header, ["institution_id", "workbook", "sheet_no", "row_no"], "left_semi").select(
-        "institution_id", "workbook", "sheet_no", "row_no", "message"
-    )
+    plan = _plan(c)
+    of_sheets = plan.places.join(header, ["institution_id", "workbook", "sheet_no", "row_no"], "left_semi")
+    return plan.with_messages(of_sheets).select("institution_id", "workbook", "sheet_no", "row_no", "message")
 
 
 @query("g04_new_students")
@@ -736,7 +736,7 @@ def _applied(c: Campus) -> importing.Applied:
         )
         errors = c.spark.createDataFrame([], "institution_id string, workbook string, message string")
         notes = c.spark.createDataFrame([], "institution_id string, note string")
-        plan = importing.ImportPlan(settle(marks), errors, c["fresh_student"], notes)
+        plan = importing.ImportPlan(settle(marks), lambda: errors, c["fresh_student"], notes)
         return plan, domain, importing.apply_plan(plan, domain)
 
     return _once(c, "applied", make)

@@ -1,5 +1,6 @@
 import copy
 import tempfile
+from types import SimpleNamespace
 
 import pytest
 from helpers import cells_of, config, configs_of, domain_of
@@ -253,3 +254,22 @@ def test_cells_read_the_entries_once(spark, tmp_path):
     once = import_queries._campus(Campus(spark, str(tmp_path))).settled("imp_entry", "imp_row")["cell"]
     assert any("orders.parquet" in f for f in plain.inputFiles()) and not any("orders.parquet" in f for f in once.inputFiles())
     assert plain.count() > 0 and plain.exceptAll(once).isEmpty() and once.exceptAll(plain).isEmpty()
+
+
+def test_the_message_of_a_label_stands_once(spark):
+    """A label that names many offerings and holds for many cells: its message is not copied to each of them in the plan."""
+    school = config("many", scheme=ONE)
+    school["seed"]["offerings"] += [{"id": f"geo_{k}", "org_unit_id": "room_2", "course_id": "geo"} for k in range(40)]
+    configs, errors = configs_of(spark, [school])
+    assert errors.isEmpty()
+    rows = [["Ines Duarte", "H-11", None, "Geography", k] for k in range(30)]
+    cells = cells_of(spark, {("many", "wb"): {"x": [LONG, *rows, ["Ines Duarte", "H-11", None, "Biology", 300]]}})
+    books = spark.createDataFrame([("many", "wb", None, False)], "institution_id string, workbook string, offering_hint string, legacy boolean")
+    plan = importing.validate(cells, books, configs.import_settings(), domain_of(spark, configs))
+    places = {(r.column_name, r.message): r["count"] for r in plan.places.groupBy("column_name", "message").count().collect()}
+    assert places == {("Geography", None): 30, ("Biology", "mark 300 exceeds maximum 100"): 1}
+    ids = ", ".join(sorted(["geo_n", *[f"geo_{k}" for k in range(40)]]))
+    message = f"subject 'Geography' is ambiguous across offerings ({ids})"
+    assert [r.label_error for r in plan.texts.collect()] == [message]
+    found = plan.errors.groupBy("column_name", "message").count().collect()
+    assert {tuple(r) for r in found} == {("Geography", message, 30), ("Biology", "mark 300 exceeds maximum 100", 1)}
