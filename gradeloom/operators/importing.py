@@ -292,19 +292,108 @@ def enrollment_id(student: Column, year: Column, term: Column, org: Column) -> C
     return F.concat_ws("_", F.lit("enroll"), safe_name(student), safe_name(year), part(term, "na"), part(org, "na"))
 
 
-@dataclass
 class Applied:
-    """Stored tables after an import, and one row of counters.
+    """Stored tables after an import, and one row of counters; each is worked out when first asked for.
 
     ``mark_writes`` holds the marks that the import writes, one for each key, with their order.
     """
 
-    student: DataFrame
-    enrollment: DataFrame
-    enrollment_course: DataFrame
-    mark: DataFrame
-    report: DataFrame
-    mark_writes: DataFrame
+    def __init__(self, plan: ImportPlan, domain: Domain):
+        self._plan, self._domain = plan, domain
+
+    @cached_property
+    def _fresh(self) -> DataFrame:
+        """Students that are not stored yet, the first of each id."""
+        stored = self._domain.student
+        fresh = self._plan.new_students.groupBy("institution_id", F.col("student_id").alias("id")).agg(
+            F.min(F.struct("workbook", "ord", "name", "roll_no")).alias("s")
+        )
+        fresh = fresh.join(stored.select("institution_id", "id"), ["institution_id", "id"], "left_anti")
+        return settle(_after(stored, fresh.select("institution_id", "id", "s.*")))
+
+    @cached_property
+    def student(self) -> DataFrame:
+        new = self._fresh.select("institution_id", "seq", "id", "name", "roll_no", F.lit("{}").alias("extra"))
+        return self._domain.student.unionByName(new, allowMissingColumns=True)
+
+    @cached_property
+    def _matched(self) -> DataFrame:
+        """The offerings wanted, with the first stored enrollment of the same student and period, if any."""
+        wanted = settle(planned_enrollments(self._plan, self._domain.offering))
+        stored = _period(self._domain.enrollment).groupBy(*_PERIOD).agg(F.min_by("id", "seq").alias("enrollment_id"))
+        return wanted.join(stored, _PERIOD, "left")
+
+    @cached_property
+    def _opened(self) -> DataFrame:
+        """New enrollments."""
+        opened = self._matched.where("enrollment_id IS NULL").groupBy(*_PERIOD).agg(F.min("first").alias("first"))
+        new_id = enrollment_id(F.col("student_id"), F.col("year_id"), F.col("term_key"), F.col("org_key"))
+        opened = opened.withColumn("id", new_id)
+        # two periods may lead to one id; the later one replaces the earlier
+        opened = opened.groupBy("institution_id", "id").agg(
+            F.count(F.lit(1)).alias("created"), F.max(F.struct("first", "student_id", "year_id", "term_key", "org_key")).alias("e")
+        )
+        opened = opened.select("institution_id", "id", "created", "e.*").select("*", "first.workbook", "first.ord")
+        return settle(_after(self._domain.enrollment, opened))
+
+    @cached_property
+    def enrollment(self) -> DataFrame:
+        opened = self._opened
+        replaced = self._domain.enrollment.join(opened.select("institution_id", "id"), ["institution_id", "id"], "left_anti")
+        return replaced.unionByName(
+            opened.select(
+                "institution_id", "seq", "id", "student_id", "year_id",
+                F.nullif(F.col("term_key"), F.lit("")).alias("term_id"), F.col("org_key").alias("org_unit_id"),
+            ),
+            allowMissingColumns=True,
+        )
+
+    @cached_property
+    def _extended(self) -> DataFrame:
+        """Offerings that stored enrollments lack."""
+        course_key = ["institution_id", "enrollment_id", "offering_id"]
+        return self._matched.where("enrollment_id IS NOT NULL").join(self._domain.enrollment_course, course_key, "left_anti")
+
+    @cached_property
+    def enrollment_course(self) -> DataFrame:
+        opened, stored = self._opened, self._domain.enrollment_course
+        course_key = ["institution_id", "enrollment_id", "offering_id"]
+        started = self._matched.where("enrollment_id IS NULL").drop("enrollment_id").join(
+            opened.select(*_PERIOD, F.col("id").alias("enrollment_id")), _PERIOD
+        )
+        added = self._extended.select(*course_key, "first").unionByName(started.select(*course_key, "first"))
+        last = stored.groupBy("institution_id", "enrollment_id").agg(F.max("pos").alias("last_pos"))
+        added = _numbered(added, ["institution_id", "enrollment_id"]).join(last, ["institution_id", "enrollment_id"], "left")
+        added = added.select(
+            "institution_id", "enrollment_id", (F.coalesce("last_pos", F.lit(-1)) + F.col("n")).alias("pos"), "offering_id"
+        )
+        replaced = opened.select("institution_id", F.col("id").alias("enrollment_id"))
+        return stored.join(replaced, ["institution_id", "enrollment_id"], "left_anti").unionByName(added)
+
+    @cached_property
+    def _marks(self) -> tuple[DataFrame, DataFrame]:
+        return _upsert_marks(self._domain.mark, self._plan.marks.withColumn("write_no", F.struct("workbook", "ord", "col_no")))
+
+    @property
+    def mark(self) -> DataFrame:
+        return self._marks[0]
+
+    @property
+    def mark_writes(self) -> DataFrame:
+        return self._marks[1]
+
+    @cached_property
+    def report(self) -> DataFrame:
+        updated = self._extended.select("institution_id", "enrollment_id").distinct()
+        return _counters(
+            {
+                "students_created": (self._fresh, F.lit(1)),
+                "enrollments_created": (self._opened, F.col("created")),
+                "enrollments_updated": (updated, F.lit(1)),
+                "marks_written": (self._plan.marks, F.lit(1)),
+                "skipped": (self._plan.places, F.lit(1)),
+            }
+        )
 
 
 def apply_plan(plan: ImportPlan, domain: Domain, skip_invalid: bool = False) -> Applied:
@@ -312,69 +401,9 @@ def apply_plan(plan: ImportPlan, domain: Domain, skip_invalid: bool = False) ->
 
     Nothing is stored here, see ``commit``; storing the frames twice gives the same tables.
     """
-    if not skip_invalid and not plan.errors.isEmpty():
+    if not skip_invalid and not plan.places.isEmpty():
         raise ImportRefused("cannot apply a plan with validation errors in strict mode")
-
-    # students that are not stored yet, the first of each id
-    fresh = plan.new_students.groupBy("institution_id", F.col("student_id").alias("id")).agg(
-        F.min(F.struct("workbook", "ord", "name", "roll_no")).alias("s")
-    )
-    fresh = fresh.join(domain.student.select("institution_id", "id"), ["institution_id", "id"], "left_anti")
-    fresh = settle(_after(domain.student, fresh.select("institution_id", "id", "s.*")))
-    new_students = fresh.select("institution_id", "seq", "id", "name", "roll_no", F.lit("{}").alias("extra"))
-    student = domain.student.unionByName(new_students, allowMissingColumns=True)
-
-    # enrollments: the first stored one of the same student and period, or a new one
-    wanted = settle(planned_enrollments(plan, domain.offering))
-    stored = _period(domain.enrollment).groupBy(*_PERIOD).agg(F.min_by("id", "seq").alias("enrollment_id"))
-    matched = wanted.join(stored, _PERIOD, "left")
-    opened = matched.where("enrollment_id IS NULL").groupBy(*_PERIOD).agg(F.min("first").alias("first"))
-    new_id = enrollment_id(F.col("student_id"), F.col("year_id"), F.col("term_key"), F.col("org_key"))
-    opened = opened.withColumn("id", new_id)
-    # two periods may lead to one id; the later one replaces the earlier
-    opened = opened.groupBy("institution_id", "id").agg(
-        F.count(F.lit(1)).alias("created"), F.max(F.struct("first", "student_id", "year_id", "term_key", "org_key")).alias("e")
-    )
-    opened = opened.select("institution_id", "id", "created", "e.*").select("*", "first.workbook", "first.ord")
-    opened = settle(_after(domain.enrollment, opened))
-    replaced = domain.enrollment.join(opened.select("institution_id", "id"), ["institution_id", "id"], "left_anti")
-    enrollment = replaced.unionByName(
-        opened.select(
-            "institution_id", "seq", "id", "student_id", "year_id",
-            F.nullif(F.col("term_key"), F.lit("")).alias("term_id"), F.col("org_key").alias("org_unit_id"),
-        ),
-        allowMissingColumns=True,
-    )
-
-    course_key = ["institution_id", "enrollment_id", "offering_id"]
-    extended = matched.where("enrollment_id IS NOT NULL").join(domain.enrollment_course, course_key, "left_anti")
-    started = matched.where("enrollment_id IS NULL").drop("enrollment_id").join(
-        opened.select(*_PERIOD, F.col("id").alias("enrollment_id")), _PERIOD
-    )
-    added = extended.select(*course_key, "first").unionByName(started.select(*course_key, "first"))
-    last = domain.enrollment_course.groupBy("institution_id", "enrollment_id").agg(F.max("pos").alias("last_pos"))
-    added = _numbered(added, ["institution_id", "enrollment_id"]).join(last, ["institution_id", "enrollment_id"], "left")
-    added = added.select(
-        "institution_id", "enrollment_id", (F.coalesce("last_pos", F.lit(-1)) + F.col("n")).alias("pos"), "offering_id"
-    )
-    kept_courses = domain.enrollment_course.join(
-        opened.select("institution_id", F.col("id").alias("enrollment_id")), ["institution_id", "enrollment_id"], "left_anti"
-    )
-    enrollment_course = kept_courses.unionByName(added)
-
-    mark, mark_writes = _upsert_marks(domain.mark, plan.marks.withColumn("write_no", F.struct("workbook", "ord", "col_no")))
-
-    updated = extended.select("institution_id", "enrollment_id").distinct()
-    report = _counters(
-        {
-            "students_created": (fresh, F.lit(1)),
-            "enrollments_created": (opened, F.col("created")),
-            "enrollments_updated": (updated, F.lit(1)),
-            "marks_written": (plan.marks, F.lit(1)),
-            "skipped": (plan.errors, F.lit(1)),
-        }
-    )
-    return Applied(student, enrollment, enrollment_course, mark, report, mark_writes)
+    return Applied(plan, domain)
 
 
 def commit(store, applied: Applied, institutions: DataFrame) -> int:

@@ -273,3 +273,14 @@ def test_the_message_of_a_label_stands_once(spark):
     assert [r.label_error for r in plan.texts.collect()] == [message]
     found = plan.errors.groupBy("column_name", "message").count().collect()
     assert {tuple(r) for r in found} == {("Geography", message, 30), ("Biology", "mark 300 exceeds maximum 100", 1)}
+
+
+def test_applied_tables_are_worked_out_when_asked_for(run, monkeypatch):
+    plan, domain = run[:2]
+    settle, written = importing.settle, []
+    monkeypatch.setattr(importing, "settle", lambda df: written.append(df) or settle(df))
+    applied = importing.apply_plan(plan, domain, skip_invalid=True)
+    assert not written
+    assert applied.mark.columns[:3] == ["institution_id", "seq", "id"] and not written
+    assert applied.student.where("id = 'imp_K-70'").count() == 1 and len(written) == 1
+    assert applied.student is applied.student and len(written) == 1
