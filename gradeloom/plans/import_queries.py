@@ -566,8 +566,7 @@ def _identities(c: Campus):
             "institution_id", "workbook", importing.row_order(F.col("sheet_no"), F.col("row_no")).alias("ord"),
             F.coalesce("roll", F.lit("")).alias("roll"), F.coalesce("name", F.lit("")).alias("name"),
         )
-        verdict, made = resolve_students(rows, _domain(c).student)
-        return settle(verdict), made
+        return resolve_students(rows, _domain(c).student)
 
     return _once(c, "identities", make)
 

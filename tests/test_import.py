@@ -284,3 +284,13 @@ def test_applied_tables_are_worked_out_when_asked_for(run, monkeypatch):
     assert applied.mark.columns[:3] == ["institution_id", "seq", "id"] and not written
     assert applied.student.where("id = 'imp_K-70'").count() == 1 and len(written) == 1
     assert applied.student is applied.student and len(written) == 1
+
+
+def test_new_students_do_not_write_the_verdicts(spark, monkeypatch):
+    rows = spark.createDataFrame([("i", "w", 1, 2, "R1", None)], "institution_id string, workbook string, sheet_no bigint, row_no bigint, roll string, name string")
+    monkeypatch.setattr(import_queries, "_once", lambda c, name, make: make())
+    monkeypatch.setattr(import_queries, "_campus", lambda c: {"imp_row": rows})
+    monkeypatch.setattr(import_queries, "_domain", lambda c: SimpleNamespace(student=None))
+    monkeypatch.setattr(import_queries, "resolve_students", lambda asked, student: (asked.columns, "made"))
+    assert import_queries.e05_new_student_ids(None) == "made"
+    assert import_queries.c17_student_identity(None) == ["institution_id", "workbook", "ord", "roll", "name"]
