@@ -33,7 +33,8 @@ from gradeloom.session import settle
 
 MARK = "▁"
 BLOCK = 4 << 20  # bytes of text whose pairs are kept together
-PART = 1 << 20  # bytes of text multiplied at a time, and about the longest piece of a text encoded at once
+PART = 1 << 18  # bytes of text multiplied at a time, and about the longest piece of a text encoded at once
+ROWS = 256  # documents sent to the JVM at once
 
 SCHEMA = (
     "doc_id bigint, block bigint, place int, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
@@ -236,6 +237,12 @@ def _block(tokenizers: Tokenizers, texts: list[str | None]):
     return counts, text, [links[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])], pairs.tobytes()
 
 
+def sliced(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows, since the JVM holds a batch that it reads outside its heap."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def aligned(docs: DataFrame, a: str, b: str, keep: Callable[[Column], Column] = lambda groups: groups) -> DataFrame:
     """Alignments of each row of documents(doc_id, text) by the tokenizers file ``a`` and the sentencepiece file ``b``.
 
@@ -263,7 +270,8 @@ def aligned(docs: DataFrame, a: str, b: str, keep: Callable[[Column], Column] =
                 columns = [batch.column(0)[lo:hi], pa.array(np.full(hi - lo, block)), pa.array(np.arange(hi - lo, dtype=np.int32))]
                 columns += [pa.array(c) for c in counts.values()]
                 columns += [pa.array(groups, pa.string()), pa.array(links, pa.binary()), pa.array([pairs] + [None] * (hi - lo - 1), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[c.strip().split(" ")[0] for c in SCHEMA.split(",")])
+                names = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
+                yield from sliced(pa.RecordBatch.from_arrays(columns, names=names), ROWS)
                 block += 1
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(blocks, SCHEMA)
@@ -274,7 +282,7 @@ def aligned(docs: DataFrame, a: str, b: str, keep: Callable[[Column], Column] =
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 pairs = np.frombuffer(payload.as_buffer(), PAIR)
                 columns = [np.full(len(pairs), block), np.arange(len(pairs), dtype=np.int32), *(np.ascontiguousarray(pairs[c]) for c in "abn")]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "pair", "a", "b", "n"])
+                yield from sliced(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "pair", "a", "b", "n"]), 64 * ROWS)
 
     pairs = rows.filter("pairs is not null").select("block", "pairs").mapInArrow(unpack, "block bigint, pair int, a int, b int, n int")
     total = settle(pairs.groupBy("a", "b").agg(F.sum("n").cast("bigint").alias("count")))

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -321,3 +322,11 @@ def test_products_of_matrices():
     assert (dense == a.astype(int) @ b.astype(int)).all() and (values > 0).all()
     pointers, held = token_alignment.transpose(*csr(a), 14)
     assert (pointers == csr(a.T)[0]).all() and (held == csr(a.T)[1]).all()
+
+
+def test_batches_of_alignments_are_small():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["x" * 100] * 1000)], names=["k", "groups"])
+    parts = list(token_alignment.sliced(batch, token_alignment.ROWS))
+    assert [p.num_rows for p in parts] == [256, 256, 256, 232]
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert list(token_alignment.sliced(batch.slice(0, 0), 4)) == []
