@@ -15,11 +15,15 @@ than there are blocks.
 
 A text is encoded as a blank and the text. Null and empty texts, and texts whose joined token bytes
 are not those (for either tokenizer), have no tokens, groups or links. Rows that repeat count each
-as a document. A very long text is cut where both tokenizers end a token: before a lone blank
+as a document. A text is cut where both tokenizers end a token: before each lone blank
 between two characters that are no white space (if no piece of B goes on after such a blank).
+Tokens, groups and links of a piece do not depend on its neighbours, so a block encodes and
+multiplies its distinct pieces and adds them up by the incidence of documents and pieces.
 """
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,9 @@ from gradeloom.llm.words import parts
 from gradeloom.session import settle
 
 MARK = "▁"
+LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")  # one between two characters that are no white space
 BLOCK = 4 << 20  # bytes of text whose pairs are kept together
-PART = 1 << 18  # bytes of text multiplied at a time, and about the longest piece of a text encoded at once
+PART = 1 << 18  # characters of distinct pieces encoded and multiplied at a time
 ROWS = 256  # documents sent to the JVM at once
 
 SCHEMA = (
@@ -122,10 +127,10 @@ class Tokenizers:
         # Pieces that go on after a blank would let a token cross the place where a text is cut.
         self.cuttable = not any(MARK in p.lstrip(MARK) for p in pieces)
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of a blank and the text by both; the second adds the blank itself."""
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return a, [np.array(ids, np.int64) for ids in self.b.encode(texts, num_threads=1)]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return a, self.b.encode(texts, num_threads=1)
 
 
 def pieces_of(text: str, size: int) -> list[str]:
@@ -144,11 +149,11 @@ def pieces_of(text: str, size: int) -> list[str]:
 
 
 class Aligned:
-    """Tokens, groups and links of the pieces of some texts, multiplied at once."""
+    """Tokens, groups and links of some texts, multiplied at once."""
 
-    def __init__(self, tokenizers: Tokenizers, a: list[np.ndarray], b: list[np.ndarray], owner: np.ndarray):
-        """``owner`` is the document of each piece, ascending."""
-        self.a, self.b = np.concatenate(a), np.concatenate(b)
+    def __init__(self, tokenizers: Tokenizers, a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]):
+        """Ids of all texts, one after another, and how many each text has of both; none has no ids."""
+        self.a, self.b = a, b
         a_end, b_end = np.cumsum(tokenizers.a_table.sizes[self.a]), np.cumsum(tokenizers.b_table.sizes[self.b])
         n_bytes = int(a_end[-1])
         cut = np.intersect1d(a_end, b_end, assume_unique=True)
@@ -159,10 +164,9 @@ class Aligned:
         by_group = transpose(np.arange(len(self.b) + 1), b_group, len(cut))
         shared = product_size((np.arange(len(self.a) + 1), a_group), by_group[0])
         # Documents of tokens, groups and links.
-        self.a_doc = np.repeat(owner, [len(x) for x in a])
-        b_doc = np.repeat(owner, [len(x) for x in b])
+        self.n_a, self.n_b = sizes
+        self.a_doc = np.repeat(np.arange(len(self.n_a)), self.n_a)
         self.link_doc = self.a_doc[self.link_a]
-        self.n_a, self.n_b = np.bincount(self.a_doc), np.bincount(b_doc)
         last_a = np.searchsorted(a_group, np.arange(len(cut)), side="right") - 1
         self.n_groups = np.bincount(self.a_doc[last_a], minlength=len(self.n_a))
         self.n_links = np.bincount(self.link_doc, minlength=len(self.n_a))
@@ -180,61 +184,114 @@ class Aligned:
         self.groups = ["".join(words[lo:hi].tolist()) for lo, hi in zip(np.r_[0, ends[:-1]], ends)]
 
 
+def _whole(tokenizers: Tokenizers, texts: list[str], a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether the joined token bytes of each text are a blank and the text, for both tokenizers."""
+    raw = [b" " + t.encode() for t in texts]
+    want = np.array([len(r) for r in raw], np.int64)
+    ok = np.ones(len(texts), bool)
+    for table, ids, n in ((tokenizers.a_table, a, sizes[0]), (tokenizers.b_table, b, sizes[1])):
+        ends = np.r_[0, np.cumsum(table.sizes[ids])]
+        last = np.cumsum(n)
+        got = ends[last] - ends[last - n]
+        ok &= got == want
+        joined, same = table.joined(ids), np.flatnonzero(got == want)
+        if len(same):
+            joined = joined[spans(ends[last - n][same], got[same])]
+            differs = joined != np.frombuffer(b"".join([raw[k] for k in same.tolist()]), np.uint8)
+            ok[same] &= np.add.reduceat(differs, np.cumsum(want[same]) - want[same], dtype=np.int64) == 0
+    return ok
+
+
+def _summed(rows: np.ndarray, keys: np.ndarray, width: int, values: np.ndarray):
+    """(rows, keys, sums of the values) of each distinct row and key, in order; keys are below ``width``."""
+    both = rows * width + keys
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    first = np.flatnonzero(np.diff(both, prepend=-1))
+    sums = np.add.reduceat(values[order], first) if len(first) else np.zeros(0, np.int64)
+    return both[first] // width, both[first] % width, sums
+
+
+COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
+
+
+class Pieces:
+    """Distinct pieces of texts: whether their bytes are whole, their counts, groups and links (distinct pairs, as CSR)."""
+
+    def __init__(self, tokenizers: Tokenizers, pieces: list[str]):
+        n = len(pieces)
+        self.whole = np.zeros(n, bool)
+        self.counts = {c: np.zeros(n, np.int64) for c in COUNTS}
+        self.groups = np.full(n, "", object)
+        owners, kinds, times = ([np.zeros(0, np.int64)] for _ in range(3))
+        at = np.r_[0, np.cumsum([len(p) for p in pieces])]
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PART, side="right")) - 1)
+            found = self._part(tokenizers, pieces[lo:hi], lo)
+            if found:
+                owners.append(found[0]), kinds.append(found[1]), times.append(found[2])
+            lo = hi
+        owner, kind, self.link_times = np.concatenate(owners), np.concatenate(kinds), np.concatenate(times)
+        self.link_first = np.searchsorted(owner, np.arange(n + 1))
+        self.pairs, self.link_pairs = np.unique(kind, return_inverse=True)
+
+    def _part(self, tokenizers: Tokenizers, pieces: list[str], lo: int):
+        ids = tokenizers.encode(pieces)
+        sizes = [np.array([len(x) for x in side], np.int64) for side in ids]
+        ids = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(ids, sizes)]
+        whole = _whole(tokenizers, pieces, *ids, sizes)
+        keep = np.flatnonzero(whole)
+        if not len(keep):
+            return None
+        a, b = (side[np.repeat(whole, n)] for side, n in zip(ids, sizes))
+        found = Aligned(tokenizers, a, b, (sizes[0][keep], sizes[1][keep]))
+        known = lo + keep
+        self.whole[known] = True
+        for name in COUNTS:
+            self.counts[name][known] = getattr(found, name)
+        self.groups[known] = found.groups
+        # Links of the same piece and ids, added up.
+        kind, number = np.unique(found.a[found.link_a] << 32 | found.b[found.link_b], return_inverse=True)
+        owner, number, times = _summed(found.link_doc, number, len(kind), np.ones(len(number), np.int64))
+        return known[owner], kind[number], times
+
+
 def _block(tokenizers: Tokenizers, texts: list[str | None]):
     """Columns n_a ... links of the block's documents, and its pairs."""
     n = len(texts)
-    pieces, owner = [], []
-    for k, text in enumerate(texts):
-        if text:
-            cut = pieces_of(text, PART) if tokenizers.cuttable and len(text) > 2 * PART else [text]
-            pieces += cut
-            owner += [k] * len(cut)
-    counts = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links", "n_shared")}
-    groups: list[list[str]] = [[] for _ in range(n)]
-    kinds, docs, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    whole = np.ones(n, bool)
-    owner = np.array(owner, np.int64)
-    at = np.r_[0, np.cumsum([len(p) for p in pieces])]
-    encoded = []
-    lo = 0
-    while lo < len(pieces):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PART, side="right")) - 1)
-        a, b = tokenizers.encode(pieces[lo:hi])
-        for k, text, x, y in zip(owner[lo:hi], pieces[lo:hi], a, b):
-            raw = (" " + text).encode()
-            whole[k] &= tokenizers.a_table.joined(x).tobytes() == raw and tokenizers.b_table.joined(y).tobytes() == raw
-        encoded.append((lo, hi, a, b))
-        lo = hi
-    for lo, hi, a, b in encoded:
-        keep = np.flatnonzero(whole[owner[lo:hi]])
-        if not len(keep):
-            continue
-        known, own = np.unique(owner[lo:hi][keep], return_inverse=True)
-        found = Aligned(tokenizers, [a[k] for k in keep], [b[k] for k in keep], own)
-        for name in counts:
-            counts[name][known] += getattr(found, name)
-        for k, text in zip(known, found.groups):
-            groups[k].append(text)
-        kind = found.a[found.link_a] << 32 | found.b[found.link_b]
-        # Links of the same document and ids, added up.
-        order = np.lexsort((kind, found.link_doc))
-        kind, doc = kind[order], known[found.link_doc[order]]
-        first = np.flatnonzero((np.diff(kind, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-        kinds.append(kind[first]), docs.append(doc[first]), times.append(np.diff(np.r_[first, len(kind)]))
-    kinds, docs, times = np.concatenate(kinds), np.concatenate(docs), np.concatenate(times)
-    known, number = np.unique(kinds, return_inverse=True)
-    # A long text has come in several pieces.
-    order = np.lexsort((number, docs))
-    first = np.flatnonzero((np.diff(number[order], prepend=-1) != 0) | (np.diff(docs[order], prepend=-1) != 0))
-    links = np.empty(len(first), LINK)
-    links["pair"] = number[order][first]
-    links["n"] = np.add.reduceat(times[order], first) if len(first) else 0
-    held = docs[order][first]
+    numbers: dict[str, int] = {}
+    held = []
+    for text in texts:
+        found = [np.zeros(0, np.int64)]
+        if text and tokenizers.cuttable:
+            # The words of a very long text are not all held at once.
+            for part in pieces_of(text, PART) if len(text) > 2 * PART else [text]:
+                found.append(np.array([numbers.setdefault(p, len(numbers)) for p in LONE_BLANK.split(part)], np.int64))
+        elif text:
+            found.append(np.array([numbers.setdefault(text, len(numbers))], np.int64))
+        held.append(np.concatenate(found))
+    pieces = Pieces(tokenizers, list(numbers))
+    whole = np.array([bool(pieces.whole[h].all()) for h in held], bool)
+    held = [h if w else h[:0] for h, w in zip(held, whole)]
+    groups = ["".join(pieces.groups[h].tolist()).removesuffix(";") for h in held]
+    # The incidence of documents and pieces times that of pieces and pairs.
+    docs = np.repeat(np.arange(n), [len(h) for h in held])
+    docs, used, times = _summed(docs, np.concatenate([np.zeros(0, np.int64), *held]), len(numbers) or 1, np.ones(len(docs), np.int64))
+    counts = {c: np.bincount(docs, pieces.counts[c][used] * times, n).astype(np.int64) for c in COUNTS}
+    sizes = np.diff(pieces.link_first)[used]
+    at = spans(pieces.link_first[:-1][used], sizes)
+    docs, pair, times = _summed(np.repeat(docs, sizes), pieces.link_pairs[at], len(pieces.pairs) or 1, np.repeat(times, sizes) * pieces.link_times[at])
+    # Pairs of texts that are not whole are left out.
+    holders = np.bincount(pair, minlength=len(pieces.pairs))
+    known = np.flatnonzero(holders)
+    links = np.empty(len(pair), LINK)
+    links["pair"], links["n"] = (np.cumsum(holders > 0) - 1)[pair], times
     pairs = np.empty(len(known), PAIR)
-    pairs["a"], pairs["b"], pairs["n"] = known >> 32, known & 0xFFFFFFFF, np.bincount(links["pair"], minlength=len(known))
-    cut = np.searchsorted(held, np.arange(n + 1))
-    text = ["".join(g).removesuffix(";") for g in groups]
-    return counts, text, [links[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])], pairs.tobytes()
+    kind = pieces.pairs[known]
+    pairs["a"], pairs["b"], pairs["n"] = kind >> 32, kind & 0xFFFFFFFF, holders[known]
+    cut = np.searchsorted(docs, np.arange(n + 1))
+    return counts, groups, [links[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])], pairs.tobytes()
 
 
 def sliced(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:

@@ -330,3 +330,18 @@ def test_batches_of_alignments_are_small():
     assert [p.num_rows for p in parts] == [256, 256, 256, 232]
     assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
     assert list(token_alignment.sliced(batch.slice(0, 0), 4)) == []
+
+
+def test_repeated_words_are_encoded_once(monkeypatch):
+    tokenizers = token_alignment.Tokenizers(open(A, encoding="utf-8").read(), open(B, "rb").read())
+    seen, encode = [], tokenizers.encode
+    monkeypatch.setattr(tokenizers, "encode", lambda texts: seen.extend(texts) or encode(texts))
+    rows = [(1, "one two three " * 400 + "four"), (2, None), (3, "two  blanks and three one ▁"), (4, "one two"), (5, LONG)]
+    counts, groups, links, pairs = token_alignment._block(tokenizers, [t for _, t in rows])
+    assert len(seen) == len(set(seen)) and sum(map(len, seen)) < len(LONG)
+    want = plain_alignments(rows)
+    got = zip(*(counts[c].tolist() for c in ("n_a", "n_b", "n_groups", "n_links", "n_shared")), groups)
+    assert list(got) == [(*w[1:5], w[8], w[7]) for w in want]
+    assert not links[1] and not links[2]  # the mark is no blank
+    held = np.frombuffer(pairs, token_alignment.PAIR)
+    assert all(held["n"] > 0) and len(np.unique(held[["a", "b"]])) == len(held)
