@@ -40,6 +40,11 @@ def sheet_list(cells: DataFrame) -> DataFrame:
     )
 
 
+def sheet_blocks(cells: DataFrame) -> DataFrame:
+    """(sheet, block): the runs of rows of each sheet that hold a filled cell."""
+    return with_blocks(filled(cells)).select(*SHEET, "block").distinct()
+
+
 def import_notes(sheets: DataFrame) -> DataFrame:
     note = F.concat(F.lit("Sheet '"), F.col("sheet"), F.lit("': empty, ignored."))
     return sheets.where("header_row IS NULL").select(*SHEET, "sheet", note.alias("note"))
@@ -48,8 +53,11 @@ def import_notes(sheets: DataFrame) -> DataFrame:
 def header_cells(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     """Cells of the header rows with their comparison text ``norm``."""
     rows = sheets.where("header_row IS NOT NULL").withColumnRenamed("header_row", "row_no").select(*SHEET, "row_no")
+    # Sheets share a few header rows; only cells of rows with these numbers meet the sheets.
+    numbers = settle(rows.select("row_no").distinct())
     return (
         filled(cells)
+        .join(numbers, "row_no", "left_semi")
         .join(rows, [*SHEET, "row_no"])
         .withColumn("norm", normal_header(F.col("value"), F.col("value_kind")))
         .select(*SHEET, "sheet", F.col("row_no").alias("header_row"), "col_no", "value", "norm")

@@ -17,6 +17,20 @@ from gradeloom.plans.registry import ORACLE_TABLES, query
 from gradeloom.session import settle
 from gradeloom.sources.schemas import SCHEMAS
 
+# Texts of a row and of its marks, as the tables below and the cells made of entries know them.
+_ROLL = """CASE WHEN o_orderpriority = '3-MEDIUM' OR (o_orderpriority = '5-LOW' AND o_orderstatus = 'P') THEN NULL
+                    ELSE CONCAT('R', CAST(who AS STRING)) END"""
+_NAME = """CASE WHEN o_orderpriority = '2-HIGH' OR (o_orderpriority = '5-LOW' AND o_orderstatus = 'P') THEN NULL
+                    ELSE CONCAT('Customer#', LPAD(CAST(CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN who + 5 ELSE who END AS STRING), 9, '0'))
+                    END"""
+_CLASS = "CASE WHEN o_orderstatus = 'F' THEN n_name WHEN o_orderstatus = 'P' THEN 'NATION_X' END"
+_VALUE = """CASE WHEN flag = 'A' THEN 'AB' WHEN flag = 'R' AND q < 20 THEN ' Exempt ' WHEN q = 13 THEN 'oops'
+                       WHEN q = 7 THEN '-1' WHEN q = 3 THEN ' ' WHEN q = 5 THEN '' WHEN q = 11 THEN '1_1'
+                       WHEN q > 30 THEN CONCAT(CAST(CAST(q AS INT) AS STRING), '.5')
+                       ELSE CAST(CAST(q AS INT) AS STRING) END"""
+_KIND = """CASE WHEN flag = 'A' OR (flag = 'R' AND q < 20) OR q IN (13, 7, 3, 5, 11) THEN 'text' WHEN q > 30 THEN 'float'
+                    ELSE 'int' END"""
+
 IMPORT = {
     "book": """
         SELECT CAST(n_nationkey % 5 AS STRING) AS institution_id, CONCAT('W', CAST(n_nationkey AS STRING)) AS workbook,
@@ -65,23 +79,16 @@ IMPORT = {
                max(l.l_quantity) AS q, min(l.l_returnflag) AS flag
         FROM {lineitem} l JOIN {sheet} s ON s.k = l.l_suppkey JOIN {orders} o ON o.o_orderkey = l.l_orderkey
         GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13""",
-    "imp_row": """
+    "imp_row": f"""
         SELECT DISTINCT institution_id, workbook, sheet_no, sheet, sort, k, subject, n_name, row_no,
-               CASE WHEN o_orderpriority = '3-MEDIUM' OR (o_orderpriority = '5-LOW' AND o_orderstatus = 'P') THEN NULL
-                    ELSE CONCAT('R', CAST(who AS STRING)) END AS roll,
-               CASE WHEN o_orderpriority = '2-HIGH' OR (o_orderpriority = '5-LOW' AND o_orderstatus = 'P') THEN NULL
-                    ELSE CONCAT('Customer#', LPAD(CAST(CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN who + 5 ELSE who END AS STRING), 9, '0'))
-                    END AS name,
-               CASE WHEN o_orderstatus = 'F' THEN n_name WHEN o_orderstatus = 'P' THEN 'NATION_X' END AS class_label
-        FROM {imp_entry}""",
-    "mark_cell": """
-        SELECT *, CASE WHEN flag = 'A' THEN 'AB' WHEN flag = 'R' AND q < 20 THEN ' Exempt ' WHEN q = 13 THEN 'oops'
-                       WHEN q = 7 THEN '-1' WHEN q = 3 THEN ' ' WHEN q = 5 THEN '' WHEN q = 11 THEN '1_1'
-                       WHEN q > 30 THEN CONCAT(CAST(CAST(q AS INT) AS STRING), '.5')
-                       ELSE CAST(CAST(q AS INT) AS STRING) END AS value,
-               CASE WHEN flag = 'A' OR (flag = 'R' AND q < 20) OR q IN (13, 7, 3, 5, 11) THEN 'text' WHEN q > 30 THEN 'float'
-                    ELSE 'int' END AS value_kind
-        FROM {imp_entry}""",
+               {_ROLL} AS roll,
+               {_NAME} AS name,
+               {_CLASS} AS class_label
+        FROM {{imp_entry}}""",
+    "mark_cell": f"""
+        SELECT *, {_VALUE} AS value,
+               {_KIND} AS value_kind
+        FROM {{imp_entry}}""",
     "cell": """
         SELECT institution_id, workbook, sheet, sheet_no, row_no, col_no, value, value_kind FROM (
             SELECT institution_id, workbook, sheet, sheet_no, CAST(1 AS BIGINT) AS row_no, 1 AS col_no,
@@ -199,10 +206,53 @@ def _campus(c: Campus) -> Campus:
     return c
 
 
+_SHEET = ["institution_id", "workbook", "sheet_no", "sheet", "sort", "k", "subject", "n_name"]
+
+
+def _row_cells(c: Campus):
+    """Cells of the rows of ``imp_row`` and ``mark_cell``: line items are dealt by their orders once, no step after that deals them again.
+
+    All entries of a row are of one order, since its number tells the order; so the order may be a key of every grouping.
+    """
+    orders = c["orders"].select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_orderstatus", F.expr("o_custkey - o_custkey % 5").alias("base")
+    )
+    line = ["l_orderkey", "l_suppkey", "l_linenumber", "o_orderpriority", "o_orderstatus", "base"]
+    lines = c["lineitem"].select(*line[:3], "l_quantity", "l_returnflag").repartition("l_orderkey").join(orders, "l_orderkey")
+    lines = lines.groupBy(*line).agg(F.max("l_quantity").alias("q"), F.min("l_returnflag").alias("flag"))
+    entries = lines.join(settle(c["sheet"].select(*_SHEET).distinct()), F.col("l_suppkey") == F.col("k"))
+    number = F.expr("CASE WHEN sort IN (6, 7) THEN l_orderkey * 8 + l_linenumber + 2 ELSE l_orderkey + 2 END")
+    entries = entries.withColumn("row_no", number).withColumn("who", F.expr("base + CAST(institution_id AS BIGINT)"))
+    rows = entries.groupBy("l_orderkey", *_SHEET, "row_no", F.expr(_ROLL).alias("roll"), F.expr(_NAME).alias("name"), F.expr(_CLASS).alias("class_label")).agg(
+        F.collect_list(F.struct("l_linenumber", F.expr(_VALUE).alias("value"), F.expr(_KIND).alias("kind"))).alias("marks")
+    )
+    long, text = F.col("sort").isin(6, 7), F.lit("text")
+
+    def cell(col_no, value, kind=text):
+        return F.struct(col_no.cast("int").alias("col_no"), value.alias("value"), kind.alias("value_kind"))
+
+    def some(condition, *cells):
+        return F.when(condition, F.array(*cells)).otherwise(F.array().cast("array<struct<col_no:int,value:string,value_kind:string>>"))
+
+    kind = [F.when(F.col(x).isNull(), "blank").otherwise("text") for x in ("roll", "name")]
+    native = F.col("sort") < 6
+    given = F.concat(
+        F.array(cell(F.when(native, 1).otherwise(2), F.col("roll"), kind[0]), cell(F.when(native, 2).otherwise(1), F.col("name"), kind[1])),
+        some(~native & F.col("class_label").isNotNull(), cell(F.lit(3), F.col("class_label"))),
+        some(long, cell(F.lit(4), F.concat(F.lit("CC"), F.col("k").cast("string")))),
+        F.transform("marks", lambda m: cell(F.when(long, F.lit(5)).otherwise(3 + m["l_linenumber"]), m["value"], m["kind"])),
+    )
+    return rows.select("institution_id", "workbook", "sheet", "sheet_no", "row_no", F.inline(given))
+
+
 def _cells(c: Campus):
     def make():
-        # the cells read entries and rows five times
-        return settle(_campus(c).settled("imp_entry", "imp_row")["cell"])
+        # what stands in ``cell`` without entries: headers and notes
+        bare = Campus(c.spark, c.sf_dir, {**CAMPUS, **IMPORT})
+        bare._made["imp_entry"] = c.spark.createDataFrame([], bare["imp_entry"].schema)
+        headers, rows = bare["cell"], _row_cells(_campus(c))
+        typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in headers.schema])
+        return settle(headers.unionByName(typed))
 
     return _once(c, "cells", make)
 

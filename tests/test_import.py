@@ -294,3 +294,53 @@ def test_new_students_do_not_write_the_verdicts(spark, monkeypatch):
     monkeypatch.setattr(import_queries, "resolve_students", lambda asked, student: (asked.columns, "made"))
     assert import_queries.e05_new_student_ids(None) == "made"
     assert import_queries.c17_student_identity(None) == ["institution_id", "workbook", "ord", "roll", "name"]
+
+
+def test_cells_are_made_without_writing_entries(spark, tmp_path, monkeypatch):
+    """Keys repeat and are null; the cells are those of the tables' SELECTs, and entries and rows are not written on the way."""
+    tables = {
+        "region": ([(k, f"REGION{k}") for k in range(5)], "r_regionkey bigint, r_name string"),
+        "nation": ([(k, f"NATION_{k}", k % 5) for k in range(25)] + [(None, "NOWHERE", 1), (3, "NATION_3", 3)], "n_nationkey bigint, n_name string, n_regionkey bigint"),
+        "supplier": ([(k, k % 25, float(k * 700 % 6000)) for k in range(40)] + [(7, 7, None), (8, 8, 5600.0), (None, 1, 2.0)], "s_suppkey bigint, s_nationkey bigint, s_acctbal double"),
+        "orders": (
+            [(k, k % 11 or None, "FOP"[k % 3], ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"][k % 5]) for k in range(30)]
+            + [(4, 9, "P", "5-LOW"), (4, 9, "F", "1-URGENT"), (5, 5, "P", "1-URGENT"), (None, 1, "F", "2-HIGH"), (6, 6, None, None)],
+            "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string",
+        ),
+        "lineitem": (
+            [(k % 31, k % 43, k % 7 or None, float(k % 50), "ANR"[k % 3]) for k in range(400)] * 2 + [(None, 3, 1, 4.0, "A"), (4, None, 1, 4.0, "A"), (4, 8, 2, None, None)],
+            "l_orderkey bigint, l_suppkey bigint, l_linenumber bigint, l_quantity double, l_returnflag string",
+        ),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    settle, written = import_queries.settle, []
+    monkeypatch.setattr(import_queries, "settle", lambda df: written.append(df) or settle(df))
+    made = import_queries._cells(Campus(spark, str(tmp_path)))
+    plain = import_queries._campus(Campus(spark, str(tmp_path)))["cell"]
+    assert plain.where("row_no > 1 AND col_no IS NULL").count() and [f.dataType for f in made.schema] == [f.dataType for f in plain.schema]
+    assert plain.exceptAll(made).isEmpty() and made.exceptAll(plain).isEmpty()
+    assert [f.columns for f in written if "row_no" in f.columns] == [plain.columns]
+
+
+def test_cells_of_a_row_meet_once(spark):
+    """Repeated cells and repeated mark columns count each; cells are dealt by blocks of rows and never again by rows."""
+    sheet, cell = "institution_id string, workbook string, sheet_no bigint", ("i", "w", 1, "s")
+    cells = spark.createDataFrame(
+        [(*cell, 1, 1, "Roll No", "text"), (*cell, 2, 1, " R1 ", "text"), (*cell, 2, 3, "7", "int"), (*cell, 2, 3, "7", "int"), (*cell, 2, 4, "8", "int"),
+         (*cell, 2, 5, "9", "int"), (*cell, 70_000, 2, "Ines", "text"), (*cell, 70_000, 3, "", "text"), ("i", None, 1, "s", 2, 3, "7", "int")],
+        "institution_id string, workbook string, sheet_no bigint, sheet string, row_no bigint, col_no int, value string, value_kind string",
+    )
+    roles = "roll_col int, name_col int, class_col int, subject_col int, marks_col int"
+    classified = spark.createDataFrame(
+        [(*cell, 1, None, 1, 2, None, None, None, "native", None)] * 2, f"{sheet}, sheet string, header_row bigint, offering_hint string, {roles}, layout string, error string"
+    )
+    column = f"{sheet}, col_no int, offering_id string, assessment_id string, assessment_name string, max_marks double"
+    columns = spark.createDataFrame([(*cell[:3], 3, "o", "a", "Quiz", 10.0), (*cell[:3], 4, "o", "b", "Lab", 20.0), (*cell[:3], 4, "o", "b", "Lab", 20.0)], column)
+    subjects = spark.createDataFrame([], f"{sheet}, col_no int, subject string")
+    rows = importing.sheet_rows(importing.filled(cells), importing.sheet_facts(classified, columns, subjects))
+    got = {r.row_no: (r.roll, r.name, sorted((m.col_no, m.column_name, m.value, m.max_marks) for m in r.marks)) for r in rows.collect()}
+    quiz, lab = (3, "Quiz", "7", 10.0), (4, "Lab", "8", 20.0)
+    assert got == {2: ("R1", "", [quiz, quiz, lab, lab]), 70_000: ("", "Ines", [])}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "block#" in plan and not any("hashpartitioning" in line and "row_no#" in line.split("hashpartitioning")[1].split("ENSURE")[0] and "block#" not in line for line in plan.splitlines())
