@@ -23,9 +23,10 @@ from gradeloom.operators.sheets import (
     filled,
     header_cells,
     import_notes,
-    native_columns,
-    sheet_blocks,
-    sheet_list,
+    in_blocks,
+    judged_columns,
+    large_sheets,
+    sheet_sizes,
     subject_columns,
     with_blocks,
 )
@@ -69,15 +70,17 @@ class ImportPlan:
 
     def with_messages(self, places: DataFrame) -> DataFrame:
         """``places``, some of the plan's, as errors with their messages."""
-        if self.texts is None:
-            return places
-        return places.join(self.texts, "label_no", "left").withColumn("message", F.coalesce("message", "label_error")).select(*_ERROR)
+        return places if self.texts is None else _with_texts(places, self.texts)
 
     @property
     def errors(self) -> DataFrame:
         return self.with_messages(self.places)
 
 
+def _with_texts(places: DataFrame, texts: DataFrame) -> DataFrame:
+    return places.join(texts, "label_no", "left").withColumn("message", F.coalesce("message", "label_error")).select(*_ERROR)
+
+
 def row_order(sheet_no: Column, row_no: Column) -> Column:
     """The place of a row in its workbook; fails loudly where sheet and row do not fit one number."""
     place = sheet_no.cast("bigint") * F.lit(_ROWS_PER_SHEET) + row_no
@@ -105,37 +108,47 @@ def sheet_facts(classified: DataFrame, mark_columns: DataFrame, subjects: DataFr
     return classified.where("error IS NULL").drop("error", "offering_hint").dropDuplicates(SHEET).join(columns, SHEET, "left")
 
 
-def sheet_rows(cells: DataFrame, facts: DataFrame) -> DataFrame:
+def sheet_rows(cells: DataFrame, facts: DataFrame, large: DataFrame | None = None) -> DataFrame:
     """Rows below the header of readable sheets with their identity texts and, in ``marks``, the cells of mark columns.
 
-    Cells are shuffled once, by the blocks of rows of a sheet: so a sheet with a
-    third of all cells is read in parts, and a row finds all its cells in its part.
+    Cells are shuffled once, by sheets and, where a sheet is one of ``large``, by blocks of its rows: so a sheet with a
+    third of all cells is read in parts, and a row finds all its cells in its part. Rows, not cells, meet their sheets.
     """
-    body = with_blocks(cells).drop("sheet").join(sheet_blocks(cells).join(facts, SHEET), [*SHEET, "block"]).where("row_no > header_row")
+    large = settle(large_sheets(sheet_sizes(cells))) if large is None else large
+    part = [*SHEET, "block"]
+    known = cells.where("institution_id IS NOT NULL AND workbook IS NOT NULL AND sheet_no IS NOT NULL AND row_no IS NOT NULL")
+    dealt = with_blocks(known.select(*ROW, "col_no", "value", "value_kind"), large).repartition(*part)
+    # A number that nearly tells the row comes first, so that sorting seldom compares texts.
+    row = Window.partitionBy(F.xxhash64(*part, "row_no"), *part, "row_no").orderBy("col_no")
+    whole = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = F.collect_list(F.struct("col_no", "value", "value_kind")).over(whole)
+    rows = dealt.select(*part, "row_no", found.alias("cells"), F.row_number().over(row).alias("n")).where("n = 1")
+    body = rows.join(in_blocks(facts, large), part).where("row_no > header_row")
+
+    def here(column: Column) -> Column:
+        return F.filter("cells", lambda cell: cell["col_no"] == column)
 
     def text_in(column: str) -> Column:
-        here = F.col("col_no") == F.col(column)
-        return F.coalesce(F.max(F.when(here, clean_text(F.col("value"), F.col("value_kind")))), F.lit(""))
+        texts = F.transform(here(F.col(column)), lambda cell: clean_text(cell["value"], cell["value_kind"]))
+        return F.when(F.col(column).isNull(), F.lit("")).otherwise(F.coalesce(F.array_max(texts), F.lit("")))
 
     def raw_in(column: str, what: str) -> Column:
-        return F.max(F.when(F.col("col_no") == F.col(column), F.col(what)))
+        return F.when(F.col(column).isNotNull(), F.array_max(here(F.col(column))[what]))
 
-    def mark(column: Column) -> Column:
-        return F.struct(*[column[c].alias(c) for c in _COLUMN], F.col("value").alias("value"), F.col("value_kind").alias("value_kind"))
+    def marks_of(column: Column) -> Column:
+        known = [column[c].alias(c) for c in _COLUMN]
+        return F.transform(here(column["col_no"]), lambda cell: F.struct(*known, cell["value"].alias("value"), cell["value_kind"].alias("value_kind")))
 
-    found = F.transform(F.filter("columns", lambda column: column["col_no"] == F.col("col_no")), mark)
-    body = body.withColumn("found", found).drop("columns")
-    return body.groupBy(*SHEET, "block", "row_no").agg(
-        F.first("sheet").alias("sheet"),
-        F.first("layout").alias("layout"),
+    return body.select(
+        *ROW, "sheet", "layout",
         text_in("roll_col").alias("roll"),
         text_in("name_col").alias("name"),
         text_in("class_col").alias("class_label"),
         text_in("subject_col").alias("subject"),
         raw_in("marks_col", "value").alias("mark_value"),
         raw_in("marks_col", "value_kind").alias("mark_kind"),
-        F.flatten(F.collect_list(F.when(F.size("found") > 0, F.col("found")))).alias("marks"),
-    ).drop("block")
+        F.flatten(F.transform(F.coalesce("columns", F.array()), marks_of)).alias("marks"),
+    )
 
 
 def judge_rows(rows: DataFrame, student: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -191,57 +204,112 @@ def validate(cells: DataFrame, workbooks: DataFrame, settings: DataFrame, domain
 
     ``settings``: institution_id, expect_course_prefix, default_year,
     default_term. Only readable cells of known columns reach the mark parser;
-    everything else becomes an error row with its place.
+    everything else becomes an error row with its place. Sheets are judged at once; rows, marks and
+    errors when first asked for.
     """
-    sheets = settle(sheet_list(cells))
-    notes = import_notes(sheets)
-    headers = settle(header_cells(cells, sheets))
-    classified = settle(classify_sheets(sheets, headers, workbooks))
-    mark_columns, failed = native_columns(classified, headers, settings, domain.offering, domain.course, domain.assessment)
-    mark_columns, failed = settle(mark_columns), settle(failed)
-    readable = classified.join(failed.select(*SHEET), SHEET, "left_anti")
-    sheet_errors = classified.where("error IS NOT NULL").select(*SHEET, "sheet", "header_row", "error").unionByName(failed)
-    full = filled(cells)
-    facts = settle(sheet_facts(readable, mark_columns, subject_columns(readable, headers)))
-    rows, row_errors, made = judge_rows(settle(sheet_rows(full, facts)), domain.student)
-
-    # cells of known columns: native ones have an assessment, wide ones a subject
-    found_cells = rows.where("layout <> 'legacy_long'").select(
-        *ROW, "sheet", "ord", "student_id", "class_label", "layout", F.inline("marks")
-    )
-    found_cells = found_cells.withColumn("single", F.lit(False))
-    native_cells = found_cells.where("layout = 'native'").withColumn("label_no", F.lit(None).cast("bigint"))
-    wide_cells = found_cells.where("layout = 'legacy_wide'").withColumn("subject", F.col("column_name"))
-    # legacy long: one mark per row
-    long_rows = rows.where("layout = 'legacy_long'").select(
-        *ROW, "sheet", "ord", "student_id", "class_label", "subject", F.lit(0).alias("col_no"),
-        F.col("subject").alias("column_name"), F.col("mark_value").alias("value"), F.col("mark_kind").alias("value_kind"),
-        F.lit(True).alias("single"),
-    )
-    legacy, texts = _with_subjects(long_rows.unionByName(wide_cells.select(*long_rows.columns)), domain, settings)
-    parsed = native_cells.select(*_ENTRY).unionByName(legacy.select(*_ENTRY))
-    entries = parsed.withColumn("m", parse_mark(F.col("value"), F.col("value_kind"), F.col("max_marks")))
-    problem = problem_text(F.col("m.problem"), F.col("value"), F.col("m.obtained"), F.col("max_marks"))
-    wrong = F.col("label_no").isNotNull() | F.col("m.problem").isNotNull()
+    return ValidatedPlan(cells, workbooks, settings, domain)
 
-    def found() -> DataFrame:
+
+class ValidatedPlan(ImportPlan):
+    """The plan of a validation; ``classified``: its non-blank sheets with their layouts."""
+
+    def __init__(self, cells: DataFrame, workbooks: DataFrame, settings: DataFrame, domain: Domain):
+        self._cells, self._settings, self._domain = cells, settings, domain
+        self._sizes = settle(sheet_sizes(cells))
+        self.notes = import_notes(self._sizes)
+        self._headers = settle(header_cells(cells, self._sizes))
+        self.classified = settle(classify_sheets(self._sizes.drop("n_cells"), self._headers, workbooks))
+        columns, failed, self._sheet_texts = judged_columns(
+            self.classified, self._headers, settings, domain.offering, domain.course, domain.assessment
+        )
+        self._columns, self._failed = settle(columns), settle(failed)
+
+    @property
+    def sheet_places(self) -> DataFrame:
+        """The errors that stand for whole sheets, at their header rows; those of labels without messages."""
+        wrong = self.classified.where("error IS NOT NULL").select(*SHEET, "sheet", "header_row", "error")
+        wrong = wrong.unionByName(self._failed, allowMissingColumns=True).withColumnRenamed("header_row", "row_no")
+        return _error(wrong, F.lit(""), F.col("error"), more=("label_no",))
+
+    @cached_property
+    def _judged_rows(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        readable = self.classified.join(self._failed.select(*SHEET), SHEET, "left_anti")
+        facts = settle(sheet_facts(readable, self._columns, subject_columns(readable, self._headers)))
+        rows = sheet_rows(filled(self._cells), facts, settle(large_sheets(self._sizes)))
+        return judge_rows(settle(rows), self._domain.student)
+
+    @property
+    def new_students(self) -> DataFrame:
+        return self._judged_rows[2]
+
+    def _found_cells(self, layout: str) -> DataFrame:
+        """Cells of known columns: native ones have an assessment, wide ones a subject."""
+        found = self._judged_rows[0].where(F.col("layout") == layout)
+        return found.select(*ROW, "sheet", "ord", "student_id", "class_label", F.inline("marks")).withColumn("single", F.lit(False))
+
+    @cached_property
+    def _native(self) -> DataFrame:
+        """Native cells with their marks."""
+        return _parsed(self._found_cells("native").withColumn("label_no", F.lit(None).cast("bigint")))
+
+    @cached_property
+    def _legacy(self) -> tuple[DataFrame, DataFrame]:
+        """Cells of legacy sheets with their marks, and the messages of their labels."""
+        # legacy long: one mark per row
+        long_rows = self._judged_rows[0].where("layout = 'legacy_long'").select(
+            *ROW, "sheet", "ord", "student_id", "class_label", "subject", F.lit(0).alias("col_no"),
+            F.col("subject").alias("column_name"), F.col("mark_value").alias("value"), F.col("mark_kind").alias("value_kind"),
+            F.lit(True).alias("single"),
+        )
+        wide_cells = self._found_cells("legacy_wide").withColumn("subject", F.col("column_name"))
+        asked = long_rows.unionByName(wide_cells.select(*long_rows.columns))
+        legacy, texts = _with_subjects(asked, self._domain, self._settings)
+        return _parsed(legacy), texts
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        return self._sheet_texts.unionByName(self._legacy[1])
+
+    @cached_property
+    def native_marks(self) -> DataFrame:
+        """The marks of native sheets."""
+        return settle(_marks(self._native))
+
+    @cached_property
+    def marks(self) -> DataFrame:
+        return self.native_marks.unionByName(settle(_marks(self._legacy[0])))
+
+    def told_sheets(self, places: DataFrame) -> DataFrame:
+        """``places``, some of ``sheet_places``, as errors with their messages."""
+        return _with_texts(places, self._sheet_texts)
+
+    def found(self) -> DataFrame:
+        rows, row_errors, _ = self._judged_rows
+        judged = settle(self._native.unionByName(self._legacy[0]))
+        problem = problem_text(F.col("problem"), F.col("value"), F.col("obtained"), F.col("max_marks"))
         message = F.when(F.col("label_no").isNull(), problem)
-        judged = settle(entries)
-        cell_errors = _error(judged.where(wrong), F.col("column_name"), message, F.col("col_no"), ("label_no",))
-        missing = judged.where(F.col("single") & ~wrong & F.col("m.status").isNull())
+        cell_errors = _error(judged.where(_WRONG), F.col("column_name"), message, F.col("col_no"), ("label_no",))
+        missing = judged.where(F.col("single") & ~F.expr(_WRONG) & F.col("status").isNull())
         other_errors = (
-            _error(sheet_errors.withColumnRenamed("header_row", "row_no"), F.lit(""), F.col("error"))
-            .unionByName(row_errors)
-            .unionByName(_error(missing, F.col("column_name"), F.lit("missing mark")))
-            .unionByName(idle_rows(rows, judged.where(wrong | F.col("m.status").isNotNull())))
-        )
-        return settle(other_errors.unionByName(cell_errors, allowMissingColumns=True))
+            row_errors.unionByName(_error(missing, F.col("column_name"), F.lit("missing mark")))
+            .unionByName(idle_rows(rows, judged.where(F.expr(_WRONG) | F.col("status").isNotNull())))
+        )
+        return settle(other_errors.unionByName(cell_errors, allowMissingColumns=True).unionByName(self.sheet_places))
 
-    marks = entries.where(~wrong & F.col("m.status").isNotNull()).select(
-        *BOOK, "ord", "col_no", "sheet", "row_no", "column_name", "student_id", "offering_id", "assessment_id",
-        F.col("m.obtained").alias("obtained"), F.col("m.status").alias("status"),
-    )
-    return ImportPlan(marks=settle(marks), found=found, new_students=made, notes=notes, texts=texts)
+
+_WRONG = "label_no IS NOT NULL OR problem IS NOT NULL"
+
+
+def _parsed(cells: DataFrame) -> DataFrame:
+    """Cells with ``status``, ``obtained`` and ``problem`` of their marks, read once however often they are used."""
+    mark = parse_mark(F.col("value"), F.col("value_kind"), F.col("max_marks"))
+    return cells.select(*_ENTRY, F.inline(F.array(mark)))
+
+
+def _marks(entries: DataFrame) -> DataFrame:
+    return entries.where(~F.expr(_WRONG) & F.col("status").isNotNull()).select(
+        *BOOK, "ord", "col_no", "sheet", "row_no", "column_name", "student_id", "offering_id", "assessment_id", "obtained", "status"
+    )
 
 
 def render_errors(errors: DataFrame) -> DataFrame:

@@ -666,9 +666,10 @@ def i02_sheet_errors(c: Campus):
 
 
 def _of_layout(c: Campus, layout: str):
-    """Marks of the sheets with one layout."""
-    marks = _plan(c).marks.withColumn("sheet_no", F.shiftright("ord", 36))
-    wanted = _classified(c).where(F.col("layout") == layout).select("institution_id", "workbook", "sheet_no")
+    """Marks of the sheets with one layout; native ones are read apart, without those of other layouts."""
+    plan = _plan(c)
+    marks = (plan.native_marks if layout == "native" else plan.marks).withColumn("sheet_no", F.shiftright("ord", 36))
+    wanted = plan.classified.where(F.col("layout") == layout).select("institution_id", "workbook", "sheet_no")
     return marks.join(wanted, ["institution_id", "workbook", "sheet_no"], "left_semi")
 
 
@@ -698,10 +699,11 @@ def g01_plan_in_order(c: Campus):
        UNION ALL SELECT institution_id, workbook, sheet_no, 1, error FROM {layout} WHERE error IS NOT NULL""",
 )
 def g02_failed_sheets(c: Campus):
-    header = sheets.sheet_list(_cells(c)).select("institution_id", "workbook", "sheet_no", F.col("header_row").alias("row_no"))
+    # Errors at header rows are those of sheets: rows and cells that are judged lie below.
     plan = _plan(c)
-    of_sheets = plan.places.join(header, ["institution_id", "workbook", "sheet_no", "row_no"], "left_semi")
-    return plan.with_messages(of_sheets).select("institution_id", "workbook", "sheet_no", "row_no", "message")
+    header = plan.classified.select("institution_id", "workbook", "sheet_no", F.col("header_row").alias("row_no"))
+    of_sheets = plan.sheet_places.join(header, ["institution_id", "workbook", "sheet_no", "row_no"], "left_semi")
+    return plan.told_sheets(of_sheets).select("institution_id", "workbook", "sheet_no", "row_no", "message")
 
 
 @query("g04_new_students")

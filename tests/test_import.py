@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pytest
 from helpers import cells_of, config, configs_of, domain_of
 
-from gradeloom.operators import importing, labels, results
+from gradeloom.operators import importing, labels, results, sheets
 from gradeloom.plans import import_queries
 from gradeloom.plans.campus import Campus
 from gradeloom.sources.schemas import SCHEMAS
@@ -344,3 +344,64 @@ def test_cells_of_a_row_meet_once(spark):
     assert got == {2: ("R1", "", [quiz, quiz, lab, lab]), 70_000: ("", "Ines", [])}
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "block#" in plan and not any("hashpartitioning" in line and "row_no#" in line.split("hashpartitioning")[1].split("ENSURE")[0] and "block#" not in line for line in plan.splitlines())
+
+
+def test_sheets_are_judged_without_rows_and_a_message_stands_once(spark, monkeypatch):
+    """A label that names many offerings fails many sheets, by their names and by a column; rows are not read for it."""
+    school = config("many")
+    school["seed"]["offerings"] += [{"id": f"geo_{k}", "org_unit_id": "room_2", "course_id": "geo"} for k in range(40)]
+    configs, _ = configs_of(spark, [school])
+    books = {("many", f"w{k}"): {"Geography": [NATIVE, ROW1], "any": [["Roll", "Geography: Quiz", "art: Quiz"], ["H-12", 20, 1]]} for k in range(4)}
+    books["many", "w9"] = {"x": [["Roll", "art: Quiz", "Geography|Quiz"], ["H-12", 20, 1]], "y": [["Quiz"], [1]], "geo_n": [NATIVE, ROW1]}
+    known = spark.createDataFrame([("many", book, None, False) for _, book in books], "institution_id string, workbook string, offering_hint string, legacy boolean")
+    monkeypatch.setattr(importing, "sheet_rows", lambda *_: pytest.fail("rows were read"))
+    plan = importing.validate(cells_of(spark, books), known, configs.import_settings(), domain_of(spark, configs))
+    header = "invalid header: no student identity column (expected 'Roll No'/'Student Name')"
+    places = {(r.sheet, r.row_no, r.message): r["count"] for r in plan.sheet_places.groupBy("sheet", "row_no", "message").count().collect()}
+    assert places == {("Geography", 1, None): 4, ("any", 1, None): 4, ("x", 1, None): 1, ("y", 1, header): 1}
+    ids = ", ".join(sorted(["geo_n", *[f"geo_{k}" for k in range(40)]]))
+    unclear = f"'Geography' is ambiguous across offerings ({ids})"
+    told = {(r.sheet, r.message): r["count"] for r in plan.told_sheets(plan.sheet_places).groupBy("sheet", "message").count().collect()}
+    art = "no course offering matches 'art'"
+    assert told == {("Geography", unclear): 4, ("any", unclear): 4, ("x", art): 1, ("y", header): 1}
+
+
+def test_native_marks_ask_for_no_subjects(spark, monkeypatch):
+    configs, _ = configs_of(spark, [config("one", scheme=ONE)])
+    books = {("one", "wb"): {"geo_n": [["Roll No", "Total"], ["H-11", 7], ["H-12", "AB"]], "x": [LONG, ["Ines Duarte", "H-11", None, "Geography", 80]]}}
+    known = spark.createDataFrame([("one", "wb", None, False)], "institution_id string, workbook string, offering_hint string, legacy boolean")
+    plan = importing.validate(cells_of(spark, books), known, configs.import_settings(), domain_of(spark, configs))
+    subjects = importing._with_subjects
+    monkeypatch.setattr(importing, "_with_subjects", lambda *_: pytest.fail("subjects were asked for"))
+    native = [("p1", "geo_n#1", 7.0), ("p2", "geo_n#1", 0.0)]
+    assert sorted((r.student_id, r.assessment_id, r.obtained) for r in plan.native_marks.collect()) == native
+    monkeypatch.setattr(importing, "_with_subjects", subjects)
+    assert sorted((r.student_id, r.assessment_id, r.obtained) for r in plan.marks.collect()) == sorted([*native, ("p1", "geo_n#1", 80.0)])
+
+
+def test_large_sheets_are_read_in_blocks(spark, monkeypatch):
+    """Rows of a large sheet are dealt to blocks; a small one, however far its rows lie apart, is one block and meets its facts once."""
+    monkeypatch.setattr(sheets, "BLOCK_CELLS", 4)
+    cells = spark.createDataFrame(
+        [("i", "w", 1, "s", n, col, f"{n}{col}", "text") for n in range(1, 12) for col in (1, 2)] + [("i", "w", 2, "t", n, 1, "a", "text") for n in (1, 70_000, 140_000, 280_000)],
+        "institution_id string, workbook string, sheet_no bigint, sheet string, row_no bigint, col_no int, value string, value_kind string",
+    )
+    sizes = sheets.sheet_sizes(cells)
+    # no aggregate over cells sorts them
+    assert sizes._jdf.queryExecution().executedPlan().toString().count("HashAggregate") >= 2
+    assert [tuple(r) for r in sizes.orderBy("sheet_no").collect()] == [("i", "w", 1, "s", 1, 22), ("i", "w", 2, "t", 1, 4)]
+    large = sheets.large_sheets(sizes)
+    assert [tuple(r) for r in large.collect()] == [("i", "w", 1, 6)]
+    blocks = sheets.with_blocks(cells, large)
+    assert blocks.where("sheet_no = 2").select("block").distinct().count() == 1 < blocks.where("sheet_no = 1").select("block").distinct().count()
+    assert blocks.groupBy("sheet_no", "row_no").agg({"block": "max"}).count() == blocks.select("sheet_no", "row_no", "block").distinct().count()
+    roles = "roll_col int, name_col int, class_col int, subject_col int, marks_col int"
+    facts = spark.createDataFrame(
+        [("i", "w", n, "s", 1, 1, None, None, None, None, "native", [(2, "Quiz", "o", "a", 10.0)]) for n in (1, 2)],
+        f"institution_id string, workbook string, sheet_no bigint, sheet string, header_row bigint, {roles}, layout string,"
+        " columns array<struct<col_no int, column_name string, offering_id string, assessment_id string, max_marks double>>",
+    )
+    assert sheets.in_blocks(facts, large).groupBy("sheet_no").count().orderBy("sheet_no").collect() == [(1, 6), (2, 1)]
+    rows = importing.sheet_rows(cells, facts)
+    got = sorted((r.sheet_no, r.row_no, r.roll, [m.value for m in r.marks]) for r in rows.collect())
+    assert got == [(1, n, f"{n}1", [f"{n}2"]) for n in range(2, 12)] + [(2, n, "a", []) for n in (70_000, 140_000, 280_000)]
