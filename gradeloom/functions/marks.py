@@ -6,7 +6,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradeloom.functions.numeric import fmt_g
+from gradeloom.functions.numeric import _let, fmt_g
 from gradeloom.functions.text import strip
 
 # The words that stand for a missing mark.
@@ -21,6 +21,8 @@ FLOAT_PATTERN = (
     r"|inf|infinity|nan)$"
 )
 
+_PLAIN = r"\A[0-9]{1,15}(?:\.[0-9]{1,15})?\z"
+
 
 # Every decimal digit of any script, in the order 0 to 9 of each.
 _FOREIGN = "".join(chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd")
@@ -36,8 +38,12 @@ def read_float(token: Column) -> Column:
     """The double written in lower-case ``token``, NULL when it is no number.
 
     The pattern decides what a number is (a plain cast would take ``1d`` and
-    refuse ``1_000``); the cast only converts.
+    refuse ``1_000``); the cast only converts. Short plain decimals are cast at once.
     """
+    return F.when(token.rlike(_PLAIN), token.try_cast("double")).otherwise(_read_float(token))
+
+
+def _read_float(token: Column) -> Column:
     token = plain_digits(token)
     digits = F.translate(token, "_", "")
     magnitude = F.regexp_replace(digits, r"^[+-]?(inf|infinity)$", "Infinity")
@@ -56,25 +62,33 @@ def parse_mark(value: Column, kind: Column, max_marks: Column) -> Column:
     bool or date. With a ``problem`` (unreadable, negative or over),
     ``obtained`` is the number that was read.
     """
-    token = F.lower(strip(value))
+    return _let(F.lower(strip(value)), lambda token: _mark(value, kind, max_marks, token))
+
+
+def _mark(value: Column, kind: Column, max_marks: Column, token: Column) -> Column:
     is_text = kind == "text"
     is_blank = value.isNull() | (kind == "blank") | (is_text & (token == ""))
-    number = (
-        F.when(kind == "bool", F.when(token == "true", 1.0).when(token == "false", 0.0).otherwise(token.try_cast("double")))
+    word = F.when(is_text & token.isin(*ABSENT_WORDS), "absent").when(is_text & token.isin(*EXEMPT_WORDS), "exempt")
+    read = (
+        F.when(is_blank | word.isNotNull(), F.lit(None).cast("double"))
+        .when(kind == "bool", F.when(token == "true", 1.0).when(token == "false", 0.0).otherwise(token.try_cast("double")))
         .when(kind == "date", F.lit(None).cast("double"))
         .otherwise(read_float(token))
     )
-    word = F.when(is_text & token.isin(*ABSENT_WORDS), "absent").when(is_text & token.isin(*EXEMPT_WORDS), "exempt")
-    over = ~F.isnan(number) & (number > max_marks) & ~F.isnan(max_marks)
-    problem = (
-        F.when(is_blank | word.isNotNull(), F.lit(None))
-        .when(number.isNull(), F.lit("unreadable"))
-        .when(number < 0, F.lit("negative"))
-        .when(over, F.lit("over"))
-    )
-    status = F.when(is_blank | problem.isNotNull(), F.lit(None)).otherwise(F.coalesce(word, F.lit("entered")))
-    obtained = F.when(is_blank, F.lit(None)).when(word.isNotNull(), F.lit(0.0)).otherwise(number)
-    return F.struct(status.alias("status"), obtained.alias("obtained"), problem.alias("problem"))
+
+    def judged(number: Column) -> Column:
+        over = ~F.isnan(number) & (number > max_marks) & ~F.isnan(max_marks)
+        problem = (
+            F.when(is_blank | word.isNotNull(), F.lit(None))
+            .when(number.isNull(), F.lit("unreadable"))
+            .when(number < 0, F.lit("negative"))
+            .when(over, F.lit("over"))
+        )
+        status = F.when(is_blank | problem.isNotNull(), F.lit(None)).otherwise(F.coalesce(word, F.lit("entered")))
+        obtained = F.when(is_blank, F.lit(None)).when(word.isNotNull(), F.lit(0.0)).otherwise(number)
+        return F.struct(status.alias("status"), obtained.alias("obtained"), problem.alias("problem"))
+
+    return _let(read, judged)
 
 
 def problem_text(problem: Column, value: Column, number: Column, max_marks: Column) -> Column:

@@ -5,6 +5,7 @@ columns. A sheet's layout and name follow its supplier key, a row's identity
 the priority of its order, so every layout and every kind of error occurs.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.marks import parse_mark, problem_text
@@ -220,13 +221,15 @@ def _row_cells(c: Campus):
     line = ["l_orderkey", "l_suppkey", "l_linenumber", "o_orderpriority", "o_orderstatus", "base"]
     lines = c["lineitem"].select(*line[:3], "l_quantity", "l_returnflag").repartition("l_orderkey").join(orders, "l_orderkey")
     lines = lines.groupBy(*line).agg(F.max("l_quantity").alias("q"), F.min("l_returnflag").alias("flag"))
-    entries = lines.join(settle(c["sheet"].select(*_SHEET).distinct()), F.col("l_suppkey") == F.col("k"))
+    sheet = settle(c["sheet"].select(*_SHEET).distinct().withColumn("sheet_id", F.monotonically_increasing_id()))
+    entries = lines.join(sheet, F.col("l_suppkey") == F.col("k"))
     number = F.expr("CASE WHEN sort IN (6, 7) THEN l_orderkey * 8 + l_linenumber + 2 ELSE l_orderkey + 2 END")
     entries = entries.withColumn("row_no", number).withColumn("who", F.expr("base + CAST(institution_id AS BIGINT)"))
-    rows = entries.groupBy("l_orderkey", *_SHEET, "row_no", F.expr(_ROLL).alias("roll"), F.expr(_NAME).alias("name"), F.expr(_CLASS).alias("class_label")).agg(
-        F.collect_list(F.struct("l_linenumber", F.expr(_VALUE).alias("value"), F.expr(_KIND).alias("kind"))).alias("marks")
-    )
-    long, text = F.col("sort").isin(6, 7), F.lit("text")
+    entries = entries.withColumns({"roll": F.expr(_ROLL), "name": F.expr(_NAME), "class_label": F.expr(_CLASS)})
+    # The texts of a row stand beside the first of its entries.
+    row = Window.partitionBy("l_orderkey", "sheet_id", "k", "row_no", "roll", "name", "class_label").orderBy("l_linenumber")
+    entries = entries.withColumn("first", F.row_number().over(row) == 1)
+    first, long, text = F.col("first"), F.col("sort").isin(6, 7), F.lit("text")
 
     def cell(col_no, value, kind=text):
         return F.struct(col_no.cast("int").alias("col_no"), value.alias("value"), kind.alias("value_kind"))
@@ -237,12 +240,12 @@ def _row_cells(c: Campus):
     kind = [F.when(F.col(x).isNull(), "blank").otherwise("text") for x in ("roll", "name")]
     native = F.col("sort") < 6
     given = F.concat(
-        F.array(cell(F.when(native, 1).otherwise(2), F.col("roll"), kind[0]), cell(F.when(native, 2).otherwise(1), F.col("name"), kind[1])),
-        some(~native & F.col("class_label").isNotNull(), cell(F.lit(3), F.col("class_label"))),
-        some(long, cell(F.lit(4), F.concat(F.lit("CC"), F.col("k").cast("string")))),
-        F.transform("marks", lambda m: cell(F.when(long, F.lit(5)).otherwise(3 + m["l_linenumber"]), m["value"], m["kind"])),
+        some(first, cell(F.when(native, 1).otherwise(2), F.col("roll"), kind[0]), cell(F.when(native, 2).otherwise(1), F.col("name"), kind[1])),
+        some(first & ~native & F.col("class_label").isNotNull(), cell(F.lit(3), F.col("class_label"))),
+        some(first & long, cell(F.lit(4), F.concat(F.lit("CC"), F.col("k").cast("string")))),
+        F.array(cell(F.when(long, F.lit(5)).otherwise(3 + F.col("l_linenumber")), F.expr(_VALUE), F.expr(_KIND))),
     )
-    return rows.select("institution_id", "workbook", "sheet", "sheet_no", "row_no", F.inline(given))
+    return entries.select("institution_id", "workbook", "sheet", "sheet_no", "row_no", F.inline(given))
 
 
 def _cells(c: Campus):
