@@ -237,9 +237,10 @@ def qualified(spark: SparkSession, folder: str) -> str:
 
     A folder that tasks cannot open is refused here, before the job.
     """
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    named = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString() if not re.match(r"s3[an]?://", folder) else folder
+    place, named = spark._jvm.org.apache.hadoop.fs.Path(folder), folder
     try:
+        if not re.match(r"s3[an]?://", folder):
+            named = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
         _open(named)
     except Exception as error:
         raise ValueError(f"tasks cannot open a token store in {named}: {error}") from error
