@@ -294,3 +294,20 @@ def test_offerings_stay_in_their_document(spark):
     tables = provision(configs_of(spark, [config()])[0])
     assert "hashpartitioning" not in _plan(tables["offering"])
     assert {r["assessment_scheme_id"] for r in tables["offering"].collect()} == {"main"}
+
+
+def test_one_table_is_provisioned_alone(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("assessments were numbered")
+
+    monkeypatch.setattr("gradeloom.operators.provision.number_rows", refuse)
+    tables = provision(configs_of(spark, [config()])[0])
+    assert tables["offering"].count() == 3 and len(tables) == 12
+    with pytest.raises(AssertionError, match="numbered"):
+        tables["assessment"]
+
+
+def test_documents_are_parsed_once(spark):
+    tables = provision(configs_of(spark, [config("a"), config("b")])[0])
+    assert all("parse_json" not in _plan(tables[name]) for name in ("institution", "offering", "student", "rule_set"))
+    assert {r["institution_id"] for r in tables["institution"].collect()} == {"a", "b"}
