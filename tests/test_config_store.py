@@ -311,3 +311,16 @@ def test_documents_are_parsed_once(spark):
     tables = provision(configs_of(spark, [config("a"), config("b")])[0])
     assert all("parse_json" not in _plan(tables[name]) for name in ("institution", "offering", "student", "rule_set"))
     assert {r["institution_id"] for r in tables["institution"].collect()} == {"a", "b"}
+
+
+def test_stored_tables_of_many_institutions_are_not_broadcast(spark, monkeypatch):
+    store = Store(spark, tempfile.mkdtemp(prefix="gradeloom-store-"), shards=2)
+    store.provision(provision(configs_of(spark, [config("a"), config("b")])[0]))
+
+    def joined():
+        domain = store.domain()
+        return _plan(domain.term.join(domain.institution, "institution_id"))
+
+    assert "BroadcastHashJoin" in joined()
+    monkeypatch.setattr("gradeloom.session.BROADCAST_ROWS", 1)
+    assert "SortMergeJoin" in joined()

@@ -103,6 +103,11 @@ def test_guild(students, courses):
     assert (students["guild", "g2"].overall_percentage, students["guild", "g2"].grade) == (38.25, "F")
 
 
+def test_totals_are_no_part_of_the_plan_of_students(domain):
+    plan = results.student_results(domain)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum_obtained" in plan and "total_weight" not in plan
+
+
 def test_no_marks(students):
     rows = [r for k, r in students.items() if k[0] == "empty"]
     assert len(rows) == 3
